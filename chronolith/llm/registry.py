@@ -1,7 +1,7 @@
 """The opN_ queries and their SQL."""
 
-from chronolith.llm import media, warc
+from chronolith.llm import media, secret_scan, urls, warc
 
-MODULES = (media, warc)
+MODULES = (secret_scan, media, urls, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
