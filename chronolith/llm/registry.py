@@ -1,7 +1,7 @@
 """The opN_ queries and their SQL."""
 
-from chronolith.llm import media, neardup, quality, secret_scan, urls, warc
+from chronolith.llm import media, neardup, quality, secret_scan, substrings, urls, warc
 
-MODULES = (secret_scan, media, urls, quality, neardup, warc)
+MODULES = (secret_scan, substrings, media, urls, quality, neardup, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
