@@ -1,6 +1,6 @@
 """Substring dedup by recompression.
 
-Rounds of recompression name runs of equal tokens and then pairs of neighbours (one of a left, one of a right class, by
+Recompression names runs of equal tokens, then, in rounds, pairs of neighbours (one of a left, one of a right class, by
 the name's own hash); a name is a 64-bit fingerprint of what it stands for, so equal tokens get equal names in every task
 without any exchange. Each symbol carries its context: the stretch of words that decides its borders. Where a context lies
 within equal substrings, the symbols are equal, so symbol borders fall at the same places of every copy of a passage.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from chronolith.llm import textcore as T
 from chronolith.llm.common import Workspace, partitions, ship
 
-WINDOW, ROUNDS, SIDE = 20, 4, 7
+WINDOW, ROUNDS, SIDE = 20, 3, 7
 #: Words of a symbol at most; a longer run or pair is not named.
 WIDEST = 7
 FAR = np.int64(1 << 40)
@@ -45,28 +45,25 @@ def borders(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
         return np.zeros(0, np.int64)
     name, start = h.copy(), np.arange(n)
     width = np.ones(n, np.int64)
-    left, right = start.copy(), start + 1  # the context [left, right) of each symbol
+    left = right = start  # the context [left, right) of each symbol
     opens = np.zeros(n, bool)
     opens[first[:-1][np.diff(first) > 0]] = True
     for r in range(rounds):
         m = len(name)
-        # Runs: a maximal run of equal symbols, decided by the symbols beside it.
-        begins = opens.copy()
-        begins[1:] |= name[1:] != name[:-1]
-        run0 = np.flatnonzero(begins)
-        size = np.diff(np.append(run0, m))
-        take = (size > 1) & (size * width[run0] <= WIDEST)
-        if take.any():
-            keep = np.ones(m, bool)
-            a = run0[take]
-            b = a + size[take]
-            inside = np.repeat(take, size) & ~begins
-            keep[inside] = False
-            name[a] = T.pair(name[a], size[take].astype(np.uint64), 101 + r)
-            right_end = np.where((b < m) & ~opens[np.minimum(b, m - 1)], right[np.minimum(b, m - 1)], FAR)
-            left_end = np.where(opens[a], -FAR, left[np.maximum(a - 1, 0)])
-            left[a], right[a] = np.minimum(left[a], left_end), np.maximum(right[b - 1], right_end)
-            width[a] = size[take] * width[a]
+        # Runs, of tokens only: a maximal run of equal tokens. What ends it, and that a single token is none, the tokens
+        # beside it decide; members of a run too long to be named are decided by the whole of it.
+        if r == 0:
+            begins = opens.copy()
+            begins[1:] |= name[1:] != name[:-1]
+            run0 = np.flatnonzero(begins)
+            size = np.diff(np.append(run0, m))
+            end = run0 + size
+            left = np.repeat(np.where(opens[run0], -FAR, run0 - 1), size)
+            right = np.repeat(np.where((end < m) & ~opens[np.minimum(end, m - 1)], end + 1, FAR), size)
+            take = (size > 1) & (size <= WIDEST)
+            keep = ~(np.repeat(take, size) & ~begins)
+            name[run0[take]] = T.pair(name[run0[take]], size[take].astype(np.uint64), 101)
+            width[run0[take]] = size[take]
             name, start, width, left, right, opens = (x[keep] for x in (name, start, width, left, right, opens))
             m = len(name)
         # Pairs: a left symbol with the right symbol after it.
