@@ -298,6 +298,18 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, ws: Workspace,
     return got.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
+def drop_duplicates(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component stays, that with the smallest id, with all columns; rows with a null id stay too. Rows
+    that repeat an id lose all but one."""
+    got = ws.save(near_duplicates(docs, id_col, text_col, ws, k, num, den), "verdicts")
+    gone = got.where("not kept and id is not null").select(F.col("id").alias("__gone")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    rest = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    if got.where("kept and id is not null").groupBy("id").count().where("count > 1").take(1):
+        rest = rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
+    return rest
+
+
 def _settle(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, ws: Workspace, name: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links, and their components."""
     pairs = ws.save(pairs, f"{name}-pairs")

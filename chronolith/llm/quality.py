@@ -170,14 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return Model.fit([np.frombuffer(r.x, np.float16).astype(np.float32).reshape(-1, HASHED + STATS) for r in got], y)
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, model: Model | None, keep: bool = False) -> DataFrame:
-    """Adds score and predicted to the id, or, with keep, to all columns."""
-    spark = docs.sparkSession
-    ship(spark)
-    cols = docs.columns if keep else [id_col, text_col]
-    kept = docs.select(*cols)
-    out = kept.schema if keep else kept.drop(text_col).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", score double, predicted int"
+def _scorer(model: Model | None, text_col: str):
     parts = (model.mean, model.scale, model.weights) if model else None
 
     def run(batches):
@@ -187,11 +180,34 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model | None, keep
             s = np.ones(b.num_rows)
             for i, j in T.chunks(off) if m else ():
                 s[i:j] = m.score(*encode(data[off[i] : off[j]], off[i : j + 1] - off[i]))[0]
-            hold = [b.column(k) for k, n in enumerate(b.schema.names) if keep or n != text_col]
-            names = [n for n in b.schema.names if keep or n != text_col]
-            yield pa.RecordBatch.from_arrays([*hold, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
+            yield b, s
+
+    return run
+
+
+def score(docs: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:
+    """(id, score, predicted) per row."""
+    ship(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scorer = _scorer(model, "text")
+
+    def run(batches):
+        for b, s in scorer(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
+
+    return base.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, text_col: str, model: Model | None) -> DataFrame:
+    """The rows that the model predicts as 1, all columns as they are."""
+    ship(docs.sparkSession)
+    scorer = _scorer(model, text_col)
+
+    def run(batches):
+        for b, s in scorer(batches):
+            yield b.filter(pa.array(s >= THRESHOLD))
 
-    return kept.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ U = np.uint64
 PIECE = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: For words of letters and digits alone: every other ASCII character separates.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 LOWER = BYTE.copy()
@@ -59,14 +61,14 @@ def column(c: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if len(off) else data[:0], off - (off[0] if len(off) else 0)
 
 
-def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts data[off[i]:off[i+1]]: each word's start, end (bytes), fingerprint, and where each text's words begin (n + 1)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     edge = np.empty(n + 1, bool)
-    ink = ~SPACE[data]
+    ink = ~space[data]
     edge[0], edge[n] = True, True
     edge[1:n] = ~ink[:-1]
     edge[off[(off > 0) & (off < n)]] = True
