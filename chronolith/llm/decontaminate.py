@@ -105,6 +105,12 @@ class Index:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.terms >> T.U(44)).astype(np.int64)] = True
 
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        out = cls.__new__(cls)
+        out.__dict__ = state
+        return out
+
     def lookup(self, keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
         return np.where(keys[at] == ask, values[at], 0.0)
@@ -197,10 +203,10 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     for index in indexes(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(index)  # at most about LIMIT items
+        held = spark.sparkContext.broadcast(vars(index))  # at most about LIMIT items; plain arrays, so workers need no class
 
         def run(batches, held=held):
-            x = held.value
+            x = Index.of(held.value)
             for b in batches:
                 data, off = T.column(b.column("text"))
                 rows = [(i + t, int(x.ids[k]), s, q, a) for i, j in T.chunks(off) for t, k, s, q, a in x.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i])]
@@ -217,10 +223,10 @@ def drop_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_id: str, i
     spark = docs.sparkSession
     ship(spark)
     for index in indexes(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(index)
+        held = spark.sparkContext.broadcast(vars(index))
 
         def run(batches, held=held):
-            x = held.value
+            x = Index.of(held.value)
             for b in batches:
                 data, off = T.column(b.column(text_col))
                 bad = {i + t for i, j in T.chunks(off) for t, *_ in x.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i])}
