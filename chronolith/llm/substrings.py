@@ -7,7 +7,7 @@ within equal substrings, the symbols are equal, so symbol borders fall at the sa
 
 1. At each border the name of the SIDE words on both sides (context permitting) is a seed. One shuffle of fingerprints
    finds the seeds that occur twice in the corpus.
-2. A window of words is a candidate if every seed inside it is repeated (a window without seeds always is). A second
+2. A window of words is a candidate if every seed inside it is repeated (a window without borders is its own seed). A second
    shuffle compares the candidates' 96-bit window names and keeps, of equal ones, the earliest place.
 3. Words covered by a window that also starts earlier go.
 
@@ -35,6 +35,8 @@ WINDOW, ROUNDS, SIDE = 20, 3, 7
 #: Words of a symbol at most; a longer run or pair is not named.
 WIDEST = 7
 FAR = np.int64(1 << 40)
+#: Added to the place of a window; a chunk has fewer words.
+BARE = np.int64(1 << 31)
 
 
 def borders(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -111,12 +113,24 @@ def names(h: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
     return T.mix(out)
 
 
-def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(border, name of the SIDE words before and after) of each border far enough from its text's ends."""
+def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, name) of the seeds, and how many borders lie before each word (n + 1). A seed is a border far enough from
+    its text's ends, named by the SIDE words before and after, or, with BARE added to its place, the start of a window
+    without any border in its middle, named by the whole window."""
     at = borders(h, first)
     text = np.searchsorted(first, at, "right") - 1
     at = at[(at - SIDE >= first[text]) & (at + SIDE <= first[text + 1])]
-    return at, names(h, at - SIDE, 2 * SIDE, 1) if len(at) else np.zeros(0, np.uint64)
+    total = np.zeros(len(h) + 2, np.int64)
+    total[at + 1] = 1
+    np.cumsum(total, out=total)
+    s = window_starts(first)
+    bare = s[total[s + WINDOW - SIDE + 1] == total[s + SIDE]]
+    return np.concatenate([at, bare + BARE]), np.concatenate([names(h, at - SIDE, 2 * SIDE, 1) if len(at) else h[:0], names(h, bare, WINDOW, 3) if len(bare) else h[:0]]), total
+
+
+def window_starts(first: np.ndarray) -> np.ndarray:
+    owner, rank = T.segments(np.maximum(np.diff(first) - WINDOW + 1, 0))
+    return first[:-1][owner] + rank
 
 
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +155,13 @@ def _split(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _per_text(place: np.ndarray, first: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Sorted places as offsets within their texts."""
     place = np.sort(place)
+    mark = place & BARE
+    order = np.argsort(place - mark, kind="stable")
+    place, mark = (place - mark)[order], mark[order]
     text = np.searchsorted(first, place, "right") - 1
     cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
     ends = np.append(cut[1:], len(text)).astype(int) if len(text) else []
-    return [(int(text[a]), (place[a:b] - first[text[a]]).astype(np.uint32)) for a, b in zip(cut, ends, strict=True)]
+    return [(int(text[a]), (place[a:b] - first[text[a]] + mark[a:b]).astype(np.uint32)) for a, b in zip(cut, ends, strict=True)]
 
 
 def _texts(batches, name: str = "text"):
@@ -160,7 +177,7 @@ def _send_seeds(buckets: int):
         """Rows (bucket, chunk, 5-byte names, borders as 4-byte word indexes, key): key < 0 for names, else the key of a text
         with its first word's index in `chunk` and, packed, the repeats that are settled here."""
         for b, i, _j, _, _, (_, _, h, first) in _texts(batches):
-            at, x = seeds(h, first)
+            at, x, _ = seeds(h, first)
             keys = b.column("rid").to_pylist()
             chunk = int(T.mix(np.array([keys[i] & (1 << 64) - 1], np.uint64))[0].view(np.int64))
             order, cut = _groups(x)
@@ -251,19 +268,18 @@ def _gather(batches):
 def _candidate_windows(h: np.ndarray, first: np.ndarray, repeated: list[bytes | None]) -> np.ndarray:
     """Starts of windows all of whose seeds are repeated."""
     n = len(h)
-    at, _ = seeds(h, first)
-    flagged = np.zeros(n + 1, bool)
+    at, _, total = seeds(h, first)
+    again = np.zeros(n + 2, np.int64)
+    bare = np.zeros(n + 1, bool)
     for i, r in enumerate(repeated):
         if r:
-            flagged[first[i] + np.frombuffer(r, np.uint32)] = True
-    fresh = np.zeros(n + 1, np.int64)
-    fresh[at] = 1
-    fresh[flagged] = 0
-    total = np.concatenate([[0], np.cumsum(fresh)])
-    counts = np.maximum(np.diff(first) - WINDOW + 1, 0)
-    owner, rank = T.segments(counts)
-    s = first[:-1][owner] + rank
-    return s[total[s + WINDOW - SIDE + 1] == total[s + SIDE]]
+            p = np.frombuffer(r, np.uint32).astype(np.int64)
+            again[first[i] + p[p < BARE] + 1] = 1
+            bare[first[i] + p[p >= BARE] - BARE] = True
+    fresh = total - np.cumsum(again)
+    s = window_starts(first)
+    lo, hi = s + SIDE, s + WINDOW - SIDE + 1
+    return s[(fresh[hi] == fresh[lo]) & ((total[hi] > total[lo]) | bare[s])]
 
 
 def _send_windows(buckets: int):
