@@ -26,6 +26,15 @@ def edge_type_key(t: Column) -> Column:
     return out
 
 
+def edge_key(t: str) -> str:
+    """edge_type_key of a constant."""
+    low = t.lower()
+    for k in KNOWN_EDGES:
+        if low in (k, k.replace("_", "")):
+            return k
+    return low if low.startswith("custom:") else f"custom:{low}"
+
+
 def edge_id(src: Column, dst: Column, key: Column) -> Column:
     """Injective: each part behind its length in bytes."""
     part = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions import compare as C
-from chronolith.functions.scalars import edge_type_key
+from chronolith.functions.scalars import edge_key
 from chronolith.operators import causal, decide, entity, graph, retrieval, text, vector
 
 TOKEN = re.compile(r'\s*(?:(?P<rel>-\[)|(?P<end>\]->)|(?P<num>-?\d+(?:\.\d+)?)|(?P<str>"[^"]*")|(?P<word>[^\W\d_][\w]*)|(?P<op>!=|>=|<=|[=<>(){}\[\],.:*]))')
@@ -430,7 +430,7 @@ class Log:
         # What all alternatives ask of an end or the type precedes the shuffle on the edge.
         groups = a["where"]
         if label:
-            events = events.where(F.col("etype") == edge_type_key(F.lit(label)))
+            events = events.where(F.col("etype") == edge_key(label))
         if len(groups) == 1:
             for left, op, right in groups[0]:
                 if op == "=" and right[0] == "lit" and isinstance(right[1], str) and left[0] == "prop":
@@ -454,7 +454,7 @@ class Log:
             test = C.compare(c[1], left, right, ln, rn)
             if c[0][1:] == (vr, "type") and c[2][0] == "lit" and isinstance(c[2][1], str) and c[1] in ("=", "!="):
                 # A custom type is accepted with and without its prefix.
-                test = C.compare(c[1], left, edge_type_key(F.lit(c[2][1])), False, False)
+                test = C.compare(c[1], left, F.lit(edge_key(c[2][1])), False, False)
             return test
 
         test = self._conditions(groups, one)
@@ -509,11 +509,10 @@ class Log:
         if s.require is not None and self.head() < s.require:
             raise GqlError(f"the log is at {self.head()}, before {s.require}")
         events = self.edge_events
-        if s.simulate:
+        if s.simulate and events is not None:
             bound = self.bound(s.args.get("as_of"))
             for action, src, dst, t in s.simulate:
-                key = self.spark.range(1).select(edge_type_key(F.lit(t))).first()[0]
-                events = graph.overlay(events, action, src, dst, key, bound)
+                events = graph.overlay(events, action, src, dst, edge_key(t), bound)
         return self._run(s, events)
 
     def _run(self, s: Statement, events: DataFrame | None) -> DataFrame:
@@ -531,12 +530,12 @@ class Log:
         if k == "NEAREST":
             return vector.nearest(self.episodes, a["vector"], a["k"], bound=bound)
         if k == "NEIGHBORS":
-            etype = None if a["etype"] is None else self.spark.range(1).select(edge_type_key(F.lit(a["etype"]))).first()[0]
+            etype = None if a["etype"] is None else edge_key(a["etype"])
             return graph.neighbors(events, a["node"], bound, etype)
         if k == "TRAVERSE":
             return graph.traverse(events, a["node"], a["depth"], bound)
         if k == "HYPOTHESES":
-            etype = self.spark.range(1).select(edge_type_key(F.lit(a["etype"]))).first()[0]
+            etype = edge_key(a["etype"])
             return graph.hypotheses(events, a["src"], a["dst"], etype, bound)
         if k == "WHY":
             if a["until"] is not None:
