@@ -369,7 +369,7 @@ def activation_topk(spark, sf):
 
 @q("distill_clusters")
 def distill_clusters(spark, sf):
-    return distill.distill(A.vectors(spark, sf)).drop("lsns")
+    return distill.distill(A.vectors(spark, sf), threshold=1.7).drop("lsns")
 
 
 # --- reports
@@ -507,6 +507,47 @@ def approx_percentiles(spark, sf):
     return sketches.quantiles(A.table(spark, sf, "events"), ["event_type"], "value", [0.5, 0.9, 0.99])
 
 
+@q("count_min_sketch")
+def count_min_sketch(spark, sf):
+    return sketches.count_min(A.table(spark, sf, "events"), "user_id").select(F.length("sketch").alias("bytes"))
+
+
+@q("bloom_filtered_join", "select e.event_id from events e where exists (select 1 from customer c where c.c_custkey = e.user_id and c.c_acctbal > 5000)")
+def bloom_filtered_join(spark, sf):
+    c = A.table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
+    return A.table(spark, sf, "events").join(c, "user_id", "left_semi").select("event_id")
+
+
+@q("first_seen", "select user_id, min(event_id) as first_lsn, arg_min(event_type, event_id) as first_kind, count(distinct event_type) as kinds from events group by 1")
+def first_seen(spark, sf):
+    return A.table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("first_lsn"), F.min_by("event_type", "event_id").alias("first_kind"), F.count_distinct("event_type").alias("kinds"))
+
+
+@q("attr_range_index", with_(EV, "select lsn, k from ev where k::double > 10 and k::double <= 12 and lsn < 6000"))
+def attr_range_index(spark, sf):
+    k = compare.number(F.col("attrs")["k"])
+    return A.events(spark, sf).where((F.col("lsn") < 6000) & (k > 10) & (k <= 12)).select("lsn", F.col("attrs")["k"].alias("k"))
+
+
+@q("arrow_batch_source", with_(EV, "select lsn, agent_id, kind, ts_ms << 16 as ts_hlc, strlen(content)::int as content_len from ev"))
+def arrow_batch_source(spark, sf):
+    return A.events(spark, sf).select("lsn", "agent_id", "kind", "ts_hlc", F.octet_length("content").alias("content_len"))
+
+
+@q("name_normal_form", "select p_partkey, upper(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')) as name from part")
+def name_normal_form(spark, sf):
+    return A.table(spark, sf, "part").select("p_partkey", scalars.normal_name(F.col("p_name")).alias("name"))
+
+
+@q("quantized_top", "with x as (select vec_id as lsn, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: power(round(embedding[i]::double * 127) - round(0.1 * (((i - 1) % 5) - 2) * 127), 2))) as d from embeddings) select lsn, d::bigint as distance from x order by x.d, lsn limit 20")
+def quantized_top(spark, sf):
+    """Squared distance between 8-bit codes, the coarse pass of a two-pass search."""
+    v = A.vectors(spark, sf).select("lsn", F.transform("embedding.euc", lambda x: F.round(x * 127)).alias("e"))
+    x = F.array(*(F.lit(float(round(c * 127))) for c in _query(spark, sf)))
+    d = F.aggregate(F.zip_with("e", x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+    return v.select("lsn", d.cast("long").alias("distance")).orderBy("distance", "lsn").limit(20)
+
+
 # --- SQL over the log
 def _sql(name: str, statement: str, oracle: str | None = None):
     def run(spark, sf):

@@ -3,45 +3,96 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-WARM_UP, DELAY, OUTLIER = 20, 10, 4.0
 FUSION = {"rule": 0.35, "behavioral": 0.25, "graph": 0.25, "threat_intel": 0.15}
 
 
-def fold_baseline(pdf: pd.DataFrame, warm_up: int = WARM_UP, delay: int = DELAY, outlier: float = OUTLIER) -> pd.DataFrame:
-    """Values of one entity in order: scored by |x - mean| / std of what was absorbed, `delay` values behind; an outlier is
-    never absorbed. (entity, lsn, score, state)."""
-    n, mean, m2 = 0, 0.0, 0.0
-    wait: list[float] = []
+@dataclass(frozen=True)
+class Baseline:
+    """When a profile is trusted, what it may learn from, and how much of it."""
+
+    support: int = 20
+    delay: int = 10
+    quarantine: int = 5
+    rate: int = 100
+    rate_window: int = 1024
+    outlier: float = 4.0
+    feedback_weight: float = 0.25
+    kept: int = 128
+    shadow_only: bool = False
+
+
+def _score(n: int, w: float, mean: float, m2: float, last: list[float], x: float, policy: Baseline) -> float | None:
+    """The greater of the z-score and the distance from the median in robust deviations; nothing below the support."""
+    if n < policy.support:
+        return None
+    sd = math.sqrt(m2 / w) if w > 0 else 0.0
+    z = abs(x - mean) / sd if sd > 0 else (0.0 if x == mean else policy.outlier + 1)
+    q1, med, q3 = np.quantile(last, (0.25, 0.5, 0.75))
+    if q3 - q1 > 1e-12:
+        return float(max(z, abs(x - med) / ((q3 - q1) / 1.349)))
+    return float(max(z, 0.0 if abs(x - med) <= 1e-12 else policy.outlier + 1))
+
+
+def fold_baseline(pdf: pd.DataFrame, policy: Baseline = Baseline()) -> pd.DataFrame:
+    """Values of one entity in order of lsn: (entity, lsn, score, state). A shadow profile learns until it has support and
+    delay observations and is then promoted; a trusted one scores what comes, learns from what isn't an outlier, and after
+    an outlier or a suspicious event sits out the quarantine. Trusted feedback learns with less weight and ends quarantine;
+    a rate limits what is learned per stretch of the log. Optional columns: suspicious, feedback."""
+    n, w, mean, m2 = 0, 0.0, 0.0, 0.0
+    last: list[float] = []
+    trusted, wait, seen = False, 0, None
+    window, used = None, 0
     out = []
-    for lsn, x in pdf.sort_values("lsn")[["lsn", "x"]].itertuples(index=False):
-        if n < warm_up:
-            out.append((int(lsn), None, "warming"))
-            state = "warming"
+    pdf = pdf.sort_values("lsn", kind="stable")
+    flags = [pdf[c].fillna(False).astype(bool) if c in pdf else [False] * len(pdf) for c in ("suspicious", "feedback")]
+    for lsn, x, suspicious, feedback in zip(pdf["lsn"], pdf["x"], *flags, strict=True):
+        score = _score(n, w, mean, m2, last, x, policy) if trusted else None
+        learn = False
+        if seen == lsn:
+            state = "duplicate"
+        elif suspicious and not feedback:
+            state = "suspicious"
+            wait = policy.quarantine if trusted else wait
         else:
-            sd = math.sqrt(m2 / n)
-            z = abs(x - mean) / sd if sd > 0 else 0.0
-            state = "outlier" if z >= outlier else "normal"
-            out.append((int(lsn), z, state))
-        if state != "outlier":
-            wait.append(x)
-        if len(wait) > (0 if n < warm_up else delay):
-            y = wait.pop(0)
-            n += 1
-            d = y - mean
-            mean += d / n
-            m2 += d * (y - mean)
+            if window is None or lsn - window >= policy.rate_window:
+                window, used = lsn, 0
+            if used >= policy.rate:
+                state = "rate_limited"
+            else:
+                used += 1
+                if trusted and wait > 0 and not feedback:
+                    wait, state = wait - 1, "quarantined"
+                elif trusted and score is not None and score >= policy.outlier and not feedback:
+                    wait, state = policy.quarantine, "outlier"
+                else:
+                    wait = 0 if feedback else wait
+                    learn, state = True, "feedback" if feedback else "updated" if trusted else "warming"
+        seen = lsn
+        if learn:
+            add = policy.feedback_weight if feedback else 1.0
+            n, w = n + 1, w + add
+            d = x - mean
+            mean += add * d / w
+            m2 += add * d * (x - mean)
+            last = [*last, x][-policy.kept :]
+            if not trusted and not policy.shadow_only and n >= policy.support + policy.delay:
+                trusted, state = True, "promoted"
+        out.append((int(lsn), score, state))
     return pd.DataFrame([(pdf["entity"].iloc[0], *r) for r in out], columns=["entity", "lsn", "score", "state"])
 
 
-def baselines(events: DataFrame, entity: str, value: str) -> DataFrame:
-    run = lambda pdf: fold_baseline(pdf)
-    e = events.select(F.col(entity).cast("string").alias("entity"), "lsn", F.col(value).alias("x")).where("x is not null")
+def baselines(events: DataFrame, entity: str, value: str, policy: Baseline = Baseline(), suspicious: Column | None = None, feedback: Column | None = None) -> DataFrame:
+    run = lambda pdf: fold_baseline(pdf, policy)
+    no = F.lit(False)
+    e = events.select(F.col(entity).cast("string").alias("entity"), "lsn", F.col(value).alias("x"), (no if suspicious is None else suspicious).alias("suspicious"), (no if feedback is None else feedback).alias("feedback")).where("x is not null")
     return e.groupBy("entity").applyInPandas(run, "entity string, lsn long, score double, state string")
 
 

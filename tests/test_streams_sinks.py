@@ -29,11 +29,14 @@ def test_missing_fields(spark):
     assert ids(("ne", "f", "a")) == [] and ids(("not", ("eq", "f", "a"))) == [2]
 
 
-def test_baseline_flags_and_does_not_learn_an_outlier():
+def test_baseline_dispositions():
     xs = [10.0 + (i % 3) for i in range(60)]
     xs[50] = 500.0
     out = detectors.fold_baseline(pd.DataFrame({"entity": "e", "lsn": range(60), "x": xs}))
-    assert list(out[out.state == "outlier"].lsn) == [50] and (out.state[:20] == "warming").all()
+    assert (out.state[:29] == "warming").all() and out.state[29] == "promoted" and (out.state[30:50] == "updated").all()
+    assert out.state[50] == "outlier" and out.score[50] > 4 and (out.state[51:56] == "quarantined").all() and out.state[56] == "updated"
+    pdf = pd.DataFrame({"entity": "e", "lsn": [0, 0, 1, 2, 3], "x": [1.0] * 5, "suspicious": [False, False, True, True, False], "feedback": [False, False, False, True, False]})
+    assert list(detectors.fold_baseline(pdf, detectors.Baseline(rate=2)).state) == ["warming", "duplicate", "suspicious", "feedback", "rate_limited"]
 
 
 def test_distill_groups_near_points():
