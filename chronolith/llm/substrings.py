@@ -35,6 +35,8 @@ WINDOW, ROUNDS, SIDE = 20, 3, 7
 #: Words of a symbol at most; a longer run or pair is not named.
 WIDEST = 7
 FAR = np.int64(1 << 40)
+#: Bytes of text within which repeats are settled before anything is sent.
+CHUNK = 1 << 21
 #: Added to the place of a window; a chunk has fewer words.
 BARE = np.int64(1 << 31)
 
@@ -167,7 +169,7 @@ def _per_text(place: np.ndarray, first: np.ndarray) -> list[tuple[int, np.ndarra
 def _texts(batches, name: str = "text"):
     for b in batches:
         data, off = T.column(b.column(name))
-        for i, j in T.chunks(off):
+        for i, j in T.chunks(off, CHUNK):
             d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             yield b, i, j, d, o, T.words(d, o, T.BYTE)
 

@@ -7,6 +7,8 @@ a mixer; it is 64 bits wide, and whoever needs certainty compares more bits or t
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -90,13 +92,23 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, space: np.ndarra
     return starts, ends, mix(h), np.searchsorted(starts, off)
 
 
-def chunks(off: np.ndarray, most: int = 1 << 21):
-    """Ranges of whole texts of about `most` bytes, one text at least."""
+def chunks(off: np.ndarray, most: int = 1 << 19):
+    """Ranges of whole texts of about `most` bytes, one text at least; what they took goes back to the system at the end,
+    as the worker lives on beside others."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield i, j
         i = j
+    tidy()
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
