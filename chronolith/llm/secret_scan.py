@@ -1,8 +1,8 @@
 r"""Secret scans by a trigram inverted index, JVM-side.
 
 Each rule is a regular expression; a Boolean query over trigrams is derived from it (AND within a literal, OR between
-alternatives). The index holds, for the trigrams of any query, the ids of texts whose lower-cased form contains them, in
-lists of bounded length (texts are spread over blocks). A query intersects and unites lists block by block; only the
+alternatives). The index holds, for the rarest two trigrams of each conjunction, the ids of texts whose lower-cased form
+contains them, in lists of bounded length (texts are spread over blocks). A query intersects and unites lists block by block; only the
 candidates are then matched. A rule without a mandatory trigram, such as a run of hexadecimal digits, scans every text.
 
 Matches are leftmost and non-overlapping per rule, then those whose secret is shorter than the rule's least length go.
@@ -15,6 +15,7 @@ an empty table gives no rows; other columns pass by (scan) or are kept (redact).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from re import _constants as C
 from re import _parser as P
@@ -122,41 +123,67 @@ def trigram_query(regex: str) -> object:
     return _strings(exact) if exact is not None else _all(held)
 
 
-def trigrams(query: object) -> set[str]:
-    return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1:]))
+COMMON = set("etaoinsrhdl ")
+#: Trigrams of a conjunction that are indexed: any subset still finds every match, and the rarest do most of the work.
+INDEXED = 2
+
+
+def conjunctions(query: object) -> list[tuple[str, ...]]:
+    """A query as alternatives of few rare trigrams each, the rarest (by its letters) first. An alternative that asks for
+    more than another is dropped."""
+    if isinstance(query, str):
+        alternatives = [frozenset([query])]
+    elif query[0] == "or":
+        alternatives = [frozenset(c) for q in query[1:] for c in _product([q])]
+    else:
+        alternatives = _product(query[1:])
+    least = [a for a in alternatives if not any(b < a for b in alternatives)]
+    thin = (tuple(sorted(a, key=lambda t: (sum(c in COMMON for c in t), t))[:INDEXED]) for a in least)
+    return sorted(set(thin))
+
+
+def _product(queries) -> list[frozenset]:
+    out = [frozenset()]
+    for q in queries:
+        options = [frozenset([q])] if isinstance(q, str) else [frozenset(c) for x in q[1:] for c in _product([x])] if q[0] == "or" else _product(q[1:])
+        out = [a | b for a in out for b in options]
+    return out
+
+
+def asked(rules) -> dict[str, list[tuple[str, ...]]]:
+    return {r.kind: conjunctions(q) for r in rules if (q := trigram_query(r.regex)) is not None}
 
 
 # --- index and candidates
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, rules, ws: Workspace, name: str = "postings") -> DataFrame:
-    """(block, trigram, ids): the inverted index over the trigrams that any rule asks for."""
-    vocabulary = sorted(set().union(*(trigrams(trigram_query(r.regex)) for r in rules)))
+    """(block, trigram, ids): the inverted index over the trigrams that the rules ask for. A trigram that only follows
+    rarer ones lists the texts that hold one of those too: nothing else is ever intersected with it."""
     low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.col("low").contains(t), F.lit(t)) for t in vocabulary)))
-    rows = low.select("id", held.alias("held")).where(F.size("held") > 0).select("id", F.explode("held").alias("trigram"))
+    after: dict[str, list[str]] = {}
+    for c in sorted({c for cs in asked(rules).values() for c in cs}):
+        after.setdefault(c[0], []).extend(t for t in c[1:] if t not in after.get(c[0], []))
+    test = lambda t: F.when(F.col("low").contains(t), F.lit(t))
+    none = F.expr("cast(array() as array<string>)")
+    held = F.concat(*(F.when(F.col("low").contains(t), F.array(F.lit(t), *map(test, more))).otherwise(none) for t, more in after.items()))
+    rows = low.select("id", F.array_distinct(F.array_compact(held)).alias("held")).where(F.size("held") > 0).select("id", F.explode("held").alias("trigram"))
     blocks = 4 * partitions(docs.sparkSession)
     return ws.save(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "trigram").agg(F.collect_set("id").alias("ids")), name)
 
 
-def _evaluate(query: object, lists: dict[str, Column]) -> Column:
-    if isinstance(query, str):
-        return lists[query]
-    parts = [_evaluate(q, lists) for q in query[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.array_intersect(out, p) if query[0] == "and" else F.array_union(out, p)
-    return out
-
-
 def candidates(index: DataFrame, rules) -> DataFrame:
-    """(id, kinds): which rules' queries a text meets, by intersecting posting lists within each block."""
-    asked = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not None}
-    vocabulary = sorted(set().union(*map(trigrams, asked.values())))
+    """(id, kinds): which rules' queries a text meets, by intersecting and uniting posting lists within each block."""
+    want = asked(rules)
+    vocabulary = sorted({t for cs in want.values() for c in cs for t in c})
     empty = F.expr(f"cast(array() as {index.schema['ids'].dataType.simpleString()})")
     wide = index.groupBy("block").agg(*(F.coalesce(F.first(F.when(F.col("trigram") == t, F.col("ids")), ignorenulls=True), empty).alias(f"t{i}") for i, t in enumerate(vocabulary)))
     lists = {t: F.col(f"t{i}") for i, t in enumerate(vocabulary)}
-    hits = wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), _evaluate(q, lists).alias("ids")) for k, q in asked.items()))).alias("x")).select("x.kind", F.explode("x.ids").alias("id"))
+
+    def found(cs) -> Column:
+        return reduce(F.array_union, (reduce(F.array_intersect, (lists[t] for t in c)) for c in cs))
+
+    hits = wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), found(cs).alias("ids")) for k, cs in want.items()))).alias("x")).select("x.kind", F.explode("x.ids").alias("id"))
     return hits.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
