@@ -3,7 +3,7 @@
 The model file's protobuf is parsed here (no generated code) and rebuilt as a `tokenizers` pipeline: normaliser (a compiled
 character map, if the model has one, the dummy prefix and the metaspace marker), scores (unigram scores, or merge ranks of
 a BPE model), byte fallback and decoder. Where no piece holds the marker after another character, a text splits before
-each run of markers without changing its ids; each distinct unit is encoded once per task, in multithreaded batches, and
+each run of markers without changing its ids; each distinct unit is encoded once per task, many to a text, in multithreaded batches, and
 each is compared with the sentencepiece library's own ids at once: parity covers every unit of every text. A unit that
 differs (long runs of markers, where equal scores tie) takes the library's ids, and its texts say parity = false.
 
@@ -29,8 +29,16 @@ from chronolith.llm.common import ship
 MODEL = os.environ.get("CHRONOLITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 THREADS = 2
-#: Units that a task remembers; the memory is emptied when full. Longer units are encoded anew each time.
-CACHE, LONG = 200_000, 64
+#: Units that a task remembers, in two generations of at most CACHE (some 250 bytes each): a full one takes the place of the
+#: older, which is dropped but for what is asked again. Longer units are encoded anew each time. Units and texts go to the
+#: library BATCH units or CHUNK bytes at a time.
+CACHE, LONG, BATCH = 100_000, 64, 4096
+CHUNK = 1 << 20
+#: Words remembered by fingerprint, some 40 bytes each.
+REMEMBERED = 1_000_000
+#: Words that go to the libraries as one text.
+JOINED = 64
+BLANK = np.arange(256) == 32
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -151,10 +159,19 @@ class Codec:
         self.t, self.splits = Tokenizer.from_str(built), splits
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.unit = re.compile(f"{MARK}+[^{MARK}]*")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()
+        vocab = self.t.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts[[i for p, i in vocab.items() if p.startswith(MARK)]] = True
+        self._forget()
 
     def _fill(self, missing: list[str], into: dict) -> None:
+        for k in range(0, len(missing), BATCH):
+            self._add(missing[k : k + BATCH], into)
+
+    def _add(self, missing: list[str], into: dict) -> None:
         plain = [u[1:].replace(MARK, " ") for u in missing]
         got = self.t.encode_batch(plain, add_special_tokens=False)
         for u, e, ref in zip(missing, got, self.sp.encode(plain, num_threads=1), strict=True):
@@ -163,7 +180,7 @@ class Codec:
             if u != MARK and ids != ref:
                 self.odd.add(u)
                 ids = ref
-            into[u] = ids
+            into[u] = np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list, list[bool]]:
         """Ids of each text, and whether all of its units agree with the sentencepiece library."""
@@ -174,17 +191,112 @@ class Codec:
             return ref, [a == b for a, b in zip(got, ref, strict=True)]
         units = [self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-            self.odd.clear()
-        local: dict[str, list[int]] = {}
+            self.old, self.known = self.known, {}
+        local: dict[str, bytes] = {}
         missing = set(itertools.chain.from_iterable(units)) - self.known.keys()
+        again = missing & self.old.keys()
+        self.known.update((u, self.old[u]) for u in again)
+        missing -= again
         self._fill([u for u in missing if len(u) <= LONG], self.known)
         self._fill([u for u in missing if len(u) > LONG], local)
         of = self.known if not local else {**self.known, **local}
-        ids = [np.fromiter(itertools.chain.from_iterable(map(of.__getitem__, us)), np.int32) for us in units]
+        ids = [np.frombuffer(b"".join(map(of.__getitem__, us)), np.int32) for us in units]
         same = [self.odd.isdisjoint(us) for us in units] if self.odd else [True] * len(units)
         return ids, same
 
+    def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, counts, parity, round trip) of UTF-8 texts. Where single blanks part a text, its units are its
+        words, known by a 64-bit fingerprint and looked up together; other texts go the way of `encode`."""
+        n = len(off) - 1
+        slow = np.zeros(n, bool)
+        blank = data == 32
+        where = np.flatnonzero(blank[:-1] & blank[1:]) if len(data) else np.zeros(0, np.int64)
+        if len(data) > 2:
+            where = np.append(where, np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)))
+        slow[np.searchsorted(off, where, "right") - 1] = True
+        some = np.diff(off) > 0
+        slow[some] |= blank[off[:-1][some]] | blank[off[1:][some] - 1]
+        if not self.splits:
+            slow[:] = True
+        none = slow.all()
+        start, end, h, first = T.words(data[:0], off * 0, T.BYTE, BLANK) if none else T.words(data, off, T.BYTE, BLANK)
+        u, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
+        known = self.keys[at] == u if len(self.keys) else np.zeros(len(u), bool)
+        new = np.flatnonzero(~known)
+        for k in range(0, len(new), BATCH):
+            part = new[k : k + BATCH]
+            raw = data.tobytes() if k == 0 else raw
+            plain = [raw[a:b].decode() for a, b in zip(start[lead[part]].tolist(), end[lead[part]].tolist(), strict=True)]
+            self._keep.append((u[part], *self._learn(plain)))
+        if len(new):
+            old = (self.keys, self.size, self.flat, self.good, self.back)
+            keys, size, flat, good, back = (np.concatenate(x) for x in zip(old, *self._keep, strict=True))
+            self._keep = []
+            order = np.argsort(keys, kind="stable")
+            begin = (np.cumsum(size) - size)[order]
+            size = size[order]
+            self.flat = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat))]
+            self.keys, self.size, self.good, self.back = keys[order], size, good[order], back[order]
+            at = np.searchsorted(self.keys, u)
+        of = at[inverse]
+        size = self.size[of] if len(of) else np.zeros(0, np.int64)
+        begin = (np.cumsum(self.size) - self.size)[of] if len(of) else size
+        ids = self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(of) else np.zeros(0, np.int32)
+        run = lambda x: np.concatenate([[0], np.cumsum(x)])
+        total = run(size)[first]
+        odd = lambda flag: np.diff(run(~flag[of])[first]) == 0 if len(of) else np.ones(n, bool)
+        same, back = odd(self.good), odd(self.back)
+        counts = np.diff(total)
+        if slow.any():
+            raw = data.tobytes()
+            parts = []
+            for k in range(n):
+                if slow[k]:
+                    text = raw[off[k] : off[k + 1]].decode()
+                    (x,), (same[k],) = self.encode([text])
+                    x = np.asarray(x, np.int32)
+                    back[k] = self.decode([x])[0] == text
+                    counts[k] = len(x)
+                    parts.append(x)
+                else:
+                    parts.append(ids[total[k] : total[k + 1]])
+            ids = np.concatenate(parts)
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        return ids, counts, same, back
+
+    def _learn(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, ids, parity, round trip) of words. JOINED of them make one text for the libraries, whose ids part where a
+        piece begins with the marker; where anything of such a text disagrees, its words go one by one."""
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        texts = [" ".join(g) for g in groups]
+        got = [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
+        ref = self.sp.encode(texts, num_threads=1)
+        whole = self.t.decode_batch(ref, skip_special_tokens=False)
+        size, flat, good, back = [], [], [], []
+        for g, t, x, r, d in zip(groups, texts, got, ref, whole, strict=True):
+            ids = np.array(r, np.int32)
+            cut = np.flatnonzero(self.starts[ids])
+            if x == r and d == t and len(cut) == len(g) and cut[0] == 0:
+                size.append(np.diff(np.append(cut, len(ids))))
+                flat.append(ids)
+                good.append(np.ones(len(g), bool))
+                back.append(np.ones(len(g), bool))
+                continue
+            mine = [e.ids for e in self.t.encode_batch(g, add_special_tokens=False)]
+            one = self.sp.encode(g, num_threads=1)
+            size.append(np.array([len(y) for y in one], np.int64))
+            flat.append(np.fromiter(itertools.chain.from_iterable(one), np.int32))
+            good.append(np.array([y == z for y, z in zip(mine, one, strict=True)]))
+            back.append(np.array([y == z for y, z in zip(self.t.decode_batch(one, skip_special_tokens=False), g, strict=True)]))
+        return np.concatenate(size), np.concatenate(flat), np.concatenate(good), np.concatenate(back)
+
+    def _forget(self) -> None:
+        z = np.zeros(0, np.int64)
+        self.keys, self.size, self.flat, self.good, self.back = z.astype(np.uint64), z, z.astype(np.int32), z.astype(bool), z.astype(bool)
+        self._keep: list = []
+
     def decode(self, ids: list) -> list[str]:
         return self.t.decode_batch([x.tolist() if isinstance(x, np.ndarray) else x for x in ids], skip_special_tokens=False)
 
@@ -206,14 +318,11 @@ def encode(df: DataFrame, text_col: str, path: str = MODEL, check: bool = True)
     def run(batches):
         codec = load()
         for b in batches:
-            _, off = T.column(b.column(text_col))
-            for i, j in T.chunks(off, 1 << 20):
-                texts = [t or "" for t in b.column(text_col).slice(i, j - i).to_pylist()]
-                ids, same = codec.encode(texts)
-                counts = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if len(ids) else np.zeros(0, np.int32)
+            data, off = T.column(b.column(text_col))
+            for i, j in T.chunks(off, CHUNK):
+                flat, counts, same, back = codec.encode_chunk(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-                more = [pa.array([a == t for a, t in zip(codec.decode(ids), texts, strict=True)])] if check else []
+                more = [pa.array(back)] if check else []
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), lists, pa.array(counts), pa.array(same), *more], [*b.schema.names, "ids", "n_tokens", "parity", *["round_trip"] * check])
 
     return df.mapInArrow(run, ddl)
