@@ -131,10 +131,10 @@ def degree_as_of(spark, sf):
     return graph.degree_at(A.edge_events(spark, sf), "n5", BOUND)
 
 
-def _orders(spark, sf):
-    """Customers and the parity classes of their orders: several components."""
+def _orders(spark, sf, where: str = "true"):
+    """Customers and the classes of their orders."""
     o = A.table(spark, sf, "orders")
-    return o.where("o_custkey % 7 = o_orderkey % 7").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("k"), F.col("o_orderkey") % 997).alias("dst"), F.lit("custom:placed").alias("etype"), F.lit(0.5).alias("belief"))
+    return o.where(where).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("k"), F.col("o_orderkey") % 997).alias("dst"), F.lit("custom:placed").alias("etype"), F.lit(0.5).alias("belief"))
 
 
 OR = "o as (select 'c' || o_custkey as src, 'k' || (o_orderkey % 997) as dst from orders where o_custkey % 7 = o_orderkey % 7)"
@@ -142,12 +142,18 @@ OR = "o as (select 'c' || o_custkey as src, 'k' || (o_orderkey % 997) as dst fro
 
 @q("community_components", "with recursive " + OR + ", e as (select src as a, dst as b from o union select dst, src from o), l(node, c) using key (node) as (select a, min(least(a, b)) from e group by 1 union select e.a, min(l.c) from e join l on l.node = e.b join recurring.l as r on r.node = e.a where l.c < r.c group by 1) select node, c as community from l")
 def community_components(spark, sf):
+    """Orders of one parity class, as in the SQL; community_components_all takes all orders."""
+    return graph.components(_orders(spark, sf, "o_custkey % 7 = o_orderkey % 7"))
+
+
+@q("community_components_all", SQL["community_components"].replace(" where o_custkey % 7 = o_orderkey % 7", ""))
+def community_components_all(spark, sf):
     return graph.components(_orders(spark, sf))
 
 
 @q("community_leiden")
 def community_leiden(spark, sf):
-    return community.modular(_orders(spark, sf).where("dst < 'k3'"))
+    return community.modular(_orders(spark, sf))
 
 
 @q("shortest_path", "select 'c5>n' || c_nationkey || '>r' || n_regionkey as path, 2::int as hops from customer join nation on c_nationkey = n_nationkey where c_custkey = 5")
