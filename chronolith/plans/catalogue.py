@@ -18,6 +18,9 @@ from chronolith.streaming import detectors, rules, sigma
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 BOUND = 80_000
+AS_OF = f" AS OF LSN {BOUND}"
+#: Beyond every lsn.
+END = 10**18
 
 EV = """ev as (select event_id as lsn, 'e' || event_id as id, epoch_us(ts) // 1000 as ts_ms, 'user-' || user_id as agent_id, event_type as kind, user_id,
   printf('%.2f', value) as value, json_extract_string(props, '$.k') as k, case when event_id % 2 = 0 then event_id end as valid_from,
@@ -66,6 +69,8 @@ def gql(name: str, statement: str, sql: str, tables: str = "events", rounded: tu
         return flat
 
     QUERIES[name], SQL[name] = run, sql
+    if AS_OF in statement and not statement.startswith("SIMULATE"):
+        gql(name.removesuffix("_as_of") + "_all", statement.replace(AS_OF, ""), sql.replace(G, graph_sql(END)), tables, rounded)
 
 
 def with_(ctes: str, rest: str) -> str:
@@ -131,6 +136,38 @@ def degree_as_of(spark, sf):
     return graph.degree_at(A.edge_events(spark, sf), "n5", BOUND)
 
 
+# --- the same over the whole log: a point of time is no part of these reports
+G_ALL = graph_sql(END)
+
+
+def _log(spark, sf) -> tuple[DataFrame, int]:
+    """Edge events and the lsn after the last."""
+    e = A.edge_events(spark, sf)
+    top = e.agg(F.max("lsn")).first()[0]
+    return e, 0 if top is None else top + 1
+
+
+@q("edge_intervals_all", SQL["edge_intervals"].replace(G, G_ALL))
+def edge_intervals_all(spark, sf):
+    return graph.intervals(A.edge_events(spark, sf)).select("edge_id", "from_lsn", "to_lsn")
+
+
+@q("edge_belief_all", SQL["edge_belief"].replace(G, G_ALL))
+def edge_belief_all(spark, sf):
+    return graph.beliefs(*_log(spark, sf)).select("edge_id", F.round("belief", 4).alias("belief"), "versions")
+
+
+@q("node_metrics_all", SQL["node_metrics"].replace(G, G_ALL))
+def node_metrics_all(spark, sf):
+    return graph.metrics(graph.edges_at(*_log(spark, sf))).select("node", "degree", F.round("centrality", 4).alias("centrality"), F.round("anomaly", 4).alias("anomaly"))
+
+
+@q("degree_all", SQL["degree_as_of"].replace(G, G_ALL))
+def degree_all(spark, sf):
+    e, head = _log(spark, sf)
+    return graph.degree_at(e, "n5", head)
+
+
 def _orders(spark, sf, where: str = "true"):
     """Customers and the classes of their orders."""
     o = A.table(spark, sf, "orders")
@@ -175,6 +212,19 @@ def edge_decay(spark, sf):
     return graph.edges_at(A.edge_events(spark, sf), BOUND).select("edge_id", F.round(F.col("belief") * graph.decay(0.0001, F.lit(BOUND) - F.col("from_lsn")), 4).alias("weight"))
 
 
+@q("spreading_activation_all", SQL["spreading_activation"].replace(G, G_ALL))
+def spreading_activation_all(spark, sf):
+    ctx = spark.createDataFrame([("s1", 1.0), ("s2", 1.0), ("s3", 1.0)], "node string, score double")
+    e, head = _log(spark, sf)
+    return graph.spread(graph.edges_at(e.where(F.col("src").isin("s1", "s2", "s3")), head), ctx).select("node", F.round("activation", 4).alias("activation"))
+
+
+@q("edge_decay_all", with_(G_ALL, "select edge_id, round(belief * exp(-0.0001 * ((select max(lsn) + 1 from ee) - from_lsn)), 4) as weight from eg"))
+def edge_decay_all(spark, sf):
+    e, head = _log(spark, sf)
+    return graph.edges_at(e, head).select("edge_id", F.round(F.col("belief") * graph.decay(0.0001, F.lit(head) - F.col("from_lsn")), 4).alias("weight"))
+
+
 @q("view_state_hash")
 def view_state_hash(spark, sf):
     return graph.state_hash(graph.intervals(A.edge_events(spark, sf)))
@@ -228,6 +278,12 @@ def decide_actions(spark, sf):
     return decide.decide(graph.edges_at(A.edge_events(spark, sf), BOUND), done, fraud_type="custom:sells")
 
 
+@q("decide_actions_all", SQL["decide_actions"].replace(G, G_ALL))
+def decide_actions_all(spark, sf):
+    done = spark.range(1).select(F.lit("flag_anomaly:n5").alias("action_id"))
+    return decide.decide(graph.edges_at(*_log(spark, sf)), done, fraud_type="custom:sells")
+
+
 @q("adapt_threshold", """with f as (select value as score, event_type = 'purchase' or value > 120 as ok from events), s as (select score, sum(ok::int) as good, count(*) as n from f group by 1),
 r as (select score, sum(good) over (order by score desc) as tp, sum(n) over (order by score desc) as n, (select sum(ok::int) from f) as pos from s),
 e as (select score, tp / n as p, tp / pos as r, case when tp > 0 then 2 * (tp / n) * (tp / pos) / (tp / n + tp / pos) else 0 end as f1 from r)
@@ -654,6 +710,13 @@ def join_interval(spark, sf):
     return iv.join(F.broadcast(p), (F.col("from_lsn") <= F.col("lsn")) & (F.col("to_lsn").isNull() | (F.col("to_lsn") > F.col("lsn")))).select("lsn", "edge_id")
 
 
+@q("join_interval_alive_all", with_(G_ALL, "select p.lsn, iv.edge_id from (select unnest(range(2000, (select max(lsn) + 1 from ee), 10000)) as lsn) p join iv on iv.from_lsn <= p.lsn and (iv.to_lsn is null or iv.to_lsn > p.lsn) where iv.src = 's3'"))
+def join_interval_all(spark, sf):
+    e, head = _log(spark, sf)
+    p = spark.range(2000, max(head, 2000), 10000).select(F.col("id").alias("lsn"))
+    return graph.intervals(e.where(F.col("src") == "s3")).join(F.broadcast(p), (F.col("from_lsn") <= F.col("lsn")) & (F.col("to_lsn").isNull() | (F.col("to_lsn") > F.col("lsn")))).select("lsn", "edge_id")
+
+
 @q("join_domain_suffix", "with h as (select page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) as host from pages), i as (select unnest(['example.net', 'tionble.example.com']) as domain) select page_id, host, domain, host = domain as exact from h join i on host = domain or ends_with(host, '.' || domain)")
 def join_domain_suffix(spark, sf):
     h = A.table(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"))

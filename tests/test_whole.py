@@ -1,15 +1,17 @@
 """Queries over whole tables against brute force on small fixtures."""
 
+import duckdb
 import pandas as pd
 import pytest
 
 from chronolith.operators import community
 from chronolith.plans import catalogue
+from tests.test_catalogue import rows as table
 
 
 def save(path, **tables):
     for name, rows in tables.items():
-        pd.DataFrame(rows).to_parquet(path / f"{name}.parquet", index=False)
+        pd.DataFrame(rows).to_parquet(path / f"{name}.parquet", index=False, coerce_timestamps="us")
     return str(path)
 
 
@@ -46,3 +48,31 @@ def test_leiden_takes_all_orders_and_finds_the_best_partition(spark, orders):
 def test_components_of_all_orders(spark, orders):
     got = {r.node: r.community for r in catalogue.QUERIES["community_components_all"](spark, orders).collect()}
     assert got == {n: "c1" if i == 0 else "c10" for i, part in enumerate(LINKS) for c, k in part for n in (f"c{c}", f"k{k}")}
+
+
+EDGE_ALL = ["edge_match_all", "edge_match_typed_all", "neighbors_all", "edge_hypotheses_all", "traverse_bfs_all", "metrics_node_all", "edge_intervals_all", "edge_belief_all", "node_metrics_all", "degree_all", "spreading_activation_all", "edge_decay_all", "decide_actions_all", "join_interval_alive_all"]
+
+
+@pytest.fixture(scope="module")
+def late(tmp_path_factory):
+    """A log of which most lies beyond the fixed bounds."""
+    li = [{"l_orderkey": 7 * i, "l_linenumber": 1 + i % 3, "l_suppkey": 1 + i % 9, "l_partkey": i % 11, "l_returnflag": "ARN"[i % 5 % 3], "l_linestatus": "FO"[i % 4 > 0], "l_discount": i % 11 / 100} for i in range(1, 6000)]
+    return save(
+        tmp_path_factory.mktemp("late"), lineitem=li, nation=[{"n_nationkey": i, "n_regionkey": i // 6, "n_name": f"N{i}"} for i in range(25)], supplier=[{"s_suppkey": i, "s_nationkey": i % 25} for i in range(1, 10)],
+        customer=[{"c_custkey": i, "c_nationkey": i % 25} for i in range(1, 60)], events=[{"event_id": 0, "user_id": 0, "event_type": "view", "value": 1.0, "ts": pd.Timestamp("2024-01-01"), "props": "{}"}],
+    )
+
+
+@pytest.mark.parametrize("name", EDGE_ALL)
+def test_reports_take_the_whole_log(spark, late, name):
+    df = catalogue.QUERIES[name](spark, late)
+    duck = duckdb.connect()
+    for t in ("lineitem", "nation", "supplier", "customer"):
+        duck.execute(f"create view {t} as select * from '{late}/{t}.parquet'")
+    want = duck.execute(catalogue.SQL[name])
+    assert table([tuple(r) for r in df.collect()], df.columns) == table(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_intervals_of_late_edges(spark, late):
+    seen = catalogue.QUERIES["edge_intervals_all"](spark, late).agg({"from_lsn": "max"}).first()[0]
+    assert seen > 400_000 > 5 * catalogue.BOUND - 1
