@@ -486,6 +486,11 @@ def group_sum_mini(spark, sf):
     return analytics.group_sum(e, ["agent_id", "kind"], ["len"])
 
 
+@q("group_sum_all", SQL["group_sum_mini"].replace(" where event_id < 3000", ""))
+def group_sum_all(spark, sf):
+    return analytics.group_sum(A.events(spark, sf).withColumn("len", F.octet_length("kind")), ["agent_id", "kind"], ["len"])
+
+
 @q("security_counts", "select event_type as category, source as datasource, outcome, grouping(event_type, source, outcome)::bigint as level, count(*) as n from (select event_type, 'src' || (user_id % 5) as source, case when value > 50 then 'high' else 'low' end as outcome from events) group by grouping sets ((event_type), (source), (outcome), ())")
 def security_counts(spark, sf):
     e = A.table(spark, sf, "events").select(F.col("event_type").alias("category"), F.concat(F.lit("src"), F.col("user_id") % 5).alias("datasource"), F.when(F.col("value") > 50, "high").otherwise("low").alias("outcome"))
@@ -637,6 +642,7 @@ _sql("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1
 _sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 _sql("self_join_cte", "WITH e AS (SELECT event_id, user_id, event_type FROM events WHERE event_id < 2000) SELECT a.event_id AS first_id, b.event_id AS second_id FROM e a JOIN e b ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.event_id <= a.event_id + 50 AND a.event_type = 'click' AND b.event_type = 'purchase'")
+_sql("self_join_all", SQL["self_join_cte"].replace(" WHERE event_id < 2000", ""))
 _sql("win_rank_family", "SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM (SELECT event_id, user_id, round(value / 10) AS v FROM events) e WINDOW w AS (PARTITION BY user_id ORDER BY v DESC, event_id)", "select event_id, (row_number() over w)::int as rn, (rank() over w)::int as rk, (dense_rank() over w)::int as dr, (ntile(4) over w)::int as nt from (select event_id, user_id, round(value / 10) as v from events) e window w as (partition by user_id order by v desc, event_id)")
 _sql("win_lag_lead", "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(event_type) OVER w AS opening FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 _sql("win_running_sum_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS running FROM events")
@@ -689,6 +695,11 @@ def join_edge_rule(spark, sf):
     return joins.edge_rule(A.events(spark, sf).where("lsn < 2000"), "purchase", "signup", "k", "k", "custom:same_k")
 
 
+@q("join_edge_rule_all", SQL["join_edge_rule"].replace(" and a.lsn < 2000 and b.lsn < 2000", ""))
+def join_edge_rule_all(spark, sf):
+    return joins.edge_rule(A.events(spark, sf), "purchase", "signup", "k", "k", "custom:same_k")
+
+
 @q("join_blocking_jaccard", "with p as (select p_partkey as id, p_size as block, p_brand as org, list_distinct(string_split(p_name, ' ')) as tokens from part), j as (select a.id as lid, b.id as rid, len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) as j, a.org = b.org as same from p a join p b on a.block = b.block where a.id % 2 = 0 and b.id % 2 = 1), s as (select lid, rid, least(j + case when same then 0.1 else 0 end, 1.0) * case when count(*) over (partition by lid) > 1 then 0.7 else 1.0 end as s from j where j >= 0.6) select lid, rid, round(s, 4) as score, case when s >= 0.85 then 'high' else 'medium' end as grade from s where s >= 0.5")
 def join_blocking(spark, sf):
     p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("block"), F.col("p_brand").alias("org"), F.split("p_name", " ").alias("tokens"))

@@ -76,3 +76,18 @@ def test_reports_take_the_whole_log(spark, late, name):
 def test_intervals_of_late_edges(spark, late):
     seen = catalogue.QUERIES["edge_intervals_all"](spark, late).agg({"from_lsn": "max"}).first()[0]
     assert seen > 400_000 > 5 * catalogue.BOUND - 1
+
+
+def test_joins_and_groups_of_late_events(spark, tmp_path):
+    ev = [(i, i % 3, ("click", "purchase", "signup", "view")[i * 7 % 11 % 4], i % 5) for i in range(2900, 3100)]
+    rows = [{"event_id": i, "user_id": u, "event_type": t, "value": 1.0, "ts": pd.Timestamp("2024-01-01"), "props": f'{{"k": {k}}}'} for i, u, t, k in ev]
+    one = [{"x": 1}]
+    sf = save(tmp_path, events=rows, **dict.fromkeys(["orders", "lineitem", "customer", "supplier", "nation", "region", "part"], one))
+    got = lambda name: sorted(map(tuple, catalogue.QUERIES[name](spark, sf).collect()))
+    pairs = [(a, b) for a in ev for b in ev]
+    assert got("join_edge_rule_all") == sorted((f"e{a[0]}", f"e{b[0]}", "custom:same_k") for a, b in pairs if a[2] == "purchase" and b[2] == "signup" and a[3] == b[3])
+    assert got("self_join_all") == sorted((a[0], b[0]) for a, b in pairs if a[2] == "click" and b[2] == "purchase" and a[1] == b[1] and a[0] < b[0] <= a[0] + 50)
+    groups = {}
+    for _, u, t, _ in ev:
+        groups.setdefault((f"user-{u}", t), []).append(len(t))
+    assert got("group_sum_all") == sorted((*g, len(x), sum(x)) for g, x in groups.items())
