@@ -7,6 +7,9 @@ values get equal pseudonyms in every text and different ones different. Values a
 walking: valid numbers go to valid ones. Card numbers keep a right check digit (Luhn), IBANs theirs (mod 97), dates stay
 dates from 1900 to 2099. E-mail addresses have no digits to permute; they get a keyed digest in the same form.
 
+Card numbers stand among groups of digits joined by single blanks or hyphens; every row of whole groups of 13 to 19 digits is
+tested, so a number beside a security code or an expiry date is found. IBANs may be printed in groups of four.
+
 What fails validation (a wrong check digit, a 13th month) is no personal datum and stays.
 
 Defined results: a null text stays null, an empty one empty; repeated rows give equal rows; an empty table gives no rows; ids
@@ -20,16 +23,27 @@ from pyspark.sql import functions as F
 
 ROUNDS, WALK = 8, 64
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Countries by the length of their IBAN, which says where one printed in groups of four ends.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD|FK", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK|MN", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|TL|SO",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+PRINTED = "|".join(f"(?:{c})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items())
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{PRINTED})(?![A-Za-z0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+# A run of whole groups of digits, up to where another kind begins; the card numbers are among its groups.
+GROUP = "[0-9]++(?![A-Za-z])"
+OTHER = "|".join(KINDS.values())
+KINDS["card"] = rf"(?<![0-9A-Za-z])(?=(?:[0-9][ -]?){{13}}){GROUP}(?:[ -](?!{OTHER}){GROUP})*+"
 ANY = "|".join(KINDS.values())
+#: Card numbers as they are printed; these go before other joined groups.
+CUSTOMARY = "^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 DAY0, DAYS = "1900-01-01", 73049
 
 
@@ -103,13 +117,54 @@ def _card(m: Column, key: str) -> Column:
     return let(F.regexp_replace(m, "[^0-9]", ""), run)
 
 
+def cards(groups: Column) -> Column:
+    """[(start, stop)] of the valid numbers of 13 to 19 digits among the groups (each with the blank or hyphen before it),
+    apart from each other: customary forms first, longer ones first, then from the left."""
+    form = lambda i, j: F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), "^[ -]", "")
+
+    def rate(i: Column, j: Column) -> Column:
+        t = form(i, j)
+        return F.struct(F.when(t.rlike(CUSTOMARY), 0).otherwise(1).alias("other"), (-F.length(F.regexp_replace(t, "[^0-9]", ""))).alias("less"), i.alias("start"), j.alias("stop"))
+
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.transform(F.sequence(i, F.least(i + 18, F.size(groups))), lambda j: rate(i, j))))
+    good = F.filter(pairs, lambda x: x["less"].between(-19, -13))
+    good = F.filter(good, lambda x: luhn(F.regexp_replace(form(x["start"], x["stop"]), "[^0-9]", "")) == 0)
+    none = F.expr("cast(array() as array<struct<other:int,less:int,start:int,stop:int>>)")
+    add = lambda a, x: F.when(F.exists(a, lambda y: (y["start"] <= x["stop"]) & (x["start"] <= y["stop"])), a).otherwise(F.concat(a, F.array(x)))
+    return F.aggregate(F.array_sort(good), none, add)
+
+
+def piece(kind: Column, value: Column, was: Column) -> Column:
+    return F.struct(kind.alias("kind"), value.alias("value"), was.alias("was"))
+
+
+def _run(m: Column, key: str) -> Column:
+    """The pieces of a run of digits: card numbers with their pseudonyms, and what stands between."""
+
+    def cut(groups: Column, found: Column) -> Column:
+        def at(k: Column) -> Column:
+            g = F.element_at(groups, k)
+            sep = F.regexp_extract(g, "^[ -]?", 0)
+            card = lambda x: let(F.regexp_replace(F.array_join(F.slice(groups, x["start"], x["stop"] - x["start"] + 1), ""), "^[ -]", ""), lambda t: F.array(piece(F.lit("card"), sep, sep), piece(F.lit("card"), _card(t, key), t)))
+            mine = F.filter(found, lambda x: x["start"] == k)
+            held = F.exists(found, lambda x: (x["start"] < k) & (k <= x["stop"]))
+            return F.when(F.size(mine) > 0, F.flatten(F.transform(mine, card))).when(~held, F.array(piece(F.lit("card"), g, g))).otherwise(F.array(piece(F.lit("card"), F.lit(""), F.lit(""))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), at))
+
+    return let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), lambda g: let(cards(g), lambda c: cut(g, c)))
+
+
 def _iban(m: Column, key: str) -> Column:
+    """Blanks between groups stay; the number is the same without them."""
+    plain = lambda x: F.regexp_replace(x, " ", "")
+
     def run(tail: Column) -> Column:
         d = F.regexp_replace(tail, "[^0-9]", "")
         new = F.when(F.length(d) >= 2, refill(tail, permute(d, key, "iban"))).otherwise(tail)
-        return let(new, lambda t: F.concat(F.substring(m, 1, 2), F.lpad((98 - mod97(F.concat(F.substring(m, 1, 2), F.lit("00"), t))).cast("string"), 2, "0"), t))
+        return let(new, lambda t: F.concat(F.substring(m, 1, 2), F.lpad((98 - mod97(F.concat(F.substring(m, 1, 2), F.lit("00"), plain(t)))).cast("string"), 2, "0"), t))
 
-    return F.when(mod97(m) == 1, let(F.substring(m, 5, 40), run)).otherwise(m)
+    return F.when(mod97(plain(m)) == 1, let(F.substring(m, 5, 60), run)).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -152,7 +207,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(h, 1, 12), F.lit("@mail.invalid"))
 
 
-MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
+MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip}
 
 
 def kind_of(m: Column) -> Column:
@@ -163,12 +218,14 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonyms(m: Column, key: str) -> Column:
+    """The pieces of a match; all but a run of digits is one."""
+
     def run(k: Column) -> Column:
         out = m
         for name, make in MAKERS.items():
             out = F.when(k == name, make(m, key)).otherwise(out)
-        return out
+        return F.when(k == "card", _run(m, key)).otherwise(F.array(piece(k, out, m)))
 
     return let(kind_of(m), run)
 
@@ -178,10 +235,10 @@ def mask(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     text = F.col(text_col)
     rows = docs.withColumn("__m", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     some = F.coalesce(F.size("__m"), F.lit(0)) > 0
-    rows = rows.withColumn("__n", F.when(some, F.transform("__m", lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, key).alias("value"), m.alias("was")))))
-    whole = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform("__n", lambda x: x["value"]), F.array(F.lit(""))), lambda g, v: F.array(g, v))), "")
+    rows = rows.withColumn("__n", F.when(some, F.transform("__m", lambda m: pseudonyms(m, key))))
+    whole = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform("__n", lambda n: F.array_join(F.transform(n, lambda x: x["value"]), "")), F.array(F.lit(""))), lambda g, v: F.array(g, v))), "")
     new = F.when(some, whole).otherwise(text)
-    found = F.when(some, F.transform(F.filter("__n", lambda x: x["value"] != x["was"]), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))
+    found = F.when(some, F.transform(F.filter(F.flatten("__n"), lambda x: x["value"] != x["was"]), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))
     return rows.withColumns({text_col: new, "pii": found}).drop("__m", "__n")
 
 

@@ -118,3 +118,17 @@ def test_permutation_is_one_to_one(spark):
 
     d = F.lpad(F.col("id").cast("string"), 3, "0")
     assert spark.range(1000).select(pii.permute(d, KEY, "x").alias("p")).agg(F.count_distinct("p"), F.max(F.length("p"))).first() == (1000, 3)
+
+
+def test_cards_beside_other_numbers_and_printed_ibans(spark):
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    four = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+    one, mail, ip, ssn = make(card), make("42@mail.example.com"), make("10.0.0.255"), make("123-45-6789")
+    old = [
+        (f"pay {card} 123", f"pay {one} 123"), (f"{card} 12/27", f"{one} 12/27"), (f"2 {four(card)}", f"2 {four(one)}"), (f"12345 67890 {four(card)} 99 {card}-1", f"12345 67890 {four(one)} 99 {one}-1"),
+        (f"{card} {ssn and '123-45-6789'}", f"{one} {ssn}"), (f"{card} 10.0.0.255", f"{one} {ip}"), (f"{card} 42@mail.example.com", f"{one} {mail}"), (f"{card} 28/02/2001 x", f"{one} {make('28/02/2001')} x"), (f"{card} 7a", f"{one} 7a"),
+        (f"to {four(iban)} 4111 x", f"to {four(make(iban))} 4111 x"), (f"BE68 5390 0754 7034 BIC {card}", f"{four(make('BE68539007547034'))} BIC {one}"), (four("DE00370400440532013000"), four("DE00370400440532013000")),
+    ]
+    rows = pii.mask(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(old)], "doc_id long, text string"), "text", KEY).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [t for _, t in old]
+    assert [x.kind for x in rows[3].pii] == ["card", "card"] and [x.value for x in rows[0].pii] == [one] and not rows[11].pii
