@@ -101,7 +101,7 @@ class Index:
         q, a = zip(*(parts(t) for _, t in items), strict=True) if items else ((), ())
         cut = lambda texts: [shingles(hh[f[i] : f[i + 1]]) for hh, f, _ in [_words(list(texts))] for i in range(len(texts))]
         self.question, self.answer = cut(q), cut(a)
-        self.answer_words = np.diff(_words(list(a))[1]) if items else np.zeros(0, int)
+        self.question_words, self.answer_words = (np.diff(_words(list(x))[1]) if items else np.zeros(0, int) for x in (q, a))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.terms >> T.U(44)).astype(np.int64)] = True
 
@@ -165,14 +165,12 @@ class Index:
         have = shingles(h)
         runs: dict[int, np.ndarray] = {}
         out = []
+        # A side of fewer words than a shingle is one run of its own length.
+        side = lambda x, few: have if few >= SHINGLE or not len(x) else runs[few] if few in runs else runs.setdefault(few, shingles(h, few))
         for i in items:
-            q, a, few = self.question[i], self.answer[i], self.answer_words[i]
-            found_q = int(np.isin(q, have).sum())
-            if few >= SHINGLE or not len(a):
-                side = have
-            else:
-                side = runs.setdefault(int(few), shingles(h, int(few)))
-            found_a = int(np.isin(a, side).sum())
+            q, a = self.question[i], self.answer[i]
+            found_q = int(np.isin(q, side(q, int(self.question_words[i]))).sum())
+            found_a = int(np.isin(a, side(a, int(self.answer_words[i]))).sum())
             sq, sa = found_q / max(1, len(q)), found_a / len(a) if len(a) else 1.0
             out.append((i, sq, sa, (sq >= HALF and sa >= HALF) or found_q + found_a >= WHOLE * (len(q) + len(a))))
         return out

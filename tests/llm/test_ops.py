@@ -263,6 +263,18 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
 
 
+def test_short_questions_are_found_by_runs_of_their_length(spark):
+    say = [f"word{chr(97 + i)}" for i in range(18)]
+    text = lambda q, a: " ".join(q).capitalize() + ". " + " ".join(a) + "!"
+    near = [*say[3:10], "other", *say[11:]]
+    docs = [(0, text(say[:3], near)), (1, text(["no", *say[1:3]], near)), (2, text(say[:3], say[3:]))]
+    bench = spark.createDataFrame([(12, text(say[:3], say[3:]))], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: r.question_overlap for r in decontaminate.leaks(df, "doc_id", "text", bench, "item_id", "text").collect()}
+    assert got == {0: 1.0, 2: 1.0}
+    assert [r.doc_id for r in decontaminate.drop_leaks(df, "text", bench, "item_id", "text").collect()] == [1]
+
+
 def test_wand_equals_exhaustive_scoring():
     """All (text, item) pairs at or above the threshold, none below, by scoring every passage with every segment."""
     import numpy as np
