@@ -55,8 +55,8 @@ def write_archive(df: DataFrame, id_col: str, url_col: str, payload_col: str, ws
     )
     headers = ws.save(headers, "headers")
     # A row of many copies gives its bytes only if it is the holder; dropDuplicates then sees one row per payload and repeats of the holder.
-    extra = many.select(F.col("holder").alias("id"), F.col("digest").alias("kept"))
-    mates = index.join(many, "digest", "left_semi").select("id", "digest").distinct().join(extra.withColumnRenamed("kept", "digest").withColumn("first", F.lit(True)), ["id", "digest"], "left").where("first is null").select(F.col("id").alias("mate"), F.col("digest").alias("mate_digest"))
+    # The holder is null if no row of the payload has an id.
+    mates = index.join(many, "digest").where(~F.col("id").eqNullSafe(F.col("holder"))).select(F.col("id").alias("mate"), F.col("digest").alias("mate_digest")).distinct()
     firsts = keyed.select("id", "digest", "payload").join(mates, F.col("id").eqNullSafe(F.col("mate")) & (F.col("digest") == F.col("mate_digest")), "left_anti")
     blobs = ws.save(firsts.groupBy("digest").agg(F.first("payload").alias("payload")) if _repeats(index) else firsts.select("digest", "payload"), "blobs")
     return headers, blobs

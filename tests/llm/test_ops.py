@@ -356,6 +356,15 @@ def test_archive(spark, ws):
     assert warc.read_index(*empty).count() == 0
 
 
+def test_archive_of_null_ids_with_one_payload(spark, ws):
+    rows = [(None, "http://x/a", "same"), (None, "http://x/b", "same"), (None, None, None), (None, None, ""), (3, "http://x/c", "<c>"), (None, None, "<c>"), (4, None, "<c>")]
+    headers, blobs = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html", ws)
+    assert sorted(bytes(r.payload) for r in blobs.collect()) == [b"", b"<c>", b"same"]
+    got = warc.read_index(headers, blobs).collect()
+    assert len(got) == len(rows) == warc.reconstruct(headers, blobs).count() and all(r.verified for r in got)
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to or "") for r in got) == [(0, "response", "")] * 2 + [(3, "response", ""), (3, "revisit", "4"), (3, "revisit", "4")] + [(4, "response", "")] * 2
+
+
 def test_urls(spark, ws):
     link = lambda u: f'<html><LINK rel="canonical" href="{u}"></html>'
     go = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
