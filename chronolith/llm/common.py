@@ -15,6 +15,14 @@ def ship(spark: SparkSession) -> None:
     cloudpickle.register_pickle_by_value(sys.modules["chronolith.llm"])
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name of a new column: with "_" behind for as long as it is taken (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a new local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -2,17 +2,21 @@
 
 The model file's protobuf is parsed here (no generated code) and rebuilt as a `tokenizers` pipeline: normaliser (a compiled
 character map, if the model has one, the dummy prefix and the metaspace marker), scores (unigram scores, or merge ranks of
-a BPE model), byte fallback and decoder. Where no piece holds the marker after another character, a text splits before
-each run of markers without changing its ids; each distinct unit is encoded once per task, many to a text, in multithreaded batches, and
-each is compared with the sentencepiece library's own ids at once: parity covers every unit of every text. A unit that
-differs (long runs of markers, where equal scores tie) takes the library's ids, and its texts say parity = false.
+a BPE model), byte fallback and decoder. All ids are this pipeline's. Where no piece holds the marker after another
+character, a text splits before each run of markers without changing its ids; each distinct unit is then encoded once per
+task, many to a text, in multithreaded batches. Other models encode whole texts.
+
+Parity: the sentencepiece library encodes the same units (or texts); a text whose ids it gives differently (long runs of
+markers, where equal scores tie) keeps its ids and says parity = false. Round trip: each text's own ids are turned back into
+bytes and compared with the text; a text put together from remembered units that does not come back is encoded anew.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give equal rows; an empty
-table gives no rows; a null id is kept; other columns are ignored (encode) or kept (encode with keep).
+table gives no rows; a null id is kept; other columns are kept, and a new column whose name is taken gets a "_" behind.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
 import re
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import textcore as T
-from chronolith.llm.common import ship
+from chronolith.llm.common import free, ship
 
 MODEL = os.environ.get("CHRONOLITH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -34,7 +38,7 @@ THREADS = 2
 #: library BATCH units or CHUNK bytes at a time.
 CACHE, LONG, BATCH = 100_000, 64, 4096
 CHUNK = 1 << 20
-#: Words remembered by fingerprint, some 40 bytes each.
+#: Words remembered by their 128-bit name, some 50 bytes each.
 REMEMBERED = 1_000_000
 #: Words that go to the libraries as one text.
 JOINED = 64
@@ -148,7 +152,7 @@ def re_(pattern: str):
 
 
 class Codec:
-    """Encodes and decodes batches; counts units whose ids differ from the sentencepiece library's."""
+    """Encodes and decodes batches, and tells where the sentencepiece library's ids differ."""
 
     def __init__(self, built: str, splits: bool, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -162,9 +166,13 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()
-        vocab = self.t.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
-        self.starts[[i for p, i in vocab.items() if p.startswith(MARK)]] = True
+        m = parse(model)
+        self.prefix = m["prefix"]
+        self.starts = np.array([p.startswith(MARK) for p, _, _ in m["pieces"]])
+        raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m["pieces"]]
+        self.piece_size = np.array([len(x) for x in raw], np.int64)
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self._forget()
 
     def _fill(self, missing: list[str], into: dict) -> None:
@@ -173,25 +181,23 @@ class Codec:
 
     def _add(self, missing: list[str], into: dict) -> None:
         plain = [u[1:].replace(MARK, " ") for u in missing]
-        got = self.t.encode_batch(plain, add_special_tokens=False)
+        got = self.t.encode_batch_fast(plain, add_special_tokens=False)
         for u, e, ref in zip(missing, got, self.sp.encode(plain, num_threads=1), strict=True):
             # A marker alone is what an empty text has no place for.
             ids = e.ids if u != MARK else [self.t.token_to_id(MARK)]
             if u != MARK and ids != ref:
                 self.odd.add(u)
-                ids = ref
             into[u] = np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list, list[bool]]:
         """Ids of each text, and whether all of its units agree with the sentencepiece library."""
         if not self.splits:
-            got = [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
-            ref = self.sp.encode(texts, num_threads=1)
-            got = [g if t else [] for g, t in zip(got, texts, strict=True)]
-            return ref, [a == b for a, b in zip(got, ref, strict=True)]
+            got = [e.ids if t else [] for e, t in zip(self.t.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+            return got, [a == b for a, b in zip(got, self.sp.encode(texts, num_threads=1), strict=True)]
         units = [self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
+            self.odd.intersection_update(self.old)
         local: dict[str, bytes] = {}
         missing = set(itertools.chain.from_iterable(units)) - self.known.keys()
         again = missing & self.old.keys()
@@ -204,9 +210,9 @@ class Codec:
         same = [self.odd.isdisjoint(us) for us in units] if self.odd else [True] * len(units)
         return ids, same
 
-    def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, counts, parity, round trip) of UTF-8 texts. Where single blanks part a text, its units are its
-        words, known by a 64-bit fingerprint and looked up together; other texts go the way of `encode`."""
+    def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, counts, parity, round trip, decoded bytes) of UTF-8 texts. Where single blanks part a text, its
+        units are its words, known by name and looked up together; other texts go the way of `encode`."""
         n = len(off) - 1
         slow = np.zeros(n, bool)
         blank = data == 32
@@ -218,83 +224,110 @@ class Codec:
         slow[some] |= blank[off[:-1][some]] | blank[off[1:][some] - 1]
         if not self.splits:
             slow[:] = True
-        none = slow.all()
-        start, end, h, first = T.words(data[:0], off * 0, T.BYTE, BLANK) if none else T.words(data, off, T.BYTE, BLANK)
+        start, end, h, first, g = T.words(data[:0], off * 0, T.BYTE, BLANK, True) if slow.all() else T.words(data, off, T.BYTE, BLANK, True)
         u, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+        second = g[lead]
+        # Words that share one name but not the other go with their texts.
+        slow[np.searchsorted(first, np.flatnonzero(second[inverse] != g), "right") - 1] = True
         at = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
         known = self.keys[at] == u if len(self.keys) else np.zeros(len(u), bool)
         new = np.flatnonzero(~known)
+        raw = data.tobytes() if len(new) or slow.any() else b""
         for k in range(0, len(new), BATCH):
             part = new[k : k + BATCH]
-            raw = data.tobytes() if k == 0 else raw
             plain = [raw[a:b].decode() for a, b in zip(start[lead[part]].tolist(), end[lead[part]].tolist(), strict=True)]
-            self._keep.append((u[part], *self._learn(plain)))
+            self._keep.append((u[part], second[part], *self._learn(plain)))
         if len(new):
-            old = (self.keys, self.size, self.flat, self.good, self.back)
-            keys, size, flat, good, back = (np.concatenate(x) for x in zip(old, *self._keep, strict=True))
+            old = (self.keys, self.second, self.size, self.flat, self.good)
+            keys, twin, size, flat, good = (np.concatenate(x) for x in zip(old, *self._keep, strict=True))
             self._keep = []
             order = np.argsort(keys, kind="stable")
             begin = (np.cumsum(size) - size)[order]
             size = size[order]
             self.flat = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat))]
-            self.keys, self.size, self.good, self.back = keys[order], size, good[order], back[order]
+            self.keys, self.second, self.size, self.good = keys[order], twin[order], size, good[order]
             at = np.searchsorted(self.keys, u)
         of = at[inverse]
+        if len(of):
+            slow[np.searchsorted(first, np.flatnonzero(self.second[of] != g), "right") - 1] = True
         size = self.size[of] if len(of) else np.zeros(0, np.int64)
         begin = (np.cumsum(self.size) - self.size)[of] if len(of) else size
         ids = self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(of) else np.zeros(0, np.int32)
         run = lambda x: np.concatenate([[0], np.cumsum(x)])
         total = run(size)[first]
-        odd = lambda flag: np.diff(run(~flag[of])[first]) == 0 if len(of) else np.ones(n, bool)
-        same, back = odd(self.good), odd(self.back)
-        counts = np.diff(total)
-        if slow.any():
-            raw = data.tobytes()
-            parts = []
-            for k in range(n):
-                if slow[k]:
-                    text = raw[off[k] : off[k + 1]].decode()
-                    (x,), (same[k],) = self.encode([text])
-                    x = np.asarray(x, np.int32)
-                    back[k] = self.decode([x])[0] == text
-                    counts[k] = len(x)
-                    parts.append(x)
-                else:
-                    parts.append(ids[total[k] : total[k + 1]])
-            ids = np.concatenate(parts)
+        same = np.diff(run(~self.good[of])[first]) == 0 if len(of) else np.ones(n, bool)
+        ids, counts, same = self._whole(ids, total, same, np.flatnonzero(slow), raw, off)
+        back, out = self._back(ids, counts, data, off)
+        if not (fine := back | slow).all():  # what was put together wrongly
+            ids, counts, same = self._whole(ids, run(counts), same, np.flatnonzero(~fine), data.tobytes(), off)
+            back, out = self._back(ids, counts, data, off)
         if len(self.keys) > REMEMBERED:
             self._forget()
-        return ids, counts, same, back
+        return ids, counts, same, back, out
 
-    def _learn(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(counts, ids, parity, round trip) of words. JOINED of them make one text for the libraries, whose ids part where a
-        piece begins with the marker; where anything of such a text disagrees, its words go one by one."""
+    def _whole(self, ids: np.ndarray, total: np.ndarray, same: np.ndarray, which: np.ndarray, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids[total[i]:total[i+1]] of texts, those of some encoded anew."""
+        counts = np.diff(total)
+        if not len(which):
+            return ids, counts, same
+        got, agree = self.encode([raw[off[k] : off[k + 1]].decode() for k in which])
+        parts, at = [], 0
+        for k, x in zip(which, got, strict=True):
+            parts += [ids[total[at] : total[k]], np.asarray(x, np.int32)]
+            counts[k] = len(x)
+            at = k + 1
+        same[which] = agree
+        return np.concatenate([*parts, ids[total[at] :]]), counts, same
+
+    def bytes_of(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of many texts' ids, and where each text's begin (n + 1)."""
+        size = self.piece_size[ids]
+        at = np.repeat(self.piece_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out = self.piece_bytes[at]
+        off = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        if self.prefix:
+            lead = off[:-1][(np.diff(off) > 0)]
+            lead = lead[out[lead] == 32]
+            gone = np.zeros(len(out) + 1, np.int64)
+            gone[lead + 1] = 1
+            keep = np.ones(len(out), bool)
+            keep[lead] = False
+            out, off = out[keep], off - np.cumsum(gone)[off]
+        return out, off
+
+    def _back(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list]:
+        """Whether each text's ids are its bytes, and where the decoded bytes lie."""
+        out, at = self.bytes_of(ids, counts)
+        fit = np.diff(at) == np.diff(off)
+        if fit.all():
+            wrong = np.concatenate([[0], np.cumsum(out != data)])
+            return np.diff(wrong[off]) == 0, [out, at]
+        return np.array([f and np.array_equal(out[a:b], data[c:d]) for f, a, b, c, d in zip(fit, at, at[1:], off, off[1:], strict=False)]), [out, at]
+
+    def _learn(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, ids, parity) of words. JOINED of them make one text for the libraries, whose ids part where a piece begins
+        with the marker; where anything of such a text disagrees, its words go one by one."""
         groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
         texts = [" ".join(g) for g in groups]
-        got = [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
-        ref = self.sp.encode(texts, num_threads=1)
-        whole = self.t.decode_batch(ref, skip_special_tokens=False)
-        size, flat, good, back = [], [], [], []
-        for g, t, x, r, d in zip(groups, texts, got, ref, whole, strict=True):
-            ids = np.array(r, np.int32)
+        got = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        size, flat, good = [], [], []
+        for g, x, r in zip(groups, got, self.sp.encode(texts, num_threads=1), strict=True):
+            ids = np.array(x, np.int32)
             cut = np.flatnonzero(self.starts[ids])
-            if x == r and d == t and len(cut) == len(g) and cut[0] == 0:
+            if x == r and len(cut) == len(g) and cut[0] == 0:
                 size.append(np.diff(np.append(cut, len(ids))))
                 flat.append(ids)
                 good.append(np.ones(len(g), bool))
-                back.append(np.ones(len(g), bool))
                 continue
-            mine = [e.ids for e in self.t.encode_batch(g, add_special_tokens=False)]
-            one = self.sp.encode(g, num_threads=1)
-            size.append(np.array([len(y) for y in one], np.int64))
-            flat.append(np.fromiter(itertools.chain.from_iterable(one), np.int32))
-            good.append(np.array([y == z for y, z in zip(mine, one, strict=True)]))
-            back.append(np.array([y == z for y, z in zip(self.t.decode_batch(one, skip_special_tokens=False), g, strict=True)]))
-        return np.concatenate(size), np.concatenate(flat), np.concatenate(good), np.concatenate(back)
+            mine = [e.ids for e in self.t.encode_batch_fast(g, add_special_tokens=False)]
+            size.append(np.array([len(y) for y in mine], np.int64))
+            flat.append(np.fromiter(itertools.chain.from_iterable(mine), np.int32))
+            good.append(np.array([y == z for y, z in zip(mine, self.sp.encode(g, num_threads=1), strict=True)]))
+        return np.concatenate(size), np.concatenate(flat), np.concatenate(good)
 
     def _forget(self) -> None:
         z = np.zeros(0, np.int64)
-        self.keys, self.size, self.flat, self.good, self.back = z.astype(np.uint64), z, z.astype(np.int32), z.astype(bool), z.astype(bool)
+        self.keys, self.second, self.size, self.flat, self.good = z.astype(np.uint64), z.astype(np.uint64), z, z.astype(np.int32), z.astype(bool)
         self._keep: list = []
 
     def decode(self, ids: list) -> list[str]:
@@ -309,45 +342,48 @@ def _loader(df: DataFrame, path: str):
     return lambda: Codec(*b.value)
 
 
-def encode(df: DataFrame, text_col: str, path: str = MODEL, check: bool = True) -> DataFrame:
-    """All columns, with ids array<int>, n_tokens, parity and, with check, round_trip: the ids, decoded, are the text."""
+def encode(df: DataFrame, text_col: str, path: str = MODEL, digest: bool = False) -> DataFrame:
+    """All columns, with ids array<int>, n_tokens, parity, round_trip (the ids, decoded, are the text) and, with digest,
+    decoded_sha256 of the bytes that the ids decode to."""
     ship(df.sparkSession)
     load = _loader(df, path)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ids array<int>, n_tokens long, parity boolean" + (", round_trip boolean" if check else "")
+    kinds = {"ids": "array<int>", "n_tokens": "long", "parity": "boolean", "round_trip": "boolean"} | ({"decoded_sha256": "string"} if digest else {})
+    new = [free(df.columns, k) for k in kinds]
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{k}` {t}" for k, t in zip(new, kinds.values(), strict=True)])
 
     def run(batches):
         codec = load()
         for b in batches:
             data, off = T.column(b.column(text_col))
             for i, j in T.chunks(off, CHUNK):
-                flat, counts, same, back = codec.encode_chunk(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                flat, counts, same, back, (out, at) = codec.encode_chunk(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-                more = [pa.array(back)] if check else []
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), lists, pa.array(counts), pa.array(same), *more], [*b.schema.names, "ids", "n_tokens", "parity", *["round_trip"] * check])
+                more = [pa.array([hashlib.sha256(out[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())] if digest else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), lists, pa.array(counts), pa.array(same), pa.array(back), *more], [*b.schema.names, *new])
 
     return df.mapInArrow(run, ddl)
 
 
-def decode(df: DataFrame, ids_col: str, path: str = MODEL) -> DataFrame:
-    """All columns, with `text` decoded from a column of ids; null ids give the empty text."""
+def decode(df: DataFrame, ids_col: str, path: str = MODEL, name: str = "text") -> DataFrame:
+    """All columns, with the text decoded from a column of ids; null ids give the empty text."""
     ship(df.sparkSession)
     load = _loader(df, path)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text") + ", text string"
-    rest = df.drop("text")
+    new = free(df.columns, name)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{new}` string"
 
     def run(batches):
         codec = load()
         for b in batches:
             out = codec.decode([x or [] for x in b.column(ids_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, new])
 
-    return rest.mapInArrow(run, ddl)
+    return df.mapInArrow(run, ddl)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = encode(docs, "text").drop("text")
-    return rows.select("doc_id", "n_tokens", "ids", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "parity", "round_trip")
+    rows = encode(docs, "text", digest=True).drop("text")
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "decoded_sha256", "parity", "round_trip")
 
 
 QUERIES = {"op9_sentencepiece": op9}

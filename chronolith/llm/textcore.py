@@ -1,29 +1,33 @@
 """Vectorised words and fingerprints over Arrow string columns.
 
 A word is a maximal run of bytes outside {0x20, 0x09-0x0D}. Every byte of a multi-byte UTF-8 character is above 0x7F,
-so byte runs and code-point runs agree. A word's fingerprint is a polynomial over random 64-bit byte values, finished by
-a mixer; it is 64 bits wide, and whoever needs certainty compares more bits or the words themselves.
+so byte runs and code-point runs agree. A word's name hashes its length and its bytes in lanes of eight, each lane mixed
+into the state by a multiplication and a bijective finaliser, so a byte's place counts non-linearly; words longer than LONG
+bytes are named by BLAKE2b. A name is 64 bits wide; `wide` gives a second one by other constants, independent of the first,
+for whoever needs 128 bits. Words of at most eight bytes and equal length never share a name.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: For words of letters and digits alone: every other ASCII character separates.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
+#: Byte maps: as they are, and with A-Z lower-cased.
+BYTE = np.arange(256, dtype=np.uint8)
 LOWER = BYTE.copy()
-LOWER[65:91] = BYTE[97:123]
-_P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+LOWER[65:91] += 32
+LONG = 128
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Start, factor and step of the first name and of the second.
+_KEYS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0x2545F4914F6CDD1D))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,15 +45,6 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     return mix(a * U(0xD6E8FEB86659FD93) + mix(b + U((salt * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, PIECE + 4096)
-        a, b = np.full(m, _P, np.uint64), np.full(m, _PINV, np.uint64)
-        a[0] = b[0] = 1
-        _powers[:] = [np.multiply.accumulate(a), np.multiply.accumulate(b)]
-    return _powers[0], _powers[1]
-
-
 def column(c: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null reads as empty."""
     if isinstance(c, pa.ChunkedArray):
@@ -63,12 +58,34 @@ def column(c: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if len(off) else data[:0], off - (off[0] if len(off) else 0)
 
 
-def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts data[off[i]:off[i+1]]: each word's start, end (bytes), fingerprint, and where each text's words begin (n + 1)."""
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Names of the byte strings data[starts[i]:ends[i]]."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), np.uint64, buffer=padded, strides=(1,))
+    size = ends - starts
+    seed, factor, step = map(U, _KEYS[key])
+    out = mix(size.astype(np.uint64) * factor + seed)
+    lane, left = lanes[starts] & _MASKS[np.minimum(size, 8)], None
+    out = mix((out ^ lane * factor) + step)
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(at):
+        left = size[at] - done
+        lane = lanes[starts[at] + done] & _MASKS[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ lane * factor) + step)
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()[8 * key : 8 * key + 8], "little")
+    return out
+
+
+def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, space: np.ndarray = SPACE, wide: bool = False) -> tuple:
+    """Of texts data[off[i]:off[i+1]]: each word's start, end (bytes), name, and where each text's words begin (n + 1); with
+    `wide`, the second name too. `table` maps bytes before they are named."""
     n = len(data)
     if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (z, z, h, np.zeros(len(off), np.int64), *[h] * wide)
     edge = np.empty(n + 1, bool)
     ink = ~space[data]
     edge[0], edge[n] = True, True
@@ -78,18 +95,8 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, space: np.ndarra
     edge[1:n] = ~ink[1:]
     edge[off[(off > 0) & (off < n)]] = True
     ends = np.flatnonzero(ink & edge[1:]) + 1
-    h = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, "right")))
-        a, b = starts[lo], ends[hi - 1]
-        up, down = powers(int(b - a) + 1)
-        acc = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(table[data[a:b]] * up[: b - a], out=acc[1:])
-        s, e = starts[lo:hi] - a, ends[lo:hi] - a
-        h[lo:hi] = (acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64) * U(0xA24BAED4963EE407)
-        lo = hi
-    return starts, ends, mix(h), np.searchsorted(starts, off)
+    seen = data if table is BYTE else table[data]
+    return (starts, ends, names(seen, starts, ends), np.searchsorted(starts, off), *([names(seen, starts, ends, 1)] * wide if wide else []))
 
 
 def chunks(off: np.ndarray, most: int = 1 << 19):
