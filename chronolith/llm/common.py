@@ -46,6 +46,12 @@ class Workspace:
         (w.partitionBy(partition_by) if partition_by else w).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+        """Saved as an external table in buckets, so that joins on the column leave it where it lies."""
+        table = f"chronolith_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, column).option("path", self.path(name)).option("compression", "zstd").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
         jvm, path = self.spark._jvm, self.path(name)
@@ -53,5 +59,11 @@ class Workspace:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def integral(df: DataFrame, column: str) -> None:
+    """Raises if ids aren't integers."""
+    if (kind := df.schema[column].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"ids of column {column} are {kind}, not integers")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,22 +1,26 @@
-"""Substring dedup by recompression.
+"""Substring dedup by recompression, in Spark rounds.
 
-Recompression names runs of equal tokens, then, in rounds, pairs of neighbours (one of a left, one of a right class, by
-the name's own hash); a name is a 64-bit fingerprint of what it stands for, so equal tokens get equal names in every task
-without any exchange. Each symbol carries its context: the stretch of words that decides its borders. Where a context lies
-within equal substrings, the symbols are equal, so symbol borders fall at the same places of every copy of a passage.
+Texts are parsed bottom up. A round forms symbols: first runs of equal tokens, then pairs of neighbours (one of a left, one
+of a right class, by the name's own hash). Each round is a Spark step: every chunk of texts sends the names of the symbols that
+it has formed, once each, to the bucket of the name; the bucket tells which names occur again in the corpus, and only those
+symbols go on to the next round. Names are hashes of what they stand for, so equal runs and pairs bear one name everywhere.
 
-1. At each border the name of the SIDE words on both sides (context permitting) is a seed. One shuffle of fingerprints
-   finds the seeds that occur twice in the corpus.
-2. A window of words is a candidate if every seed inside it is repeated (a window without borders is its own seed). A second
-   shuffle compares the candidates' 96-bit window names and keeps, of equal ones, the earliest place.
-3. Words covered by a window that also starts earlier go.
+Each symbol carries its context: the stretch of words that decides how it was parsed. Where a context lies within equal
+substrings, the symbols are equal. So a symbol that occurs once in the corpus proves every window around its context to be
+unique, and a window is left only if all its high-level symbols, named by their whole context, are shared.
 
-Seeds and windows travel packed, one binary row per chunk of texts and bucket; a chunk sends each name once, so a passage
-that a third of all texts share arrives once per chunk, not once per text. Repeats inside a chunk are settled there.
+1. Rounds 1 to ROUNDS: pairs and runs as above.
+2. The symbols left are named by their context; windows that hold no such symbol are named themselves. One more round.
+3. Windows left are compared by 128-bit names of their words, two independent hashes; of equal ones the earliest place stays.
+4. Words covered by a window that also starts earlier go.
+
+Texts are tokenised once, into a table of chunks (a dictionary of the chunk's words and their sequence) that is bucketed by
+chunk: what a round answers joins it in place, without moving it again. Names travel packed, one binary row per chunk and
+bucket, so a passage that a third of all texts share arrives once per chunk, not once per text.
 
 Defined results: a null or empty text has no words; rows with the same id are ordered by a hash of their text, equal rows
 count as one document and get equal results; a null id comes last; an empty table gives no rows; other columns are ignored.
-The input must give the same rows in the same partitions when a task is repeated, as tables and files do.
+Ids are integers.
 """
 
 from __future__ import annotations
@@ -29,105 +33,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import textcore as T
-from chronolith.llm.common import Workspace, partitions, ship
+from chronolith.llm.common import Workspace, integral, partitions, ship
 
-WINDOW, ROUNDS, SIDE = 20, 3, 7
-#: Words of a symbol at most; a longer run or pair is not named.
-WIDEST = 7
+WINDOW, ROUNDS = 20, 3
+#: Words of a symbol at most; a longer run or pair is not named. Words of a context that is used.
+WIDEST, STRETCH = 7, 16
 FAR = np.int64(1 << 40)
-#: Bytes of text within which repeats are settled before anything is sent.
-CHUNK = 1 << 21
-#: Added to the place of a window; a chunk has fewer words.
-BARE = np.int64(1 << 31)
-
-
-def borders(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Where symbols of the last round begin (word index), of those whose deciding context is at most SIDE words away on
-    either side. h: word names of texts h[first[i]:first[i+1]]. Borders at a text's ends have no context and don't count."""
-    n = len(h)
-    if n < 2:
-        return np.zeros(0, np.int64)
-    name, start = h.copy(), np.arange(n)
-    width = np.ones(n, np.int64)
-    left = right = start  # the context [left, right) of each symbol
-    opens = np.zeros(n, bool)
-    opens[first[:-1][np.diff(first) > 0]] = True
-    for r in range(rounds):
+#: Bytes of text of a chunk, or one text.
+CHUNK = 1 << 20
+#: Chunks whose names meet in one bucket, and buckets at most.
+TOGETHER, BUCKETS = 8, 1 << 16
+#: Spark allows so many buckets of a table.
+MOST = 100_000
+CHUNKS = "chunk long, rid binary, id binary, late binary, counts binary, dict binary, ends binary, seq binary"
+
+
+def levels(h: np.ndarray) -> list[np.ndarray]:
+    """Names of all stretches of 1, 2, 4, 8 and 16 words, by doubling."""
+    out, size = [h], 1
+    while size < 16:
+        x = out[-1]
+        out.append(T.pair(x[: max(0, len(x) - size)], x[size:], 300 + size))
+        size *= 2
+    return out
+
+
+def stretch(lv: list[np.ndarray], at: np.ndarray, size: int) -> np.ndarray:
+    """Names of the stretches of `size` words (below 32) from `at` on."""
+    out, done = None, 0
+    for k in range(4, -1, -1):
+        if size >> k & 1:
+            part = lv[k][at + done]
+            out = part if out is None else T.pair(out, part, 400 + k)
+            done += 1 << k
+    return T.mix(out + T.U(size))
+
+
+class Parse:
+    """The symbols of a chunk after some rounds. h: word names of texts h[first[i]:first[i+1]]."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray):
+        n = len(h)
+        self.h, self.first, self.round = h, first, 0
+        self.name, self.start, self.width = h.copy(), np.arange(n), np.ones(n, np.int64)
+        self.left, self.right = self.start, self.start + 1  # the context [left, right) of each symbol
+        self.opens = np.zeros(n, bool)
+        self.opens[first[:-1][np.diff(first) > 0]] = True
+        self.frozen, self.fresh = np.zeros(n, bool), np.zeros(n, bool)
+        self.kill = np.zeros(n + WINDOW + 2, np.int64)
+
+    def _keep(self, keep: np.ndarray) -> None:
+        for f in ("name", "start", "width", "left", "right", "opens", "frozen", "fresh"):
+            setattr(self, f, getattr(self, f)[keep])
+
+    def step(self) -> tuple[np.ndarray, np.ndarray]:
+        """One round: (names of the new symbols, sorted, and which of them stand twice in this chunk)."""
+        self.round += 1
+        self.fresh[:] = False
+        if self.round == 1:
+            self._runs()
+        self._pairs()
+        names, count = np.unique(self.name[self.fresh], return_counts=True)
+        return names, count > 1
+
+    def _runs(self) -> None:
+        """Maximal runs of equal tokens. What ends a run, and that a single token is none, the tokens beside it decide;
+        members of a run too long to be named are decided by the whole of it."""
+        m = len(self.name)
+        begins = self.opens.copy()
+        begins[1:] |= self.name[1:] != self.name[:-1]
+        run0 = np.flatnonzero(begins)
+        size = np.diff(np.append(run0, m))
+        end = run0 + size
+        self.left = np.repeat(np.where(self.opens[run0], -FAR, run0 - 1), size)
+        self.right = np.repeat(np.where((end < m) & ~self.opens[np.minimum(end, max(0, m - 1))], end + 1, FAR), size)
+        take = (size > 1) & (size <= WIDEST)
+        at = run0[take]
+        self.name[at] = T.pair(self.name[at], size[take].astype(np.uint64), 101)
+        self.width[at], self.fresh[at] = size[take], True
+        self._keep(~(np.repeat(take, size) & ~begins))
+
+    def _pairs(self) -> None:
+        name, width, left, right, opens, frozen = self.name, self.width, self.left, self.right, self.opens, self.frozen
         m = len(name)
-        # Runs, of tokens only: a maximal run of equal tokens. What ends it, and that a single token is none, the tokens
-        # beside it decide; members of a run too long to be named are decided by the whole of it.
-        if r == 0:
-            begins = opens.copy()
-            begins[1:] |= name[1:] != name[:-1]
-            run0 = np.flatnonzero(begins)
-            size = np.diff(np.append(run0, m))
-            end = run0 + size
-            left = np.repeat(np.where(opens[run0], -FAR, run0 - 1), size)
-            right = np.repeat(np.where((end < m) & ~opens[np.minimum(end, m - 1)], end + 1, FAR), size)
-            take = (size > 1) & (size <= WIDEST)
-            keep = ~(np.repeat(take, size) & ~begins)
-            name[run0[take]] = T.pair(name[run0[take]], size[take].astype(np.uint64), 101)
-            width[run0[take]] = size[take]
-            name, start, width, left, right, opens = (x[keep] for x in (name, start, width, left, right, opens))
-            m = len(name)
-        # Pairs: a left symbol with the right symbol after it.
-        side = (T.mix(name + T.U(7919 * (r + 1))) & T.U(1)).astype(bool)
+        if not m:
+            return
+        side = (T.mix(name + T.U(7919 * self.round)) & T.U(1)).astype(bool)
+        free = ~frozen
         joins = np.zeros(m, bool)
-        joins[:-1] = ~side[:-1] & side[1:] & ~opens[1:] & (width[:-1] + width[1:] <= WIDEST)
+        joins[:-1] = ~side[:-1] & side[1:] & ~opens[1:] & free[:-1] & free[1:] & (width[:-1] + width[1:] <= WIDEST)
         a = np.flatnonzero(joins)
-        # An unjoined symbol is decided by the neighbour it could have joined.
-        alone = np.ones(m, bool)
+        # An unjoined symbol is decided by the neighbour that it could have joined.
+        alone = free.copy()
         alone[a], alone[a + 1] = False, False
         nl, nr = left.copy(), right.copy()
         i = np.flatnonzero(alone & ~side)
         after = np.minimum(i + 1, m - 1)
-        nr[i] = np.where((i + 1 < m) & ~opens[after], np.maximum(right[i], right[after]), FAR)
-        nl[i] = np.where((i + 1 < m) & ~opens[after], np.minimum(left[i], left[after]), left[i])
+        inside = (i + 1 < m) & ~opens[after]
+        nr[i] = np.where(inside, np.maximum(right[i], right[after]), FAR)
+        nl[i] = np.where(inside, np.minimum(left[i], left[after]), left[i])
         i = np.flatnonzero(alone & side)
         before = np.maximum(i - 1, 0)
         nl[i] = np.where(opens[i], -FAR, np.minimum(left[i], left[before]))
         nr[i] = np.where(opens[i], right[i], np.maximum(right[i], right[before]))
         nl[a], nr[a] = np.minimum(left[a], left[a + 1]), np.maximum(right[a], right[a + 1])
-        name[a] = T.pair(name[a], name[a + 1], 201 + r)
+        name[a] = T.pair(name[a], name[a + 1], 201 + self.round)
         width[a] += width[a + 1]
+        self.fresh[a] = True
+        self.left, self.right = nl, nr
         keep = np.ones(m, bool)
         keep[a + 1] = False
-        name, start, width, left, right, opens = (x[keep] for x in (name, start, width, nl, nr, opens))
-    # A border between two symbols is decided by both.
-    lo, hi = np.minimum(left[1:], left[:-1]), np.maximum(right[1:], right[:-1])
-    at = start[1:]
-    ok = ~opens[1:] & (lo >= at - SIDE) & (hi <= at + SIDE)
-    return at[ok]
-
-
-def names(h: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """Fingerprints of the words h[at:at+size], by doubling."""
-    out, done, x, level, span = None, 0, h, 1, size
-    while span:
-        if span & 1:
-            part = x[at + done]
-            out = part if out is None else T.pair(out, part, salt + level)
-            done += level
-        span >>= 1
-        if span:
-            x = T.pair(x[: max(0, len(x) - level)], x[level:], salt + level + 64)
-            level *= 2
-    return T.mix(out)
-
-
-def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, name) of the seeds, and how many borders lie before each word (n + 1). A seed is a border far enough from
-    its text's ends, named by the SIDE words before and after, or, with BARE added to its place, the start of a window
-    without any border in its middle, named by the whole window."""
-    at = borders(h, first)
-    text = np.searchsorted(first, at, "right") - 1
-    at = at[(at - SIDE >= first[text]) & (at + SIDE <= first[text + 1])]
-    total = np.zeros(len(h) + 2, np.int64)
-    total[at + 1] = 1
-    np.cumsum(total, out=total)
-    s = window_starts(first)
-    bare = s[total[s + WINDOW - SIDE + 1] == total[s + SIDE]]
-    return np.concatenate([at, bare + BARE]), np.concatenate([names(h, at - SIDE, 2 * SIDE, 1) if len(at) else h[:0], names(h, bare, WINDOW, 3) if len(bare) else h[:0]]), total
+        self._keep(keep)
+
+    def settle(self, names: np.ndarray, again: np.ndarray) -> None:
+        """New symbols whose name doesn't occur again go no further, and windows around their context are unique."""
+        i = np.flatnonzero(self.fresh)
+        once = i[~again[np.searchsorted(names, self.name[i])]]
+        self.frozen[once] = True
+        self._unique(self.left[once], self.right[once])
+
+    def _unique(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        ok = (lo >= 0) & (hi < FAR) & (hi - lo <= WINDOW)
+        np.add.at(self.kill, np.maximum(hi[ok] - WINDOW, 0), 1)
+        np.add.at(self.kill, lo[ok] + 1, -1)
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        """As step: names of the contexts of the symbols left, and of windows left that hold none."""
+        live = window_starts(self.first)
+        live = live[np.cumsum(self.kill)[live] == 0]
+        # Contexts that no window left holds don't matter.
+        some = np.zeros(len(self.h) + WINDOW + 2, np.int64)
+        some[live + 1] = 1
+        np.cumsum(some, out=some)
+        lo, hi = self.left, self.right
+        ok = ~self.frozen & (lo >= 0) & (hi < FAR) & (hi - lo <= STRETCH)
+        lo, hi = lo[ok], hi[ok]
+        use = some[lo + 1] > some[np.maximum(hi - WINDOW, 0)]
+        lo, hi = lo[use], hi[use]
+        fresh = np.ones(len(lo), bool)
+        fresh[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        lo, hi = lo[fresh], hi[fresh]
+        lv = levels(self.h)
+        name, size = np.zeros(len(lo), np.uint64), hi - lo
+        for k in np.unique(size):
+            name[size == k] = stretch(lv, lo[size == k], int(k))
+        held = np.zeros(len(self.h) + WINDOW + 2, np.int64)
+        np.add.at(held, np.maximum(hi - WINDOW, 0), 1)
+        np.add.at(held, lo + 1, -1)
+        bare = live[np.cumsum(held)[live] == 0]
+        self._top = lo, hi, name, bare, stretch(lv, bare, WINDOW)
+        names, count = np.unique(np.concatenate([name, self._top[4]]), return_counts=True)
+        return names, count > 1
+
+    def windows(self, names: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Starts of the windows all of whose symbols occur again."""
+        lo, hi, name, bare, of = self._top
+        once = ~again[np.searchsorted(names, name)]
+        self._unique(lo[once], hi[once])
+        out = window_starts(self.first)
+        gone = np.zeros(len(self.h) + 1, bool)
+        gone[bare[~again[np.searchsorted(names, of)]]] = True
+        return out[(np.cumsum(self.kill)[out] == 0) & ~gone[out]]
 
 
 def window_starts(first: np.ndarray) -> np.ndarray:
@@ -135,73 +201,118 @@ def window_starts(first: np.ndarray) -> np.ndarray:
     return first[:-1][owner] + rank
 
 
-def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of x, and where equal values begin in it."""
-    order = np.argsort(x, kind="stable")
-    y = x[order]
-    return order, np.flatnonzero(np.append(True, y[1:] != y[:-1])) if len(y) else np.zeros(0, np.int64)
-
-
 def _rows(*fields: list, types: str) -> pa.RecordBatch:
     kinds = {"l": pa.int64(), "i": pa.int32(), "b": pa.binary(), "s": pa.string()}
     return pa.RecordBatch.from_arrays([pa.array(f, kinds[t]) for f, t in zip(fields, types, strict=True)], [f"c{i}" for i in range(len(fields))])
 
 
 def _split(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket, and where each bucket begins (buckets + 1)."""
+    """A stable order by bucket, and where each bucket begins (buckets + 1)."""
     b = (key >> T.U(40)) % T.U(buckets)
     order = np.argsort(b, kind="stable")
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
-def _per_text(place: np.ndarray, first: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Sorted places as offsets within their texts."""
-    place = np.sort(place)
-    mark = place & BARE
-    order = np.argsort(place - mark, kind="stable")
-    place, mark = (place - mark)[order], mark[order]
-    text = np.searchsorted(first, place, "right") - 1
-    cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
-    ends = np.append(cut[1:], len(text)).astype(int) if len(text) else []
-    return [(int(text[a]), (place[a:b] - first[text[a]] + mark[a:b]).astype(np.uint32)) for a, b in zip(cut, ends, strict=True)]
+# --- the table of chunks
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3, seed 42) of long values, as its buckets use it."""
+    x = x.view(np.uint64)
+    h = np.full(len(x), 42, np.uint32)
+    rot = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    for k in (x & T.U(0xFFFFFFFF), x >> T.U(32)):
+        k = rot(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rot(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for r, c in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(r))) * np.uint32(c)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def _cut(buckets: int):
+    def run(batches):
+        """Texts to chunks. A chunk's number is one that Spark puts into the task's own bucket, so a task writes one file."""
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        serial, ready = np.int64(task) << np.int64(40), []
+        for b in batches:
+            data, off = T.column(b.column("text"))
+            rid, late = (b.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "late"))
+            ident = b.column("id").fill_null(0).to_numpy(zero_copy_only=False)
+            for i, j in T.chunks(off, CHUNK):
+                d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                ws, we, h, first, g = T.words(d, o, T.BYTE, wide=True)
+                _, lead, seq = np.unique(h, return_index=True, return_inverse=True)
+                if (g[lead][seq] != g).any():
+                    _, lead, seq = np.unique(np.column_stack([h, g]), axis=0, return_index=True, return_inverse=True)
+                size = (we - ws)[lead]
+                at = np.repeat(ws[lead] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                while not ready:
+                    some = serial + np.arange(max(4096, 8 * buckets))
+                    serial += len(some)
+                    ready = some[spark_hash(some) % buckets == task % buckets].tolist()
+                blobs = [rid[i:j], ident[i:j], late[i:j].astype(np.int8), np.diff(first).astype(np.uint32), d[at], np.cumsum(size).astype(np.uint32), seq.astype(np.uint16 if len(lead) <= 65536 else np.uint32)]
+                yield _rows([ready.pop(0)], *([T.blob(x)] for x in blobs), types="lbbbbbbb")
+
+    return run
+
+
+class Chunk:
+    """A row of the table."""
 
+    def __init__(self, row: dict):
+        self.number = row["chunk"]
+        self.rid, self.id, self.late = np.frombuffer(row["rid"], np.int64), np.frombuffer(row["id"], np.int64), np.frombuffer(row["late"], np.int8).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], np.uint32).astype(np.int64))])
+        self.bytes = np.frombuffer(row["dict"], np.uint8)
+        self.ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
+        self.seq = np.frombuffer(row["seq"], np.uint16 if len(self.ends) <= 65536 else np.uint32)
 
-def _texts(batches, name: str = "text"):
+    def names(self, key: int = 0) -> np.ndarray:
+        return T.names(self.bytes, self.starts, self.ends, key)[self.seq] if len(self.ends) else np.zeros(0, np.uint64)
+
+
+def _chunks(batches):
     for b in batches:
-        data, off = T.column(b.column(name))
-        for i, j in T.chunks(off, CHUNK):
-            d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-            yield b, i, j, d, o, T.words(d, o, T.BYTE)
+        for k in range(b.num_rows):
+            yield Chunk({c: b.column(c)[k].as_py() for c in ("chunk", "rid", "id", "late", "counts", "dict", "ends", "seq")}), b.column("told")[k].as_py() if "told" in b.schema.names else None
+
 
+# --- rounds
 
-def _send_seeds(buckets: int):
+
+def _known(told, number: int, names: np.ndarray, again: np.ndarray, buckets: int) -> np.ndarray:
+    """Which names occur again, here or, by what the buckets told in that round, elsewhere."""
+    again = again.copy()
+    order, cut = _split(names, buckets)
+    for t in told or ():
+        if t["round"] == number:
+            where = order[cut[t["bucket"]] : cut[t["bucket"] + 1]]
+            again[where] |= np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=len(where)).astype(bool)
+    return again
+
+
+def _parsed(chunk: Chunk, told, rounds: int, buckets: int) -> tuple[Parse, np.ndarray, np.ndarray]:
+    """The parse of a chunk before round `rounds` + 1 is told, and the names that it sends."""
+    p = Parse(chunk.names(), chunk.first)
+    for r in range(1, rounds + 1):
+        names, again = p.step() if r <= ROUNDS else p.top()
+        if r < rounds:
+            p.settle(names, _known(told, r, names, again, buckets))
+    return p, names, again
+
+
+def _send(number: int, buckets: int):
     def run(batches):
-        """Rows (bucket, chunk, 5-byte names, borders as 4-byte word indexes, key): key < 0 for names, else the key of a text
-        with its first word's index in `chunk` and, packed, the repeats that are settled here."""
-        for b, i, _j, _, _, (_, _, h, first) in _texts(batches):
-            at, x, _ = seeds(h, first)
-            keys = b.column("rid").to_pylist()
-            chunk = int(T.mix(np.array([keys[i] & (1 << 64) - 1], np.uint64))[0].view(np.int64))
-            order, cut = _groups(x)
-            size = np.diff(np.append(cut, len(x)))
-            twice = np.repeat(size > 1, size)
-            local, single = order[twice], order[cut[size == 1]]
-            head = order[cut[size > 1]]
-            out = ([], [], [], [], [])
-            # One of a local group goes on too, to make others' copies known as repeats.
-            send = np.concatenate([single, head])
-            o, p = _split(x[send], buckets)
-            for k in range(buckets):
-                s = send[o[p[k] : p[k + 1]]]
-                if len(s):
-                    for f, v in zip(out, (k, chunk, x[s].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), T.blob(at[s].astype(np.uint32)), -1), strict=True):
-                        f.append(v)
-            for f, v in zip(out, (chunk % buckets, chunk, T.blob(np.array([x & (1 << 64) - 1 for x in keys[i:_j]], np.uint64)), T.blob(first.astype(np.uint32)), -2), strict=True):
-                f.append(v)
-            if len(local):
-                for f, v in zip(out, (chunk % buckets, chunk, b"", T.blob(at[local].astype(np.uint32)), -3), strict=True):
-                    f.append(v)
-            yield _rows(*out, types="ilbbi")
+        for chunk, told in _chunks(batches):
+            _, names, _ = _parsed(chunk, told, number, buckets)
+            order, cut = _split(names, buckets)
+            low = names[order].view(np.uint8).reshape(-1, 8)[:, :5]
+            used = np.flatnonzero(np.diff(cut))
+            yield _rows(used.tolist(), [chunk.number] * len(used), [low[cut[k] : cut[k + 1]].tobytes() for k in used], types="ilb")
 
     return run
 
@@ -223,205 +334,167 @@ def _bucketwise(batches, work):
         yield from work(held)
 
 
-def _match_seeds(batches):
-    """Of each bucket, (chunk, borders of repeated seeds, keys of texts, first words)."""
+def _meet(number: int):
+    def run(batches):
+        """Of each bucket, per chunk, which of the names that it sent came from another chunk too."""
 
-    def work(cols):
-        _, chunk, name, at, kind = cols
-        pick = [r for r in range(len(kind)) if kind[r] == -1]
-        out = ([], [], [], [])
-        for r in range(len(kind)):
-            if kind[r] != -1:
-                for f, v in zip(out, (chunk[r], at[r] if kind[r] == -3 else None, name[r] if kind[r] == -2 else None, at[r] if kind[r] == -2 else None), strict=True):
-                    f.append(v)
-        if pick:
-            raw = np.frombuffer(b"".join(name[r] for r in pick), np.uint8).reshape(-1, 5)
+        def work(cols):
+            bucket, chunk, name = cols
+            raw = np.frombuffer(b"".join(name), np.uint8).reshape(-1, 5)
             x = np.zeros((len(raw), 8), np.uint8)
             x[:, :5] = raw
-            counts = np.array([len(name[r]) // 5 for r in pick])
-            order, cut = _groups(x.view(np.uint64).ravel())
-            size = np.diff(np.append(cut, len(order)))
-            hit = np.zeros(len(order), bool)
-            hit[order[np.repeat(size > 1, size)]] = True
-            end = np.cumsum(counts)
-            for r, a, b in zip(pick, end - counts, end, strict=True):
-                if hit[a:b].any():
-                    for f, v in zip(out, (chunk[r], T.blob(np.frombuffer(at[r], np.uint32)[hit[a:b]]), None, None), strict=True):
-                        f.append(v)
-        yield _rows(*out, types="lbbb")
-
-    yield from _bucketwise(batches, work)
-
-
-def _gather(batches):
-    """Of each chunk, (key of a text, its repeated borders as word offsets)."""
-
-    def work(cols):
-        _, at, keys, first = cols
-        r = next(i for i, k in enumerate(keys) if k is not None)
-        ids, starts = np.frombuffer(keys[r], np.int64), np.frombuffer(first[r], np.uint32).astype(np.int64)
-        place = np.concatenate([np.frombuffer(x, np.uint32) for x in at if x is not None] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        got = _per_text(place, starts)
-        yield _rows([int(ids[i]) for i, _ in got], [T.blob(p) for _, p in got], types="lb")
+            x = x.view(np.uint64).ravel()
+            order = np.argsort(x, kind="stable")
+            y = x[order]
+            same = y[1:] == y[:-1]
+            hit = np.zeros(len(x), bool)
+            hit[order[1:][same]] = True
+            hit[order[:-1][same]] = True
+            end = np.cumsum([len(n) // 5 for n in name])
+            begin = np.concatenate([[0], end[:-1]])
+            pick = [k for k in range(len(chunk)) if hit[begin[k] : end[k]].any()]
+            yield _rows([chunk[k] for k in pick], [number] * len(pick), [bucket[0]] * len(pick), [T.blob(np.packbits(hit[begin[k] : end[k]])) for k in pick], types="liib")
+
+        yield from _bucketwise(batches, work)
 
-    yield from _bucketwise(batches, work)
+    return run
 
 
-def _candidate_windows(h: np.ndarray, first: np.ndarray, repeated: list[bytes | None]) -> np.ndarray:
-    """Starts of windows all of whose seeds are repeated."""
-    n = len(h)
-    at, _, total = seeds(h, first)
-    again = np.zeros(n + 2, np.int64)
-    bare = np.zeros(n + 1, bool)
-    for i, r in enumerate(repeated):
-        if r:
-            p = np.frombuffer(r, np.uint32).astype(np.int64)
-            again[first[i] + p[p < BARE] + 1] = 1
-            bare[first[i] + p[p >= BARE] - BARE] = True
-    fresh = total - np.cumsum(again)
-    s = window_starts(first)
-    lo, hi = s + SIDE, s + WINDOW - SIDE + 1
-    return s[(fresh[hi] == fresh[lo]) & ((total[hi] > total[lo]) | bare[s])]
+# --- windows
 
 
 def _send_windows(buckets: int):
     def run(batches):
-        """Finished texts (kind 0), candidate texts (kind 1), names of windows (kind 2) and texts' keys of a chunk (kind 3)."""
-        serial = 0
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        for b, i, j, d, _, (ws, we, h, first) in _texts(batches):
-            serial += 1
-            chunk = (task << 32) + serial
-            rid, ident, late = (b.column(c).to_pylist()[i:j] for c in ("rid", "id", "late"))
-            s = _candidate_windows(h, first, b.column("repeated").to_pylist()[i:j])
-            texts = b.column("text").slice(i, j - i).to_pylist()
-            has = np.zeros(j - i, bool)
-            has[np.searchsorted(first, s, "right") - 1] = True
-            raw = d.tobytes()
-            kind, c1, c2, c3, t1, b1, b2 = [], [], [], [], [], [], []
-
-            def add(*v):
-                for f, x in zip((kind, c1, c2, c3, t1, b1, b2), v, strict=True):
-                    f.append(x)
-
-            for k in range(j - i):
-                if has[k]:
-                    add(1, rid[k], ident[k], late[k], texts[k], None, None)
-                else:
-                    sha = hashlib.sha256(b" ".join(raw[x:y] for x, y in zip(ws[first[k] : first[k + 1]].tolist(), we[first[k] : first[k + 1]].tolist(), strict=True))).hexdigest()
-                    add(0, rid[k], ident[k], int(first[k + 1] - first[k]), sha, None, None)
-            if len(s):
-                x, y = names(h, s, WINDOW, 7), names(h, s, WINDOW, 1009).astype(np.uint32)
-                # Places in order of document: the chunk's texts by (late, id, rid), then start.
-                rank = np.empty(j - i, np.int64)
-                rank[sorted(range(j - i), key=lambda k: (late[k], ident[k] or 0, rid[k]))] = np.arange(j - i)
-                text = np.searchsorted(first, s, "right") - 1
-                order = np.lexsort((s, rank[text], y, x))
-                lead = np.ones(len(order), bool)
-                lead[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-                group = np.cumsum(lead) - 1
-                top = order[lead][group]
-                same = (np.array(rid, np.int64)[text[order]] == np.array(rid, np.int64)[text[top]]) & ((s - first[text])[order] == (s - first[text])[top])
-                local = order[~same]
-                send = order[lead]
-                o, p = _split(x[send], buckets)
-                for k in range(buckets):
-                    q = send[o[p[k] : p[k + 1]]]
-                    if len(q):
-                        place = np.column_stack([text[q], s[q] - first[text[q]]]).astype(np.uint32)
-                        used = np.unique(text[q])
-                        place[:, 0] = np.searchsorted(used, text[q])
-                        keys = np.array([[late[u], ident[u] or 0, rid[u]] for u in used], np.int64)
-                        add(2, k, chunk, len(used), None, T.blob(x[q]) + T.blob(y[q]), T.blob(keys) + T.blob(place))
-                for t, q in _per_text(s[local], first):
-                    add(3, rid[t], chunk, 0, None, T.blob(q), None)
-            yield _rows(kind, c1, c2, c3, t1, b1, b2, types="illlsbb")
+        """Names of windows (kind 2), each once a chunk, from its earliest place there; and the places where a window that
+        stands earlier in its chunk starts again (kind 3)."""
+        for chunk, told in _chunks(batches):
+            p, names, again = _parsed(chunk, told, ROUNDS + 1, buckets)
+            s = p.windows(names, _known(told, ROUNDS + 1, names, again, buckets))
+            if not len(s):
+                continue
+            x, y = stretch(levels(p.h), s, WINDOW), stretch(levels(chunk.names(1)), s, WINDOW)
+            first, n = chunk.first, len(chunk.first) - 1
+            rank = np.empty(n, np.int64)
+            rank[np.lexsort((chunk.rid, chunk.id, chunk.late))] = np.arange(n)
+            text = np.searchsorted(first, s, "right") - 1
+            start = s - first[text]
+            order = np.lexsort((s, rank[text], y, x))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+            top = order[lead][np.cumsum(lead) - 1]
+            doc = lambda f: (f[text[order]] == f[text[top]])
+            twin = doc(chunk.late) & doc(chunk.id) & doc(chunk.rid) & (start[order] == start[top])
+            local = np.sort(s[order[~twin]])
+            send = np.sort(order[lead])  # by place, so that a text's windows stand together
+            o, cut = _split(x[send], buckets)
+            out = ([], [], [], [], [])
+            for k in np.flatnonzero(np.diff(cut)):
+                q = send[o[cut[k] : cut[k + 1]]]
+                used = np.unique(text[q])
+                keys = np.column_stack([chunk.late[used], chunk.id[used], chunk.rid[used], first[used]])
+                for f, v in zip(out, (2, int(k), chunk.number, T.blob(x[q]) + T.blob(y[q]), T.blob(keys) + T.blob(s[q].astype(np.uint32))), strict=True):
+                    f.append(v)
+            if len(local):
+                for f, v in zip(out, (3, 0, chunk.number, None, T.blob(local.astype(np.uint32))), strict=True):
+                    f.append(v)
+            yield _rows(*out, types="iilbb")
 
     return run
 
 
 def _match_windows(batches):
-    """Of each bucket, (key of a text, starts of its windows that also start earlier)."""
+    """Of each bucket, (chunk, starts of its windows that also start earlier)."""
 
     def work(cols):
-        _, used, name, place = cols
-        keys, xs, ys, ps, base = [], [], [], [], 0
-        for u, n, p in zip(used, name, place, strict=True):
-            m = len(n) // 12
+        _, chunk, name, place = cols
+        xs, ys, ss, owner, keys, base = [], [], [], [], [], 0
+        for n, p in zip(name, place, strict=True):
+            m = len(n) // 16
             xs.append(np.frombuffer(n, np.uint64, m))
-            ys.append(np.frombuffer(n, np.uint32, m, 8 * m))
-            keys.append(np.frombuffer(p, np.int64, 3 * u).reshape(u, 3))
-            q = np.frombuffer(p, np.uint32, 2 * m, 24 * u).reshape(m, 2).astype(np.int64)
-            q[:, 0] += base
-            ps.append(q)
-            base += u
-        x, y, p, key = np.concatenate(xs), np.concatenate(ys), np.concatenate(ps), np.concatenate(keys)
-        rank_order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-        rank = np.empty(len(key), np.int64)
+            ys.append(np.frombuffer(n, np.uint64, m, 8 * m))
+            k = np.frombuffer(p, np.int64, (len(p) - 4 * m) // 8).reshape(-1, 4)
+            s = np.frombuffer(p, np.uint32, m, len(p) - 4 * m).astype(np.int64)
+            ss.append(s)
+            owner.append(base + np.searchsorted(k[:, 3], s, "right") - 1)
+            keys.append(k)
+            base += len(k)
+        x, y, s, of, key = (np.concatenate(f) for f in (xs, ys, ss, owner, keys))
+        start = s - key[of, 3]
+        by = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
         fresh = np.ones(len(key), bool)
-        k = key[rank_order]
-        fresh[1:] = (k[1:] != k[:-1]).any(1)
-        rank[rank_order] = np.cumsum(fresh)
-        r = rank[p[:, 0]]
-        order = np.lexsort((p[:, 1], r, y, x))
+        fresh[1:] = (key[by][1:, :3] != key[by][:-1, :3]).any(1)
+        rank = np.empty(len(key), np.int64)
+        rank[by] = np.cumsum(fresh)
+        r = rank[of]
+        order = np.lexsort((start, r, y, x))
         lead = np.ones(len(order), bool)
         lead[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
         top = order[lead][np.cumsum(lead) - 1]
-        late = order[(r[order] != r[top]) | (p[order, 1] != p[top, 1])]
-        rid = key[p[late, 0], 2]
-        by = np.argsort(rid, kind="stable")
-        rid, at = rid[by], p[late, 1][by].astype(np.uint32)
-        cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else np.zeros(0, int)
-        end = np.append(cut[1:], len(rid)).astype(int)
-        yield _rows(rid[cut].tolist(), [T.blob(at[a:b]) for a, b in zip(cut, end, strict=False)], types="lb")
+        late = np.zeros(len(x), bool)
+        late[order] = (r[order] != r[top]) | (start[order] != start[top])
+        end = np.cumsum([len(n) // 16 for n in name])
+        begin = np.concatenate([[0], end[:-1]])
+        pick = [k for k in range(len(chunk)) if late[begin[k] : end[k]].any()]
+        yield _rows([chunk[k] for k in pick], [T.blob(s[begin[k] : end[k]][late[begin[k] : end[k]]].astype(np.uint32)) for k in pick], types="lb")
 
     yield from _bucketwise(batches, work)
 
 
 def _remove(batches):
-    for b, i, j, d, _, (ws, we, _h, first) in _texts(batches):
-        raw = d.tobytes()
-        n, gone, sha, kept = [], [], [], []
-        for k, starts in enumerate(b.column("starts").to_pylist()[i:j]):
-            a, z = first[k], first[k + 1]
-            cover = np.zeros(z - a + 1, np.int64)
-            for blob in starts or ():
-                s = np.frombuffer(blob, np.uint32)
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + WINDOW, -1)
-            stay = np.flatnonzero(np.cumsum(cover)[:-1] == 0) + a
-            text = b" ".join(raw[x:y] for x, y in zip(ws[stay].tolist(), we[stay].tolist(), strict=True))
-            n.append(int(z - a))
-            gone.append(int(z - a - len(stay)))
-            sha.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode())
-        yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept)], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+    for chunk, told in _chunks(batches):
+        n = len(chunk.seq)
+        cover = np.zeros(n + WINDOW + 1, np.int64)
+        for blob in told or ():
+            s = np.frombuffer(blob, np.uint32)
+            np.add.at(cover, s, 1)
+            np.add.at(cover, s + WINDOW, -1)
+        stay = np.cumsum(cover)[:n] == 0
+        size = (chunk.ends - chunk.starts)[chunk.seq] if n else np.zeros(0, np.int64)
+        kept = np.flatnonzero(stay)
+        # Kept words, each with a blank behind; a text's last blank is left off.
+        long = size[kept] + 1
+        at = np.cumsum(long)
+        flat = np.full(int(long.sum()), 32, np.uint8)
+        begin = at - long
+        source = np.repeat(chunk.starts[chunk.seq[kept]] - (np.cumsum(size[kept]) - size[kept]), size[kept]) + np.arange(int(size[kept].sum()))
+        flat[np.repeat(begin - (np.cumsum(size[kept]) - size[kept]), size[kept]) + np.arange(len(source))] = chunk.bytes[source]
+        edge = np.searchsorted(kept, chunk.first)
+        ends = np.concatenate([[0], at])[edge]
+        words, left = np.diff(chunk.first), np.diff(edge)
+        raw = flat.tobytes()
+        texts = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk.id, mask=chunk.late.astype(bool)), pa.array(words), pa.array(words - left), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t.decode() for t in texts], pa.string())],
+            ["id", "n_words", "n_removed", "kept_sha256", "kept"],
+        )
 
 
 def dedup_substrings(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, keep_text: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256) per row, and, with keep_text, the kept words joined by blanks (null where
-    nothing was removed: the text stands). Ids are integers."""
+    """(id, n_words, n_removed, kept_sha256) per row, and, with keep_text, the kept words joined by blanks."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = 2 * partitions(spark)
+    integral(docs, id_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base.select(F.xxhash64(F.lit(17), "id", F.coalesce("text", F.lit(""))).alias("rid"), "id", F.col("id").isNull().cast("long").alias("late"), "text")
-    sent = base.select("rid", "text").mapInArrow(_send_seeds(buckets), "bucket int, chunk long, name binary, at binary, kind int")
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match_seeds, "chunk long, at binary, keys binary, first binary")
-    found = met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_gather, "rid long, repeated binary")
-    found = ws.save(found, "repeated").groupBy("rid").agg(F.first("repeated").alias("repeated"))
-    rows = base.join(found, "rid", "left").select("rid", "id", "late", "text", "repeated")
-    out = ws.save(rows.mapInArrow(_send_windows(buckets), "kind int, a long, b long, c long, s string, x binary, y binary"), "windows", partition_by="kind")
-    names_ = out.where("kind = 2").select(F.col("a").alias("bucket"), "c", "x", "y").repartition("bucket").sortWithinPartitions("bucket")
-    later = names_.mapInArrow(_match_windows, "rid long, starts binary")
-    # Equal rows in two chunks settle the same local repeats; distinct keeps one.
-    later = later.unionByName(out.where("kind = 3").select(F.col("a").alias("rid"), F.col("x").alias("starts"))).distinct().groupBy("rid").agg(F.collect_list("starts").alias("starts"))
-    open_ = out.where("kind = 1").select(F.col("a").alias("rid"), F.col("b").alias("id"), F.col("s").alias("text"))
-    changed = open_.join(later, "rid", "left").select("id", "text", "starts").mapInArrow(_remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    done = out.where("kind = 0").select(F.col("b").alias("id"), F.col("c").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("s").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    got = done.unionByName(changed)
+    n = max(1, min(MOST, base._jdf.queryExecution().toRdd().getNumPartitions()))
+    chunks = ws.bucketed(base.mapInArrow(_cut(n), CHUNKS), "chunks", n, "chunk")
+    buckets = max(2 * partitions(spark), min(BUCKETS, chunks.count() // TOGETHER))
+    told: DataFrame | None = None
+
+    def beside(rows: DataFrame, what) -> DataFrame:
+        """The chunks with what was told to them; only that moves."""
+        return chunks.join(rows.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(what).alias("told")).hint("shuffle_hash"), "chunk", "left")
+
+    for number in range(1, ROUNDS + 2):
+        rows = chunks if told is None else beside(told, F.struct("round", "bucket", "bits"))
+        sent = rows.mapInArrow(_send(number, buckets), "bucket int, chunk long, name binary").repartition("bucket").sortWithinPartitions("bucket")
+        met = ws.save(sent.mapInArrow(_meet(number), "chunk long, round int, bucket int, bits binary"), f"round-{number}")
+        told = met if told is None else told.unionByName(met)
+    out = ws.save(beside(told, F.struct("round", "bucket", "bits")).mapInArrow(_send_windows(buckets), "kind int, bucket int, chunk long, x binary, y binary"), "windows", codec="lz4", partition_by="kind")
+    names = out.where("kind = 2").select("bucket", "chunk", "x", "y").repartition("bucket").sortWithinPartitions("bucket")
+    later = ws.save(names.mapInArrow(_match_windows, "chunk long, starts binary"), "later")
+    later = later.unionByName(out.where("kind = 3").select("chunk", F.col("y").alias("starts")))
+    got = beside(later, F.col("starts")).mapInArrow(_remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return (got if keep_text else got.drop("kept")).withColumnRenamed("id", id_col)
 
 
