@@ -24,9 +24,13 @@ def free(columns: list[str], name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only on one machine (a local master), where it is unset as in
+    tests, a new folder takes its place."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -10,22 +10,27 @@ threshold serves all segments, and all segments at or above it are retrieved:
 3. Segments of blocks that survive are scored exactly.
 
 A retrieved item is verified on the text: words in a row, five at a time, of its question (all but the last sentence) and
-answer (the last one). It is a leak if both are found by half, or the whole by four fifths.
+answer (the last one), wherever the text has them, as a passage may end between the two. It is a leak if both are found by
+half, or the whole by four fifths.
 
-The index is built for LIMIT items at a time, a bound on what is broadcast; more items are worked off in blocks.
+The index is built for LIMIT items at a time, a bound on what the driver holds and a broadcast carries; more items are worked
+off in blocks, which share the statistics (document frequencies, lengths) of all items, so blocks don't change a score.
 
-Defined results: null or empty texts and items have no words and match nothing; repeated rows of texts give repeated rows,
-repeated items none; rows with a null id are judged too; empty tables give no rows (leaks) or all rows (drop_leaks).
+Defined results: null or empty texts and items have no words and match nothing, nor does an item without an id; repeated rows
+of texts give repeated rows, repeated items none; rows with a null id are judged too; empty tables give no rows (leaks) or all
+rows (drop_leaks); other columns of texts are ignored (leaks) or kept (drop_leaks).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronolith.llm import textcore as T
 from chronolith.llm.common import ship
@@ -60,36 +65,63 @@ def parts(text: str) -> tuple[str, str]:
     return (text[: cuts[-1]], text[cuts[-1] :]) if cuts else (text, "")
 
 
-class Index:
-    """Impacts of terms in segments, and their maxima in blocks, as sorted keys (owner * terms + term)."""
+class Statistics:
+    """Of all items: in how many segments each term stands, how many segments there are, and how long in all."""
+
+    def __init__(self):
+        self.terms, self.df, self.segments, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+
+    def add(self, items: list) -> None:
+        x = Postings(items)
+        terms, inverse = np.unique(np.concatenate([self.terms, x.terms]), return_inverse=True)
+        self.df = np.bincount(inverse, np.concatenate([self.df, x.df]), len(terms)).astype(np.int64)
+        self.terms, self.segments, self.length = terms, self.segments + x.segments, self.length + int(x.length.sum())
+
+
+class Postings:
+    """(segment, term) with frequencies, as sorted keys (segment * terms + term)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        h, first, size = _words([t for _, t in items])
+    def __init__(self, items: list):
+        h, first, self.size = _words([t for _, t in items])
         owner, rank = T.segments(np.diff(first))
         counts = np.maximum(1, -(-np.diff(first) // SEGMENT))
         base = np.concatenate([[0], np.cumsum(counts)])
         # Segments of one item are alike in length.
         seg = base[owner] + rank * counts[owner] // np.maximum(1, np.diff(first)[owner])
         self.item = np.repeat(np.arange(len(items)), counts)
-        n = int(base[-1])
-        self.terms, at, term = np.unique(h, return_index=True, return_inverse=True)
+        self.segments = int(base[-1])
+        self.terms, self.at, term = np.unique(h, return_index=True, return_inverse=True)
+        v = len(self.terms)
+        self.keys, self.tf = np.unique(seg * v + term, return_counts=True)
+        self.length = np.bincount(seg, minlength=self.segments)
+        self.df = np.bincount(self.keys % max(1, v), minlength=v)
+
+
+class Index:
+    """Impacts of terms in segments, and their maxima in blocks, as sorted keys (owner * terms + term)."""
+
+    def __init__(self, items: list, stats: Statistics | None = None):
+        if stats is None:
+            stats = Statistics()
+            stats.add(items)
+        x = Postings(items)
+        self.ids = [i for i, _ in items]
+        self.item, self.terms, n = x.item, x.terms, x.segments
         v = self.v = len(self.terms)
-        keys, tf = np.unique(seg * v + term, return_counts=True)
-        kseg, kterm = keys // max(1, v), keys % max(1, v)
-        length = np.bincount(seg, minlength=n)
-        df = np.bincount(kterm, minlength=v)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[kterm] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[kseg] / max(1.0, length.mean() if n else 1.0)))
+        kseg, kterm = x.keys // max(1, v), x.keys % max(1, v)
+        df = stats.df[np.searchsorted(stats.terms, self.terms)]
+        idf = np.log1p((stats.segments - df + 0.5) / (df + 0.5))
+        mean = max(1.0, stats.length / max(1, stats.segments))
+        weight = idf[kterm] * x.tf * (K1 + 1) / (x.tf + K1 * (1 - B + B * x.length[kseg] / mean))
         total = np.bincount(kseg, weight, n)
-        self.keys, self.weight = keys, weight / total[kseg]
+        self.keys, self.weight = x.keys, weight / total[kseg]
         block = kseg // BLOCK
         self.block_keys, inv = np.unique(block * v + kterm, return_inverse=True)
         self.block_weight = np.zeros(len(self.block_keys))
         np.maximum.at(self.block_weight, inv, self.weight)
         self.blocks, self.segments = -(-n // BLOCK), n
         # Long terms first; those from where the rest, with a margin for rounding, falls below the threshold are set aside.
-        order = np.lexsort((kterm, -size[at][kterm], kseg))
+        order = np.lexsort((kterm, -x.size[x.at][kterm], kseg))
         w, s = self.weight[order], kseg[order]
         before = np.cumsum(w) - w
         start = np.searchsorted(s, np.arange(n))
@@ -151,13 +183,14 @@ class Index:
             t.sort(axis=1)
             t[:, 1:][t[:, 1:] == t[:, :-1]] = -1
             bound = np.where(t >= 0, self.lookup(self.block_keys, self.block_weight, b[:, None] * self.v + t), 0).sum(1)
-            for i in np.flatnonzero(bound >= THRESHOLD - 1e-9):
-                row = t[i][t[i] >= 0]
-                for seg in range(b[i] * BLOCK, min(b[i] * BLOCK + BLOCK, self.segments)):
-                    score = float(self.lookup(self.keys, self.weight, seg * self.v + row).sum())
-                    if score >= THRESHOLD - 1e-9:
-                        key = (int(o[i]), int(self.item[seg]))
-                        best[key] = max(best.get(key, 0.0), score)
+            ok = np.flatnonzero(bound >= THRESHOLD - 1e-9)
+            seg = b[ok][:, None] * BLOCK + np.arange(BLOCK)
+            row = t[ok][:, None, :]
+            score = np.where(row >= 0, self.lookup(self.keys, self.weight, seg[:, :, None] * self.v + row), 0).sum(2)
+            score[seg >= self.segments] = 0
+            for i, k in zip(*np.nonzero(score >= THRESHOLD - 1e-9), strict=True):
+                key = (int(o[ok[i]]), int(self.item[seg[i, k]]))
+                best[key] = max(best.get(key, 0.0), float(score[i, k]))
         return best
 
     def verify(self, h: np.ndarray, items: list[int]) -> list[tuple[int, float, float, bool]]:
@@ -186,11 +219,19 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
-    """An index per block of at most LIMIT items or so, by hash of the id."""
-    rows = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
+def indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
+    """One index after the other, each of LIMIT items or so by hash of the id; the driver holds one at a time."""
+    rows = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct()
     blocks = -(-rows.count() // LIMIT)
-    return [Index(sorted((r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect())) for k in range(blocks)]
+    block = lambda k: sorted((r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect())
+    if blocks == 1:
+        yield Index(block(0))
+        return
+    stats = Statistics()
+    for k in range(blocks):
+        stats.add(block(k))
+    for k in range(blocks):
+        yield Index(block(k), stats)
 
 
 def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -199,7 +240,9 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
     ship(spark)
     out = None
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
+    kind = items.schema[item_id].dataType
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id {kind.simpleString()}, score double, question_overlap double, answer_overlap double"
+    arrow = to_arrow_type(kind)
     for index in indexes(items, item_id, item_text):
         held = spark.sparkContext.broadcast(vars(index))  # at most about LIMIT items; plain arrays, so workers need no class
 
@@ -207,9 +250,9 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
             x = Index.of(held.value)
             for b in batches:
                 data, off = T.column(b.column("text"))
-                rows = [(i + t, int(x.ids[k]), s, q, a) for i, j in T.chunks(off) for t, k, s, q, a in x.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i])]
+                rows = [(i + t, x.ids[k], s, q, a) for i, j in T.chunks(off) for t, k, s, q, a in x.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i])]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], arrow), *(pa.array(c, pa.float64()) for c in cols[2:])], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         got = base.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)

@@ -1,4 +1,4 @@
-"""Media columns: ISO base media containers, written, walked and read back without decoding payloads.
+"""Media columns: ISO base media containers, written to a table, read from it, and walked without decoding payloads.
 
 Defined results: a null text is an empty payload, padded to 64 zero bytes; repeated rows give equal rows; an empty table
 gives no rows; columns besides the named id and text are ignored, whatever they are called.
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import ship
+from chronolith.llm.common import Workspace, ship
 
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 RATE, SAMPLE, SYNC = 8000, 64, 16
+#: Bytes of containers of a batch, or one container.
+CHUNK = 1 << 23
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -170,34 +172,59 @@ def feature(data: bytes, track: dict) -> str:
     return f"codec={track['codec'].strip()};timescale={track['timescale']};duration={track['duration']};samples={len(track['samples'])};keyframes={len(track['keyframes'])};ranges={keys}"
 
 
-def media_columns(df: DataFrame, id_col: str, text_col: str, keep_media: bool = True) -> DataFrame:
-    """One row per row: the container (unless keep_media is false), and what is read back from it. `keyframes` lists the
-    byte ranges [start, end) of sync samples within the container."""
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def write_media(df: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFrame:
+    """The table (id, n_bytes, media): each text's bytes, padded, as the samples of a container."""
     ship(df.sparkSession)
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration double, feature string"
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, {fields}" + (", media binary, keyframes array<struct<start:bigint,end:bigint>>" if keep_media else "")
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(11)]
-            for text in b.column(1):
-                raw = text.as_py() or b""
-                data = mux(pad(raw))
+            n, out, held = [], [], 0
+            at = 0
+            for k in range(b.num_rows):
+                raw = b.column(1)[k].as_py() or b""
+                n.append(len(raw))
+                out.append(mux(pad(raw)))
+                held += len(out[-1])
+                if held > CHUNK or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k + 1 - at), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["id", "n_bytes", "media"])
+                    n, out, held, at = [], [], 0, k + 1
+
+    rows = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    return ws.save(rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, media binary"), "media")
+
+
+def read_media(table: DataFrame, keep_media: bool = False) -> DataFrame:
+    """Of each row of a table (id, n_bytes, media): codec, duration in seconds, keyframes (the byte ranges [start, end) of
+    sync samples within the container), and digests of the container and of the samples stored in it."""
+    ship(table.sparkSession)
+    fields = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codec": pa.string(), "duration": pa.float64(), "keyframes": RANGES, "feature": pa.string()}
+    ddl = f"id {table.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration double, keyframes array<struct<start:bigint,end:bigint>>, feature string" + ", media binary" * keep_media
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for media in b.column("media"):
+                data = media.as_py()
                 track = demux(data)[0]
                 back = read_samples(data, track)
-                for c, v in zip(cols, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), track["codec"].strip(), track["duration"] / track["timescale"], feature(data, track), data, [{"start": x, "end": y} for x, y in track["keyframes"]] if keep_media else None), strict=True):
-                    c.append(v)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "duration", "feature", "media", "keyframes"]
-            m = 11 if keep_media else 9
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols[:m], types[:m], strict=True))], ["id", *names[:m]])
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLE:]), len(data), hashlib.sha256(data).hexdigest(), track["codec"].strip(), track["duration"] / track["timescale"], [{"start": x, "end": y} for x, y in track["keyframes"]], feature(data, track)))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(fields.values())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *cols, *([b.column("media")] if keep_media else [])], ["id", "n_bytes", *fields, *["media"] * keep_media])
+
+    return table.select("id", "n_bytes", "media").mapInArrow(run, ddl)
+
 
-    return df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+def media_columns(df: DataFrame, id_col: str, text_col: str, ws: Workspace, keep_media: bool = True) -> DataFrame:
+    """One row per row: what is read back from the stored container, and, with keep_media, the container."""
+    return read_media(write_media(df, id_col, text_col, ws), keep_media).withColumnRenamed("id", id_col)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_columns(docs, "doc_id", "text", keep_media=False)
+    return media_columns(docs, "doc_id", "text", Workspace(spark, "media"), keep_media=False)
 
 
 QUERIES = {"op5_media_columns": op5}

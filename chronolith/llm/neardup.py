@@ -3,17 +3,19 @@
 Texts become sets of k-word shingles (A-Z lower-cased); texts with equal sets are one class. Each class has a minwise
 signature of 64 coordinates. Every tree of a forest branches recursively: at a node one coordinate, with probability 1/4 a
 second one, is selected by the node's own hash, and the node's members part by their token (minwise value) there, so a
-pair of similarity 0.8 keeps an expected path alive. Nodes of at most LEAF members are compared exhaustively by a
-two-bit sketch of the signature; larger ones branch again. Nodes still large at the last depth are groups of near copies:
-all members are compared to one hub first, and whoever ends outside the hub's component is compared to every member.
-Candidate pairs are confirmed on the full sets, components follow from confirmed links.
+pair of similarity 0.8 keeps an expected path alive. The first FIRST levels are branched before anything moves. Nodes of at
+most LEAF members are compared exhaustively by a two-bit sketch of the signature; larger ones branch again, and very large
+ones, found in a sample of the rows, without moving. Nodes still large at the last depth are groups of near copies: all
+members are compared to one hub first, and whoever ends outside the hub's component is compared to every member, in salted
+blocks. Candidate pairs are confirmed on the full sets, components follow from confirmed links.
 
 Recall: with survival q(d) = 1 - (1 - s)(1 - s/4), s = J q(d-1), sixteen trees miss a pair of similarity 0.8 with
 probability (1 - q)**16: 1e-9 at depth 2, 1e-6 at depth 4, and less above 0.8; the sketch drops it with about 1e-8.
 
 Defined results: a null or empty text has no shingles and stands alone; with fewer than k words the whole sequence is the
 one shingle; rows with a null id belong to the component of their class, or to none, and are kept only if alone; repeated
-rows get equal results, of equal ids the component is the same; an empty table gives no rows; other columns are ignored.
+rows get equal results; of equal ids the component is the same, linked with what any of their texts is linked with; an empty
+table gives no rows; other columns are ignored. Ids are integers; others raise TypeError.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import textcore as T
-from chronolith.llm.common import Workspace, ship
+from chronolith.llm.common import Workspace, integral, ship
 from chronolith.llm.graph import components
 
-COORDS, TREES, LEAF, DEPTH, SIGMAS = 64, 16, 32, 6, 5.7
-#: Partners of one document that are confirmed together.
-BLOCK = 64
+COORDS, TREES, LEAF, FIRST, DEPTH, SIGMAS = 64, 16, 32, 2, 6, 5.7
+#: Partners of one document that are confirmed together: a text moves once for so many partners.
+BLOCK = 1024
+#: One row in SEEN shows which nodes are very large, of which at most HOT are broadcast (8 bytes each).
+SEEN, HOT = 64, 1_000_000
+#: Members of a node that are compared to its outsiders in one task.
+SALTED = 4096
 #: Up to so many candidate ids (8 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -136,9 +142,16 @@ def _expand(batches):
         counts = np.array([TREES if x is None else len(x) for x in lists])
         keys = np.concatenate([ROOTS if x is None else np.array(x, np.int64).view(np.uint64) for x in lists])
         row = np.repeat(np.arange(n), counts)
+        root = np.array([x is None for x in lists])
         for lo in range(0, len(keys), 1 << 16):
-            kid, src = children(keys[lo : lo + (1 << 16)], sig[row[lo : lo + (1 << 16)]])
-            src = pa.array(row[lo : lo + (1 << 16)][src])
+            at = row[lo : lo + (1 << 16)]
+            kid, src = children(keys[lo : lo + (1 << 16)], sig[at])
+            for _ in range(FIRST - 1):  # roots branch FIRST levels at once
+                more = np.flatnonzero(root[at[src]])
+                deep, up = children(kid[more], sig[at[src[more]]])
+                rest = np.flatnonzero(~root[at[src]])
+                kid, src = np.concatenate([kid[rest], deep]), np.concatenate([src[rest], src[more][up]])
+            src = pa.array(at[src])
             yield pa.RecordBatch.from_arrays([_i64(kid), *(b.column(c).take(src) for c in ("rid", "n", "s0", "s1"))], ["key", "rid", "n", "s0", "s1"])
 
 
@@ -242,18 +255,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row; links at num / den of the union and above."""
     ship(docs.sparkSession)
+    integral(docs, id_col)
     table = ws.save(_set_table(docs, id_col, text_col, k), "sets")
     some = table.where("n > 0 and id is not null")
     reps = ws.save(some.groupBy("h0", "h1").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
     base = reps.select("rid", "n", "s0", "s1", "sig")
     rows = base.select(F.lit(None).cast("array<bigint>").alias("keys"), "rid", "n", "s0", "s1", "sig").mapInArrow(_expand, ROW)
-    pairs, tail, depth = [], None, 1
+    pairs, tail, depth = [], None, FIRST
     while True:
         rows = ws.save(rows, f"rows-{depth}", "lz4")
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-        total = rows.count()
-        # Nodes with over a thousandth of all rows, at most a thousand of them, skip the shuffle: they branch anyway.
-        hot = ws.save(counts.where(F.col("c") > max(total // 1000, 8 * LEAF)).select("key"), f"hot-{depth}")
+        # Nodes with more than LEAF rows in a sample are large for certain and branch anyway: they skip the shuffle.
+        seen = rows.where(F.pmod(F.xxhash64("rid"), F.lit(SEEN)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        hot = ws.save(seen.where(F.col("c") > max(LEAF, rows.count() // SEEN // HOT)).select("key"), f"hot-{depth}")
         cold = rows.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key")
         out = ws.save(cold.mapInArrow(_compare(num, den), "kind int, a long, b long"), f"nodes-{depth}")
         pairs.append(out.where("kind = 0").select("a", "b"))
@@ -281,7 +294,12 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, ws: Workspace,
         named = named.join(hubs, "key").join(stars.select(F.col("node").alias("a"), F.col("component").alias("of")), "a", "left").withColumn("of", F.coalesce("of", "a"))
         outside = ws.save(named.where("component <> of").select("key", F.col("rid").alias("x")), "outside")
         if outside.take(1):
-            more = named.select("key", "rid", "component").join(outside.join(stars.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").withColumn("cx", F.coalesce("cx", "x")), "key").where("x <> rid and component <> cx")
+            asks = outside.join(stars.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").withColumn("cx", F.coalesce("cx", "x"))
+            # A node's members are spread over salts by its size, its outsiders go to all of them.
+            salts = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+            asks = asks.join(salts, "key").select("key", "x", "cx", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            members = named.join(salts, "key").select("key", "rid", "component", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"))
+            more = members.join(asks, ["key", "salt"]).where("x <> rid and component <> cx")
             # Sketches rule out most before sets are read.
             sk = base.select("rid", "n", "s0", "s1")
             more = more.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()

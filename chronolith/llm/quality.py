@@ -23,9 +23,9 @@ from chronolith.llm.common import Workspace, ship
 #: Words of a passage, hashed features, width of the embedding and of the attention.
 PASSAGE, HASHED, WIDTH, GATE = 64, 128, 16, 8
 STATS = 10
-#: Labelled texts that training takes of each class at most, and passages of each of them at most (evenly spaced): the
-#: bound on what the driver gathers, about 1,200 * 2 * 24 passages of 138 two-byte numbers, 16 MB.
-SAMPLE, SAMPLE_PASSAGES = 1200, 24
+#: Bounds of training: labelled texts of each class, and passages in all, 138 two-byte numbers each (16 MB reach the driver).
+#: Texts are taken whole, in the order of a hash of their id; one that no longer fits is left out.
+SAMPLE, PASSAGES = 1200, 60_000
 EPOCHS, BATCH, STEP, SEED = 40, 64, 0.01, 7
 THRESHOLD = 0.3
 
@@ -62,16 +62,15 @@ def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[:, HASHED + 8] = np.repeat(np.log1p(counts) / 10, bags)
     short = np.bincount(p, (end - start) <= 2, n)
     out[:, HASHED + 9] = short / np.maximum(1, words)
-    # Trigrams of bytes, counted at their first byte's word; blanks between words count as one value.
+    # Trigrams of bytes, counted at their first byte's word; blanks between words, and what follows a text, count as one value.
     b = np.where(ink, data, 32).astype(np.uint32)
-    if len(b) > 2:
-        g = b[:-2] * np.uint32(961) + b[1:-1] * np.uint32(31) + b[2:]
-        g = (g * np.uint32(2654435761)) >> np.uint32(32 - HASHED.bit_length() + 1)
-        where = np.repeat(p, end - start)
-        at = np.flatnonzero(ink)
-        keep = at < len(g)
-        hist = np.bincount(where[keep] * HASHED + g[at[keep]], minlength=n * HASHED).reshape(n, HASHED)
-        out[:, :HASHED] = np.sqrt(hist / size[:, None])
+    last = off[1:][np.diff(off) > 0] - 1
+    second, third = np.append(b[1:], np.uint32(32)), np.append(b[2:], np.full(2, 32, np.uint32))[: len(b)]
+    second[last] = third[last] = third[np.maximum(last - 1, 0)] = 32
+    g = b * np.uint32(961) + second * np.uint32(31) + third
+    g = (g * np.uint32(2654435761)) >> np.uint32(32 - HASHED.bit_length() + 1)
+    hist = np.bincount(np.repeat(p, end - start) * HASHED + g[np.flatnonzero(ink)], minlength=n * HASHED).reshape(n, HASHED)
+    out[:, :HASHED] = np.sqrt(hist / size[:, None])
     return out, bag0
 
 
@@ -140,7 +139,8 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, ws: Workspace) -> Model | None:
-    """Fits on at most SAMPLE labelled texts of each class, those with the smallest hashes of their id; held-out ids never."""
+    """Fits on at most SAMPLE labelled texts of each class, those with the smallest hashes of their id, all passages of each;
+    held-out ids never. Of different texts with one id, that with the smallest hash is taken."""
     spark = docs.sparkSession
     ship(spark)
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
@@ -152,17 +152,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     def run(batches):
         for b in batches:
             data, off = T.column(b.column("text"))
-            rows = []
+            rows, size = [], []
             for i, j in T.chunks(off):
                 x, bag0 = encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                for k in range(j - i):
-                    bag = x[bag0[k] : bag0[k + 1]]
-                    if len(bag) > SAMPLE_PASSAGES:
-                        bag = bag[np.linspace(0, len(bag) - 1, SAMPLE_PASSAGES).astype(int)]
-                    rows.append(T.blob(bag.astype(np.float16)))
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y").cast(pa.int32()), pa.array(rows, pa.binary())], ["id", "y", "x"])
-
-    got = texts.select("id", "y", "text").mapInArrow(run, "id string, y int, x binary").dropDuplicates(["id"]).collect()
+                size += np.diff(bag0).tolist()
+                rows += [T.blob(x[a:z].astype(np.float16)) for a, z in zip(bag0[:-1], bag0[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y").cast(pa.int32()), b.column("key"), pa.array(size, pa.int64()), pa.array(rows, pa.binary())], ["id", "y", "key", "n", "x"])
+
+    bags = texts.select("id", "y", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "id string, y int, key long, n long, x binary")
+    bags = ws.save(bags.groupBy("id", "y").agg(F.min_by(F.struct("n", "x"), "key").alias("bag")).select("id", "y", "bag.n", "bag.x"), "bags")
+    sizes = bags.select("id", "y", "n", F.xxhash64("id").alias("h")).collect()  # 2 * SAMPLE rows at most
+    taken = []
+    for c in (0, 1):
+        left, mine = PASSAGES // 2, sorted((r for r in sizes if r.y == c), key=lambda r: (r.h, r.id))
+        for r in mine:
+            if r.n <= left:
+                taken.append(r.id)
+                left -= r.n
+    got = bags.where(F.col("id").isin(taken)).collect()
     got.sort(key=lambda r: r.id)
     y = np.array([r.y for r in got], np.float32)
     if len(set(y.tolist())) < 2:

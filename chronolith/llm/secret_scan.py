@@ -1,33 +1,39 @@
 r"""Secret scans by a trigram inverted index, JVM-side.
 
 Each rule is a regular expression; a Boolean query over trigrams is derived from it (AND within a literal, OR between
-alternatives). The index holds, for the rarest two trigrams of each conjunction, the ids of texts whose lower-cased form
-contains them, in lists of bounded length (texts are spread over blocks). A query intersects and unites lists block by block; only the
-candidates are then matched. A rule without a mandatory trigram, such as a run of hexadecimal digits, scans every text.
+alternatives). The index holds, for every trigram that some query asks for, the ids of the texts whose lower-cased form
+contains it, in lists of bounded length (texts are spread over blocks); one pass of one expression finds all trigrams of a
+text. A query intersects and unites lists block by block; only the candidates are then matched. A rule without a mandatory
+trigram, such as a run of hexadecimal digits, scans every text.
 
 Matches are leftmost and non-overlapping per rule, then those whose secret is shorter than the rule's least length go.
-Spans are code points, end exclusive.
+Spans are code points, end exclusive. Positions are running sums in blocks, so a text of very many matches takes time in
+proportion to them.
 
 Defined results: a null text is empty; rows with a null id are scanned without the index; repeated rows give equal rows;
-an empty table gives no rows; other columns pass by (scan) or are kept (redact).
+an empty table gives no rows; other columns are kept (scan, redact), and a new column whose name is taken gets a "_" behind.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
+from itertools import count, product
 from re import _constants as C
 from re import _parser as P
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import Workspace, partitions
+from chronolith.llm.common import Workspace, free, partitions
 
 MOST = 64
 #: Up to so many candidate ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Values of a running sum that are folded together.
+RUN = 256
+NONE = "cast(array() as array<struct<start:int,at:int,end:int,kind:string,size:int>>)"
 
 
 @dataclass(frozen=True)
@@ -123,23 +129,15 @@ def trigram_query(regex: str) -> object:
     return _strings(exact) if exact is not None else _all(held)
 
 
-COMMON = set("etaoinsrhdl ")
-#: Trigrams of a conjunction that are indexed: any subset still finds every match, and the rarest do most of the work.
-INDEXED = 2
-
-
 def conjunctions(query: object) -> list[tuple[str, ...]]:
-    """A query as alternatives of few rare trigrams each, the rarest (by its letters) first. An alternative that asks for
-    more than another is dropped."""
+    """A query as alternatives of trigrams that all must occur. An alternative that asks for more than another is dropped."""
     if isinstance(query, str):
         alternatives = [frozenset([query])]
     elif query[0] == "or":
         alternatives = [frozenset(c) for q in query[1:] for c in _product([q])]
     else:
         alternatives = _product(query[1:])
-    least = [a for a in alternatives if not any(b < a for b in alternatives)]
-    thin = (tuple(sorted(a, key=lambda t: (sum(c in COMMON for c in t), t))[:INDEXED]) for a in least)
-    return sorted(set(thin))
+    return sorted(tuple(sorted(a)) for a in set(alternatives) if not any(b < a for b in alternatives))
 
 
 def _product(queries) -> list[frozenset]:
@@ -157,17 +155,26 @@ def asked(rules) -> dict[str, list[tuple[str, ...]]]:
 # --- index and candidates
 
 
+def vocabulary(rules) -> list[str]:
+    return sorted({t for cs in asked(rules).values() for c in cs for t in c})
+
+
+def one_pass(trigrams: list[str]) -> str:
+    """An expression that matches, without consuming, wherever one of the trigrams begins; letters are shared as in a tree."""
+
+    def tree(words: list[str]) -> str:
+        heads = sorted({w[0] for w in words})
+        parts = [re.escape(h) + (tree(sorted({w[1:] for w in words if w[0] == h})) if len(words[0]) > 1 else "") for h in heads]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return f"(?=({tree(trigrams)}))"
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, rules, ws: Workspace, name: str = "postings") -> DataFrame:
-    """(block, trigram, ids): the inverted index over the trigrams that the rules ask for. A trigram that only follows
-    rarer ones lists the texts that hold one of those too: nothing else is ever intersected with it."""
-    low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    after: dict[str, list[str]] = {}
-    for c in sorted({c for cs in asked(rules).values() for c in cs}):
-        after.setdefault(c[0], []).extend(t for t in c[1:] if t not in after.get(c[0], []))
-    test = lambda t: F.when(F.col("low").contains(t), F.lit(t))
-    none = F.expr("cast(array() as array<string>)")
-    held = F.concat(*(F.when(F.col("low").contains(t), F.array(F.lit(t), *map(test, more))).otherwise(none) for t, more in after.items()))
-    rows = low.select("id", F.array_distinct(F.array_compact(held)).alias("held")).where(F.size("held") > 0).select("id", F.explode("held").alias("trigram"))
+    """(block, trigram, ids): the inverted index over the trigrams that the rules ask for."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    held = F.array_distinct(F.regexp_extract_all(low, F.lit(one_pass(vocabulary(rules))), F.lit(1)))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(held).alias("trigram"))
     blocks = 4 * partitions(docs.sparkSession)
     return ws.save(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "trigram").agg(F.collect_set("id").alias("ids")), name)
 
@@ -175,56 +182,71 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, rules, ws: Workspac
 def candidates(index: DataFrame, rules) -> DataFrame:
     """(id, kinds): which rules' queries a text meets, by intersecting and uniting posting lists within each block."""
     want = asked(rules)
-    vocabulary = sorted({t for cs in want.values() for c in cs for t in c})
-    empty = F.expr(f"cast(array() as {index.schema['ids'].dataType.simpleString()})")
-    wide = index.groupBy("block").agg(*(F.coalesce(F.first(F.when(F.col("trigram") == t, F.col("ids")), ignorenulls=True), empty).alias(f"t{i}") for i, t in enumerate(vocabulary)))
-    lists = {t: F.col(f"t{i}") for i, t in enumerate(vocabulary)}
+    at = {t: f"t{i}" for i, t in enumerate(vocabulary(rules))}
+    empty = f"cast(array() as {index.schema['ids'].dataType.simpleString()})"
+    lists = [f"coalesce(first(case when trigram = {quoted(t)} then ids end, true), {empty}) as {c}" for t, c in at.items()]
+    wide = index.groupBy("block").agg(*map(F.expr, lists))
+    one = lambda c: reduce(lambda a, t: f"array_intersect({a}, {at[t]})", c[1:], at[c[0]])
+    found = {k: reduce(lambda a, c: f"array_union({a}, {one(c)})", cs[1:], one(cs[0])) for k, cs in want.items()}
+    each = ", ".join(f"named_struct('kind', {quoted(k)}, 'ids', {x})" for k, x in found.items())
+    hits = wide.select(F.expr(f"explode(array({each})) as x")).selectExpr("x.kind", "explode(x.ids) as id")
+    return hits.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
-    def found(cs) -> Column:
-        return reduce(F.array_union, (reduce(F.array_intersect, (lists[t] for t in c)) for c in cs))
 
-    hits = wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), found(cs).alias("ids")) for k, cs in want.items()))).alias("x")).select("x.kind", F.explode("x.ids").alias("id"))
-    return hits.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+# --- expressions as SQL text: a tree of some thousand nodes is parsed at once, instead of built call by call
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_serial = count()
+
+
+def let(value: str, body) -> str:
+    x = f"x{next(_serial)}"
+    return f"element_at(transform(array({value}), {x} -> {body(x)}), 1)"
+
+
+def running(values: str, zero: str, step) -> str:
+    """[zero, step(zero, v1), step(step(zero, v1), v2), ...]: running values, one more than there are values. Blocks are folded
+    apart and then carried on, as appending to one array would copy it each time; `step` is associative."""
+    fold = lambda part: f"aggregate({part}, array({zero}), (a, v) -> concat(a, array({step('element_at(a, -1)', 'v')})))"
+    blocks = lambda vs: f"transform(sequence(0, greatest(cast(ceil(size({vs}) / {RUN}) as int) - 1, 0)), k -> {fold(f'slice({vs}, k * {RUN} + 1, {RUN})')})"
+    carried = lambda bs: fold(f"transform({bs}, b -> element_at(b, -1))")
+    whole = lambda bs, c: f"flatten(zip_with({bs}, slice({c}, 1, size({bs})), (b, y) -> transform(slice(b, 2, size(b)), v -> {step('y', 'v')})))"
+    return let(let(values, blocks), lambda bs: f"concat(array({zero}), {let(carried(bs), lambda c: whole(bs, c))})")
 
 
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """[(start, at, end, kind)] of one rule. Matches and the gaps between them are read off by the same expression; their
-    lengths add up to positions."""
-    pattern = F.lit(rule.regex)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+def spans(text: str, rule: Rule, order: int) -> str:
+    """[(start, at, end, kind, size)] of one rule: a match begins where the gaps and the matches before it end."""
+    pattern = quoted(rule.regex)
 
-    def place(m: Column) -> Column:
-        gaps = F.split(text, rule.regex, -1)
-        secrets = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-        add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x))
-        each = F.transform(
-            F.sequence(F.lit(1), F.size(m)),
-            lambda i: F.struct(
-                (add(F.slice(gaps, 1, i)) + add(F.slice(m, 1, i - 1))).alias("start"), F.lit(order).alias("at"),
-                (add(F.slice(gaps, 1, i)) + add(F.slice(m, 1, i))).alias("end"), F.lit(rule.kind).alias("kind"), F.length(F.element_at(secrets, i)).alias("size"),
-            ),
-        )
-        return F.filter(each, lambda s: s["size"] >= rule.least)
+    def place(m: str) -> str:
+        secrets = f"regexp_extract_all({text}, {pattern}, {rule.group})" if rule.group else m
+        parts = f"zip_with(slice(split({text}, {pattern}, -1), 1, size({m})), {m}, (g, x) -> named_struct('both', length(g) + length(x), 'long', length(x)))"
+        ends = lambda p: f"slice({running(f'transform({p}, x -> x.both)', '0', lambda a, v: f'({a} + {v})')}, 2, size({p}))"
+        span = f"named_struct('start', e - x.m.long, 'at', {order}, 'end', e, 'kind', {quoted(rule.kind)}, 'size', length(x.s))"
+        each = let(parts, lambda p: f"zip_with({ends(p)}, zip_with({p}, {secrets}, (m, s) -> named_struct('m', m, 's', s)), (e, x) -> {span})")
+        return f"filter({each}, s -> s.size >= {rule.least})"
 
-    none = F.expr("cast(array() as array<struct<start:int,at:int,end:int,kind:string,size:int>>)")
-    return F.when(F.size(found) > 0, place(found)).otherwise(none)
+    return let(f"regexp_extract_all({text}, {pattern}, 0)", lambda m: f"case when size({m}) > 0 then {place(m)} else {NONE} end")
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, rules=RULES, name: str = "found") -> DataFrame:
     """The rows with a column `found`: all spans in order of start, then of rule."""
     hits = ws.save(candidates(build_index(docs, id_col, text_col, rules, ws), rules), "candidates")
     n = hits.count()
-    hits = hits.withColumnsRenamed({"id": "__id", "kinds": "__kinds"})
-    rows = docs.join(F.broadcast(hits) if n <= BROADCAST_IDS else hits, F.col(id_col) == F.col("__id"), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.expr("cast(array() as array<struct<start:int,at:int,end:int,kind:string,size:int>>)")
+    ident, kinds, name = free(docs.columns, "__id"), free(docs.columns, "__kinds"), free(docs.columns, name)
+    hits = hits.withColumnsRenamed({"id": ident, "kinds": kinds})
+    rows = docs.join(F.broadcast(hits) if n <= BROADCAST_IDS else hits, F.col(id_col) == F.col(ident), "left")
     each = []
     for i, r in enumerate(rules):
-        s = spans(text, r, i)
+        s = spans(f"coalesce(`{text_col}`, '')", r, i)
         if trigram_query(r.regex) is not None:
-            s = F.when(F.array_contains("__kinds", r.kind) | F.col(id_col).isNull(), s).otherwise(none)
+            s = f"case when array_contains(`{kinds}`, {quoted(r.kind)}) or `{id_col}` is null then {s} else {NONE} end"
         each.append(s)
-    return rows.withColumn("found", F.array_sort(F.concat(*each))).drop("__id", "__kinds")
+    return rows.withColumn(name, F.expr(f"array_sort(concat({', '.join(each)}))")).drop(ident, kinds)
 
 
 def listed(found: Column) -> Column:
@@ -232,17 +254,20 @@ def listed(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
-    """The rows with every span of their text replaced; overlapping spans are one."""
-    rows = scan(docs, id_col, text_col, ws, rules)
-    empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
-    last = lambda acc: F.element_at(acc, -1)
-    grow = lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], s["end"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("a"), s["end"].alias("b")))))
-    merged = F.aggregate("found", empty, grow)
-    text = F.col(text_col)
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["b"]))
-    starts = F.concat(F.transform(merged, lambda s: s["a"]), F.array(F.length(text)))
-    clean = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a)), mark)
-    return rows.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(text)).drop("found")
+    """The rows with every span of their text replaced; spans that overlap or touch are one."""
+    name = free(docs.columns, "__found")
+    rows = scan(docs, id_col, text_col, ws, rules, name)
+    found, text = f"`{name}`", f"`{text_col}`"
+
+    def put(far: str) -> str:
+        """Parts between spans: far is the farthest end before each span; one that begins beyond it begins a new part."""
+        head = f"zip_with({found}, slice({far}, 1, size({found})), (s, f) -> named_struct('start', s.start, 'far', f))"
+        starts = lambda new: f"concat(transform({new}, x -> x.start), array(length({text})))"
+        ends = lambda new: f"concat(array(0), transform(slice({new}, 2, size({new})), x -> x.far), array(element_at({far}, -1)))"
+        return let(f"filter({head}, x -> x.start > x.far)", lambda new: f"array_join(zip_with({ends(new)}, {starts(new)}, (a, b) -> substring({text}, a + 1, b - a)), {quoted(mark)})")
+
+    clean = let(running(f"transform({found}, s -> s.end)", "-1", lambda a, v: f"greatest({a}, {v})"), put)
+    return rows.withColumn(text_col, F.expr(f"case when size({found}) > 0 then {clean} else {text} end")).drop(name)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

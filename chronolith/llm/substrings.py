@@ -2,14 +2,15 @@
 
 Texts are parsed bottom up. A round forms symbols: first runs of equal tokens, then pairs of neighbours (one of a left, one
 of a right class, by the name's own hash). Each round is a Spark step: every chunk of texts sends the names of the symbols that
-it has formed, once each, to the bucket of the name; the bucket tells which names occur again in the corpus, and only those
-symbols go on to the next round. Names are hashes of what they stand for, so equal runs and pairs bear one name everywhere.
+it has formed, once each, to the bucket of the name; the bucket tells which names occur again in the corpus. Names are
+hashes of what they stand for, so equal runs and pairs bear one name everywhere.
 
 Each symbol carries its context: the stretch of words that decides how it was parsed. Where a context lies within equal
 substrings, the symbols are equal. So a symbol that occurs once in the corpus proves every window around its context to be
-unique, and a window is left only if all its high-level symbols, named by their whole context, are shared.
+unique; the next round parses only the stretches that windows still cover, and a window is left at last only if all its
+high-level symbols, named by their whole context, are shared.
 
-1. Rounds 1 to ROUNDS: pairs and runs as above.
+1. Rounds 1 to ROUNDS: runs and pairs as above.
 2. The symbols left are named by their context; windows that hold no such symbol are named themselves. One more round.
 3. Windows left are compared by 128-bit names of their words, two independent hashes; of equal ones the earliest place stays.
 4. Words covered by a window that also starts earlier go.
@@ -35,12 +36,12 @@ from pyspark.sql import functions as F
 from chronolith.llm import textcore as T
 from chronolith.llm.common import Workspace, integral, partitions, ship
 
-WINDOW, ROUNDS = 20, 3
+WINDOW, ROUNDS = 20, 2
 #: Words of a symbol at most; a longer run or pair is not named. Words of a context that is used.
 WIDEST, STRETCH = 7, 16
-FAR = np.int64(1 << 40)
+FAR = np.int32(1 << 30)
 #: Bytes of text of a chunk, or one text.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Chunks whose names meet in one bucket, and buckets at most.
 TOGETHER, BUCKETS = 8, 1 << 16
 #: Spark allows so many buckets of a table.
@@ -70,21 +71,39 @@ def stretch(lv: list[np.ndarray], at: np.ndarray, size: int) -> np.ndarray:
 
 
 class Parse:
-    """The symbols of a chunk after some rounds. h: word names of texts h[first[i]:first[i+1]]."""
+    """The symbols of a chunk after some rounds, of the stretches that live windows cover. h: word names; live: where windows
+    start that may be repeated. Gaps between stretches are as the ends of texts: nothing inside a live window depends on them."""
 
-    def __init__(self, h: np.ndarray, first: np.ndarray):
+    def __init__(self, h: np.ndarray, first: np.ndarray, live: np.ndarray):
+        self.h, self.live, self.round = h, live, 0
         n = len(h)
-        self.h, self.first, self.round = h, first, 0
-        self.name, self.start, self.width = h.copy(), np.arange(n), np.ones(n, np.int64)
-        self.left, self.right = self.start, self.start + 1  # the context [left, right) of each symbol
-        self.opens = np.zeros(n, bool)
-        self.opens[first[:-1][np.diff(first) > 0]] = True
-        self.frozen, self.fresh = np.zeros(n, bool), np.zeros(n, bool)
-        self.kill = np.zeros(n + WINDOW + 2, np.int64)
+        cover = np.zeros(n + WINDOW + 1, np.int32)
+        s = np.flatnonzero(live)
+        cover[s] += 1
+        cover[s + WINDOW] -= 1
+        self.words = np.flatnonzero(np.cumsum(cover[:n]) > 0).astype(np.int32)
+        head = np.zeros(n + 1, bool)
+        head[first[:-1]] = True
+        self.name, self.start = h[self.words], self.words
+        self.width = np.ones(len(self.words), np.int32)
+        self.opens = head[self.words]
+        self.opens[1:] |= self.words[1:] != self.words[:-1] + 1
+        self.opens[:1] = True
+        self.fresh = np.zeros(len(self.words), bool)
+        self.left, self.right = self.start, self.start + np.int32(1)  # the context [left, right) of each symbol
+        self.some = np.zeros(n + 2, np.int32)  # live windows before each word
+        self.some[1 : n + 1] = np.cumsum(live)
+        self.some[n + 1] = self.some[n]
 
     def _keep(self, keep: np.ndarray) -> None:
-        for f in ("name", "start", "width", "left", "right", "opens", "frozen", "fresh"):
-            setattr(self, f, getattr(self, f)[keep])
+        at = np.flatnonzero(keep)
+        for f in ("name", "start", "width", "left", "right", "opens", "fresh"):
+            setattr(self, f, getattr(self, f)[at])
+
+    def _within(self, lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
+        """Of contexts, those of at most so many words that lie within a live window."""
+        ok = np.flatnonzero((lo >= 0) & (hi < FAR) & (hi - lo <= most))
+        return ok[self.some[lo[ok] + 1] > self.some[np.maximum(hi[ok] - WINDOW, 0)]]
 
     def step(self) -> tuple[np.ndarray, np.ndarray]:
         """One round: (names of the new symbols, sorted, and which of them stand twice in this chunk)."""
@@ -93,38 +112,44 @@ class Parse:
         if self.round == 1:
             self._runs()
         self._pairs()
-        names, count = np.unique(self.name[self.fresh], return_counts=True)
+        new = np.flatnonzero(self.fresh)
+        new = new[self._within(self.left[new], self.right[new], WINDOW)]
+        self._asked = self.left[new], self.right[new], self.name[new]
+        names, count = np.unique(self.name[new], return_counts=True)
         return names, count > 1
 
     def _runs(self) -> None:
         """Maximal runs of equal tokens. What ends a run, and that a single token is none, the tokens beside it decide;
         members of a run too long to be named are decided by the whole of it."""
         m = len(self.name)
+        if not m:
+            return
         begins = self.opens.copy()
         begins[1:] |= self.name[1:] != self.name[:-1]
         run0 = np.flatnonzero(begins)
-        size = np.diff(np.append(run0, m))
-        end = run0 + size
-        self.left = np.repeat(np.where(self.opens[run0], -FAR, run0 - 1), size)
-        self.right = np.repeat(np.where((end < m) & ~self.opens[np.minimum(end, max(0, m - 1))], end + 1, FAR), size)
+        end = np.append(run0[1:], m)
+        size = end - run0
+        left = np.where(self.opens[run0], -FAR, self.start[run0] - np.int32(1))
+        after = np.minimum(end, m - 1)
+        right = np.where((end < m) & ~self.opens[after], self.start[after] + np.int32(1), FAR)
         take = (size > 1) & (size <= WIDEST)
         at = run0[take]
         self.name[at] = T.pair(self.name[at], size[take].astype(np.uint64), 101)
         self.width[at], self.fresh[at] = size[take], True
+        self.left, self.right = np.repeat(left, size), np.repeat(right, size)
         self._keep(~(np.repeat(take, size) & ~begins))
 
     def _pairs(self) -> None:
-        name, width, left, right, opens, frozen = self.name, self.width, self.left, self.right, self.opens, self.frozen
+        name, width, left, right, opens = self.name, self.width, self.left, self.right, self.opens
         m = len(name)
         if not m:
             return
         side = (T.mix(name + T.U(7919 * self.round)) & T.U(1)).astype(bool)
-        free = ~frozen
         joins = np.zeros(m, bool)
-        joins[:-1] = ~side[:-1] & side[1:] & ~opens[1:] & free[:-1] & free[1:] & (width[:-1] + width[1:] <= WIDEST)
+        joins[:-1] = ~side[:-1] & side[1:] & ~opens[1:] & (width[:-1] + width[1:] <= WIDEST)
         a = np.flatnonzero(joins)
         # An unjoined symbol is decided by the neighbour that it could have joined.
-        alone = free.copy()
+        alone = np.ones(m, bool)
         alone[a], alone[a + 1] = False, False
         nl, nr = left.copy(), right.copy()
         i = np.flatnonzero(alone & ~side)
@@ -145,55 +170,53 @@ class Parse:
         keep[a + 1] = False
         self._keep(keep)
 
-    def settle(self, names: np.ndarray, again: np.ndarray) -> None:
-        """New symbols whose name doesn't occur again go no further, and windows around their context are unique."""
-        i = np.flatnonzero(self.fresh)
-        once = i[~again[np.searchsorted(names, self.name[i])]]
-        self.frozen[once] = True
-        self._unique(self.left[once], self.right[once])
-
-    def _unique(self, lo: np.ndarray, hi: np.ndarray) -> None:
-        ok = (lo >= 0) & (hi < FAR) & (hi - lo <= WINDOW)
-        np.add.at(self.kill, np.maximum(hi[ok] - WINDOW, 0), 1)
-        np.add.at(self.kill, lo[ok] + 1, -1)
-
     def top(self) -> tuple[np.ndarray, np.ndarray]:
-        """As step: names of the contexts of the symbols left, and of windows left that hold none."""
-        live = window_starts(self.first)
-        live = live[np.cumsum(self.kill)[live] == 0]
-        # Contexts that no window left holds don't matter.
-        some = np.zeros(len(self.h) + WINDOW + 2, np.int64)
-        some[live + 1] = 1
-        np.cumsum(some, out=some)
-        lo, hi = self.left, self.right
-        ok = ~self.frozen & (lo >= 0) & (hi < FAR) & (hi - lo <= STRETCH)
-        lo, hi = lo[ok], hi[ok]
-        use = some[lo + 1] > some[np.maximum(hi - WINDOW, 0)]
-        lo, hi = lo[use], hi[use]
+        """As step: names of the contexts of all symbols, and of live windows that hold none."""
+        ok = self._within(self.left, self.right, STRETCH)
+        lo, hi = self.left[ok], self.right[ok]
         fresh = np.ones(len(lo), bool)
         fresh[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         lo, hi = lo[fresh], hi[fresh]
-        lv = levels(self.h)
+        lv, place = self.named(self.h)
         name, size = np.zeros(len(lo), np.uint64), hi - lo
         for k in np.unique(size):
-            name[size == k] = stretch(lv, lo[size == k], int(k))
-        held = np.zeros(len(self.h) + WINDOW + 2, np.int64)
+            name[size == k] = stretch(lv, place(lo[size == k]), int(k))
+        held = np.zeros(len(self.h) + 1, np.int32)
         np.add.at(held, np.maximum(hi - WINDOW, 0), 1)
         np.add.at(held, lo + 1, -1)
-        bare = live[np.cumsum(held)[live] == 0]
-        self._top = lo, hi, name, bare, stretch(lv, bare, WINDOW)
-        names, count = np.unique(np.concatenate([name, self._top[4]]), return_counts=True)
+        bare = np.flatnonzero(self.live & (np.cumsum(held[: len(self.h)]) == 0))
+        self._asked = np.append(lo, bare), np.append(hi, bare + WINDOW), np.append(name, stretch(lv, place(bare), WINDOW))
+        names, count = np.unique(self._asked[2], return_counts=True)
         return names, count > 1
 
-    def windows(self, names: np.ndarray, again: np.ndarray) -> np.ndarray:
-        """Starts of the windows all of whose symbols occur again."""
-        lo, hi, name, bare, of = self._top
-        once = ~again[np.searchsorted(names, name)]
-        self._unique(lo[once], hi[once])
-        out = window_starts(self.first)
-        gone = np.zeros(len(self.h) + 1, bool)
-        gone[bare[~again[np.searchsorted(names, of)]]] = True
-        return out[(np.cumsum(self.kill)[out] == 0) & ~gone[out]]
+    def named(self, h: np.ndarray):
+        """Levels of names of the covered words, and where a place stands among them."""
+        return levels(h[self.words]), lambda at: np.searchsorted(self.words, at)
+
+    def left_of(self, names: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """The windows that stay live: not those around a context that doesn't occur again."""
+        lo, hi, name = self._asked
+        once = ~again[np.searchsorted(names, name)] if len(names) else np.zeros(0, bool)
+        kill = np.zeros(len(self.h) + 2, np.int32)
+        np.add.at(kill, np.maximum(hi[once].astype(np.int64) - WINDOW, 0), 1)
+        np.add.at(kill, lo[once].astype(np.int64) + 1, -1)
+        return self.live & (np.cumsum(kill[: len(self.h)]) == 0)
+
+
+def parse(h: np.ndarray, first: np.ndarray, live: np.ndarray, rounds: int) -> tuple[Parse, np.ndarray, np.ndarray]:
+    """The parse after so many rounds (ROUNDS + 1: the last naming), with the names that it sends."""
+    p = Parse(h, first, live)
+    for _ in range(min(rounds, ROUNDS)):
+        names, again = p.step()
+    if rounds > ROUNDS:
+        names, again = p.top()
+    return p, names, again
+
+
+def all_windows(first: np.ndarray) -> np.ndarray:
+    live = np.zeros(int(first[-1]), bool)
+    live[window_starts(first)] = True
+    return live
 
 
 def window_starts(first: np.ndarray) -> np.ndarray:
@@ -284,35 +307,45 @@ def _chunks(batches):
 # --- rounds
 
 
-def _known(told, number: int, names: np.ndarray, again: np.ndarray, buckets: int) -> np.ndarray:
-    """Which names occur again, here or, by what the buckets told in that round, elsewhere."""
+def _known(told, names: np.ndarray, again: np.ndarray, buckets: int) -> np.ndarray:
+    """Which names occur again, here or, by what the buckets told, elsewhere."""
     again = again.copy()
     order, cut = _split(names, buckets)
     for t in told or ():
-        if t["round"] == number:
+        if t["bucket"] >= 0:
             where = order[cut[t["bucket"]] : cut[t["bucket"] + 1]]
             again[where] |= np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=len(where)).astype(bool)
     return again
 
 
-def _parsed(chunk: Chunk, told, rounds: int, buckets: int) -> tuple[Parse, np.ndarray, np.ndarray]:
-    """The parse of a chunk before round `rounds` + 1 is told, and the names that it sends."""
-    p = Parse(chunk.names(), chunk.first)
-    for r in range(1, rounds + 1):
-        names, again = p.step() if r <= ROUNDS else p.top()
-        if r < rounds:
-            p.settle(names, _known(told, r, names, again, buckets))
-    return p, names, again
+def _left(chunk: Chunk, h: np.ndarray, told, rounds: int, buckets: int) -> tuple[Parse | None, np.ndarray]:
+    """The windows that are live after so many rounds were told. Of these, the last one's answers and the windows that were
+    live before it (bucket -1; all, if there is none) have been told."""
+    live = all_windows(chunk.first)
+    if not rounds:
+        return None, live
+    for t in told or ():
+        if t["bucket"] < 0:
+            live = np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=len(live)).astype(bool)
+    p, names, again = parse(h, chunk.first, live, rounds)
+    return p, p.left_of(names, _known(told, names, again, buckets))
 
 
 def _send(number: int, buckets: int):
     def run(batches):
+        """Rows (bucket, kind, chunk, names): kind 0; and the windows that are live yet (kind 1)."""
         for chunk, told in _chunks(batches):
-            _, names, _ = _parsed(chunk, told, number, buckets)
+            h = chunk.names()
+            _, live = _left(chunk, h, told, number - 1, buckets)
+            _, names, _ = parse(h, chunk.first, live, number)
             order, cut = _split(names, buckets)
             low = names[order].view(np.uint8).reshape(-1, 8)[:, :5]
-            used = np.flatnonzero(np.diff(cut))
-            yield _rows(used.tolist(), [chunk.number] * len(used), [low[cut[k] : cut[k + 1]].tobytes() for k in used], types="ilb")
+            used = np.flatnonzero(np.diff(cut)).tolist()
+            blobs = [low[cut[k] : cut[k + 1]].tobytes() for k in used]
+            if number > 1:
+                used.append(chunk.number % buckets)
+                blobs.append(T.blob(np.packbits(live)))
+            yield _rows(used, [0] * (len(used) - (number > 1)) + [1] * (number > 1), [chunk.number] * len(used), blobs, types="iilb")
 
     return run
 
@@ -334,30 +367,33 @@ def _bucketwise(batches, work):
         yield from work(held)
 
 
-def _meet(number: int):
-    def run(batches):
-        """Of each bucket, per chunk, which of the names that it sent came from another chunk too."""
-
-        def work(cols):
-            bucket, chunk, name = cols
-            raw = np.frombuffer(b"".join(name), np.uint8).reshape(-1, 5)
-            x = np.zeros((len(raw), 8), np.uint8)
-            x[:, :5] = raw
-            x = x.view(np.uint64).ravel()
-            order = np.argsort(x, kind="stable")
-            y = x[order]
-            same = y[1:] == y[:-1]
-            hit = np.zeros(len(x), bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-            end = np.cumsum([len(n) // 5 for n in name])
-            begin = np.concatenate([[0], end[:-1]])
-            pick = [k for k in range(len(chunk)) if hit[begin[k] : end[k]].any()]
-            yield _rows([chunk[k] for k in pick], [number] * len(pick), [bucket[0]] * len(pick), [T.blob(np.packbits(hit[begin[k] : end[k]])) for k in pick], types="liib")
-
-        yield from _bucketwise(batches, work)
+def _meet(batches):
+    """Of each bucket, per chunk, which of the names that it sent came from another chunk too; live windows pass by."""
 
-    return run
+    def work(cols):
+        bucket, kind, chunk, name = cols
+        pass_by = [k for k in range(len(kind)) if kind[k]]
+        if pass_by:
+            yield _rows([chunk[k] for k in pass_by], [-1] * len(pass_by), [name[k] for k in pass_by], types="lib")
+        rows = [k for k in range(len(kind)) if not kind[k]]
+        if not rows:
+            return
+        raw = np.frombuffer(b"".join(name[k] for k in rows), np.uint8).reshape(-1, 5)
+        x = np.zeros((len(raw), 8), np.uint8)
+        x[:, :5] = raw
+        x = x.view(np.uint64).ravel()
+        order = np.argsort(x, kind="stable")
+        y = x[order]
+        same = y[1:] == y[:-1]
+        hit = np.zeros(len(x), bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        end = np.cumsum([len(name[k]) // 5 for k in rows])
+        begin = np.concatenate([[0], end[:-1]])
+        pick = [(k, hit[a:b]) for k, a, b in zip(rows, begin, end, strict=True) if hit[a:b].any()]
+        yield _rows([chunk[k] for k, _ in pick], [bucket[0]] * len(pick), [T.blob(np.packbits(h)) for _, h in pick], types="lib")
+
+    yield from _bucketwise(batches, work)
 
 
 # --- windows
@@ -368,11 +404,13 @@ def _send_windows(buckets: int):
         """Names of windows (kind 2), each once a chunk, from its earliest place there; and the places where a window that
         stands earlier in its chunk starts again (kind 3)."""
         for chunk, told in _chunks(batches):
-            p, names, again = _parsed(chunk, told, ROUNDS + 1, buckets)
-            s = p.windows(names, _known(told, ROUNDS + 1, names, again, buckets))
+            h = chunk.names()
+            p, live = _left(chunk, h, told, ROUNDS + 1, buckets)
+            s = np.flatnonzero(live)
             if not len(s):
                 continue
-            x, y = stretch(levels(p.h), s, WINDOW), stretch(levels(chunk.names(1)), s, WINDOW)
+            (lv, place), (lw, _) = p.named(h), p.named(chunk.names(1))
+            x, y = stretch(lv, place(s), WINDOW), stretch(lw, place(s), WINDOW)
             first, n = chunk.first, len(chunk.first) - 1
             rank = np.empty(n, np.int64)
             rank[np.lexsort((chunk.rid, chunk.id, chunk.late))] = np.arange(n)
@@ -395,7 +433,7 @@ def _send_windows(buckets: int):
                 for f, v in zip(out, (2, int(k), chunk.number, T.blob(x[q]) + T.blob(y[q]), T.blob(keys) + T.blob(s[q].astype(np.uint32))), strict=True):
                     f.append(v)
             if len(local):
-                for f, v in zip(out, (3, 0, chunk.number, None, T.blob(local.astype(np.uint32))), strict=True):
+                for f, v in zip(out, (3, chunk.number % buckets, chunk.number, None, T.blob(local.astype(np.uint32))), strict=True):
                     f.append(v)
             yield _rows(*out, types="iilbb")
 
@@ -403,10 +441,16 @@ def _send_windows(buckets: int):
 
 
 def _match_windows(batches):
-    """Of each bucket, (chunk, starts of its windows that also start earlier)."""
+    """Of each bucket, (chunk, starts of its windows that also start earlier); places settled in their chunk pass by."""
 
     def work(cols):
-        _, chunk, name, place = cols
+        _, kind, chunk, name, place = cols
+        if settled := [k for k in range(len(kind)) if kind[k] == 3]:
+            yield _rows([chunk[k] for k in settled], [place[k] for k in settled], types="lb")
+        rows = [k for k in range(len(kind)) if kind[k] == 2]
+        if not rows:
+            return
+        chunk, name, place = ([f[k] for k in rows] for f in (chunk, name, place))
         xs, ys, ss, owner, keys, base = [], [], [], [], [], 0
         for n, p in zip(name, place, strict=True):
             m = len(n) // 16
@@ -479,21 +523,17 @@ def dedup_substrings(docs: DataFrame, id_col: str, text_col: str, ws: Workspace,
     n = max(1, min(MOST, base._jdf.queryExecution().toRdd().getNumPartitions()))
     chunks = ws.bucketed(base.mapInArrow(_cut(n), CHUNKS), "chunks", n, "chunk")
     buckets = max(2 * partitions(spark), min(BUCKETS, chunks.count() // TOGETHER))
-    told: DataFrame | None = None
 
     def beside(rows: DataFrame, what) -> DataFrame:
         """The chunks with what was told to them; only that moves."""
         return chunks.join(rows.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(what).alias("told")).hint("shuffle_hash"), "chunk", "left")
 
+    rows, answer = chunks, F.struct("bucket", "bits")
     for number in range(1, ROUNDS + 2):
-        rows = chunks if told is None else beside(told, F.struct("round", "bucket", "bits"))
-        sent = rows.mapInArrow(_send(number, buckets), "bucket int, chunk long, name binary").repartition("bucket").sortWithinPartitions("bucket")
-        met = ws.save(sent.mapInArrow(_meet(number), "chunk long, round int, bucket int, bits binary"), f"round-{number}")
-        told = met if told is None else told.unionByName(met)
-    out = ws.save(beside(told, F.struct("round", "bucket", "bits")).mapInArrow(_send_windows(buckets), "kind int, bucket int, chunk long, x binary, y binary"), "windows", codec="lz4", partition_by="kind")
-    names = out.where("kind = 2").select("bucket", "chunk", "x", "y").repartition("bucket").sortWithinPartitions("bucket")
-    later = ws.save(names.mapInArrow(_match_windows, "chunk long, starts binary"), "later")
-    later = later.unionByName(out.where("kind = 3").select("chunk", F.col("y").alias("starts")))
+        sent = rows.mapInArrow(_send(number, buckets), "bucket int, kind int, chunk long, name binary").repartition("bucket").sortWithinPartitions("bucket")
+        rows = beside(ws.save(sent.mapInArrow(_meet, "chunk long, bucket int, bits binary"), f"round-{number}"), answer)
+    names = rows.mapInArrow(_send_windows(buckets), "kind int, bucket int, chunk long, x binary, y binary").select("bucket", "kind", "chunk", "x", "y")
+    later = ws.save(names.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows, "chunk long, starts binary"), "later")
     got = beside(later, F.col("starts")).mapInArrow(_remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return (got if keep_text else got.drop("kept")).withColumnRenamed("id", id_col)
 

@@ -25,11 +25,21 @@ def permute(d, kind):
     return f"{a:0{u}d}{b:0{n - u}d}"
 
 
-def walk(d, kind, same):
-    d = permute(d, kind)
-    while not same(d):
-        d = permute(d, kind)
-    return d
+def shift(n, a, b, kind):
+    x, y = divmod(n, b)
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            x = (x + draw(kind, i, y)) % a
+        else:
+            y = (y + draw(kind, i, x)) % b
+    return x * b + y
+
+
+def among(members, v, size, b, kind):
+    """The pseudonym of v, of a sorted list of heads times b tails."""
+    head, tail = divmod(v, b)
+    n = shift(members.index(head) * b + tail, size, b, kind)
+    return members[n // b] * b + n % b
 
 
 def refill(form, digits):
@@ -49,7 +59,7 @@ def make(m):
     kind = next(k for k, r in pii.KINDS.items() if re.fullmatch(r, m))
     d = re.sub("[^0-9]", "", m)
     if kind == "email":
-        return "u" + hashlib.sha256(f"{KEY}|email|{m.lower()}".encode()).hexdigest()[:12] + "@mail.invalid"
+        return "u" + hashlib.sha256(f"{KEY}|email|{m.lower()}".encode()).hexdigest()[:32] + "@mail.invalid"
     if kind == "card":
         if luhn(d):
             return m
@@ -67,13 +77,22 @@ def make(m):
             n = (datetime.datetime.strptime(m, form).date() - datetime.date(1900, 1, 1)).days
         except ValueError:
             return m
-        return (datetime.date(1900, 1, 1) + datetime.timedelta(int(walk(f"{n:05d}", "date", lambda s: int(s) < pii.DAYS)))).strftime(form)
+        n = shift(n, 271, 270, "date")
+        while n >= pii.DAYS:
+            n = shift(n, 271, 270, "date")
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(n)).strftime(form)
     if kind == "ssn":
         ok = lambda s: not re.search("^(000|666|9)|^.{3}00|0000$", s)
-        return refill(m, walk(d, "ssn", ok)) if ok(d) else m
+        areas = [x for x in range(1, 900) if x != 666]
+        n = shift((areas.index(int(d[:3])) * 99 + int(d[3:5]) - 1) * 9999 + int(d[5:]) - 1, 898 * 99, 9999, "ssn") if ok(d) else 0
+        return refill(m, f"{areas[n // 9999 // 99]:03d}{n // 9999 % 99 + 1:02d}{n % 9999 + 1:04d}") if ok(d) else m
     if kind == "phone":
         ok = lambda s: bool(re.match("[2-9][0-9]{2}[2-9]", s))
-        return refill(m, d[:-10] + walk(d[-10:], "phone", lambda s: ok(s) == ok(d[-10:])))
+        good = ok(d[-10:])
+        heads = [x for x in range(10000) if ok(f"{x:04d}") == good]
+        if not good:
+            heads.sort(key=lambda x: (x >= 2000, x))
+        return refill(m, d[:-10] + f"{among(heads, int(d[-10:]), len(heads), 10**6, 'phone' if good else 'other phone'):010d}")
     o = [int(x) for x in m.split(".")]
     a, b = o[0] * 256 + o[1], o[2] * 256 + o[3]
     for i in range(1, pii.ROUNDS + 1):
@@ -132,3 +151,29 @@ def test_cards_beside_other_numbers_and_printed_ibans(spark):
     rows = pii.mask(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(old)], "doc_id long, text string"), "text", KEY).orderBy("doc_id").collect()
     assert [r.text for r in rows] == [t for _, t in old]
     assert [x.kind for x in rows[3].pii] == ["card", "card"] and [x.value for x in rows[0].pii] == [one] and not rows[11].pii
+
+
+def test_numbers_of_a_class_are_permuted_within_it(spark):
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    assert spark.range(42).select(pii.shift(n, 6, 7, KEY, "x").alias("p")).agg(F.count_distinct("p"), F.min("p"), F.max("p")).first() == (42, 0, 41)
+    heads = F.lpad(n.cast("string"), 4, "0")
+    out = spark.range(10000).select(heads.alias("was"), pii._phone(F.concat(heads, F.lit("123456")), KEY).alias("new"))
+    valid = lambda c: F.col(c).rlike("^[2-9][0-9]{2}[2-9]")
+    assert out.where(valid("was") != valid("new")).count() == 0 and out.agg(F.count_distinct("new"), F.min(F.length("new")), F.max(F.length("new"))).first() == (10000, 10, 10)
+
+
+def test_a_key_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "ssn 123-45-6789", "kept", 7, 8)], "doc_id long, text string, pii string, __m long, __n long")
+    with pytest.raises(ValueError):
+        pii.mask(df, "text", "")
+    out = pii.mask(df, "text", KEY)
+    assert out.columns == [*df.columns, "pii_"]
+    assert out.first()[2:5] == ("kept", 7, 8) and out.first().pii_[0].kind == "ssn"
+
+
+def test_long_texts(spark):
+    text = "word 123-45-6789 " * 40_000
+    out = pii.mask(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", KEY).first()
+    assert len(out.text) == len(text) and len(out.pii) == 40_000 and len(set(x.value for x in out.pii)) == 1
