@@ -71,6 +71,7 @@ def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     g = (g * np.uint32(2654435761)) >> np.uint32(32 - HASHED.bit_length() + 1)
     hist = np.bincount(np.repeat(p, end - start) * HASHED + g[np.flatnonzero(ink)], minlength=n * HASHED).reshape(n, HASHED)
     out[:, :HASHED] = np.sqrt(hist / size[:, None])
+    out[words == 0] = 0  # as where no text has a word
     return out, bag0
 
 
