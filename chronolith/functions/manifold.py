@@ -77,6 +77,22 @@ def log0(v: Column) -> Column:
     return let(ball(v), lambda p: let(F.sqrt(square(p)), lambda n: F.when(n > 0, F.transform(p, lambda x: F.atanh(n) * x / n)).otherwise(p)))
 
 
+def _factor(x: Column) -> Column:
+    return 2 / F.greatest(1 - square(x), F.lit(1e-12))
+
+
+def exp_at(x: Column, v: Column) -> Column:
+    """The point that a tangent vector at x leads to."""
+    step = lambda f: let(F.sqrt(square(v)), lambda n: F.when(n > 0, F.transform(v, lambda c: F.tanh(f * n / 2) * c / n)).otherwise(v))
+    return let(_factor(x), lambda f: let(step(f), lambda s: mobius_add(x, s)))
+
+
+def log_at(x: Column, y: Column) -> Column:
+    """The tangent vector at x that leads to y."""
+    away = mobius_add(F.transform(x, lambda c: -c), y)
+    return let(_factor(x), lambda f: let(away, lambda d: let(F.sqrt(square(d)), lambda n: F.when(n > 0, F.transform(d, lambda c: 2 / f * F.atanh(F.least(n, F.lit(1 - 1e-12))) * c / n)).otherwise(d))))
+
+
 def slerp_mid(a: Column, b: Column) -> Column:
     return let(F.zip_with(a, b, lambda x, y: x + y), lambda m: let(F.sqrt(square(m)), lambda n: F.when(n > 0, F.transform(m, lambda x: x / n)).otherwise(a)))
 

@@ -51,7 +51,23 @@ def sigmoid(x: Column) -> Column:
 
 
 def normal_name(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.upper(s), *ACCENTS), "[^A-Z0-9]+", " "))
+    """Capital letters without accents; whatever is no letter parts words."""
+    return F.trim(F.regexp_replace(F.translate(F.upper(s), *ACCENTS), "[^A-Z]+", " "))
+
+
+PARTICLES = ("DE", "DA", "DO", "DOS", "DAS", "E")
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Jaccard of the words of two normal names, without particles; nothing on a side is 0."""
+    words = lambda s: F.array_distinct(F.filter(F.split(s, " "), lambda t: (t != "") & ~t.isin(*PARTICLES)))
+    return jaccard(words(a), words(b))
+
+
+def cpf_fragment(masked: Column) -> Column:
+    """The six digits that a masked number shows; null if it shows any other count, which is no block to trust."""
+    d = F.regexp_replace(masked, "[^0-9]", "")
+    return F.when(F.length(d) == 6, d)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -78,13 +94,48 @@ def canonical_domain(s: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(s)), r"\.+$", "")
 
 
+LABEL = "[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?"
+
+
+def valid_domain(s: Column) -> Column:
+    """The canonical domain, or null where a label is empty, too long, begins or ends with a hyphen or has other characters."""
+    d = canonical_domain(s)
+    return F.when(d.rlike(f"^{LABEL}(?:\\.{LABEL})*$") & (F.length(d) <= 253), d)
+
+
 def canonical_email(s: Column) -> Column:
-    return F.lower(F.trim(s))
+    """The domain is canonical; the part before it is the receiving host's affair and stays. Null if either is missing."""
+    t = F.trim(s)
+    local, domain = F.regexp_extract(t, "^(.*)@[^@]*$", 1), valid_domain(F.regexp_extract(t, "@([^@]*)$", 1))
+    return F.when(local != "", F.concat(local, F.lit("@"), domain))
+
+
+DIGITS = {"md5": 32, "sha1": 40, "sha256": 64, "sha3_256": 64, "sha512": 128}
 
 
-def canonical_hash(s: Column) -> Column:
+def canonical_hash(s: Column, algorithm: str | None = None) -> Column:
+    """Lower-case hexadecimal digits of the algorithm's length (of MD5, SHA-1 or SHA-256, if none is named), else null."""
     low = F.lower(F.trim(s))
-    return F.when(low.rlike("^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), low)
+    sizes = [DIGITS[algorithm]] if algorithm else [32, 40, 64]
+    return F.when(low.rlike("^(" + "|".join(f"[0-9a-f]{{{n}}}" for n in sizes) + ")$"), low)
+
+
+PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
+
+
+def canonical_url(s: Column) -> Column:
+    """Scheme and host in lower case, a default port dropped; user, path, query and fragment stay as they are, as they may
+    mean something else in another spelling. Null for other schemes and for what is no host."""
+    t = F.trim(s)
+    part = lambda i: F.regexp_extract(t, r"^([A-Za-z]+)://(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^/?#@:]*)(?::([0-9]+))?((?:[/?#].*)?)$", i)
+    scheme = F.lower(part(1))
+    host = F.when(part(3).startswith("["), F.lower(part(3))).otherwise(valid_domain(part(3)))
+    default = F.lit(False)
+    for k, p in PORTS.items():
+        default = default | ((scheme == k) & (part(4) == p))
+    port = F.when((part(4) == "") | default, "").when(part(4).cast("long") <= 65535, F.concat(F.lit(":"), part(4).cast("long").cast("string")))
+    user = F.when(part(2) != "", F.concat(part(2), F.lit("@"))).otherwise("")
+    return F.when(scheme.isin(*PORTS), F.concat(scheme, F.lit("://"), user, host, port, part(5)))
 
 
 def ipv4(s: Column) -> Column:

@@ -106,3 +106,55 @@ def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataF
     r = df.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(n))
     weight = F.when(F.col("r") == F.col("n"), F.pow(F.lit(1 - alpha), F.col("n") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("r") - 1))
     return r.groupBy(key).agg(F.sum(F.col(value) * weight).alias("ewma"))
+
+
+def diff_totals(rows: DataFrame) -> DataFrame:
+    """Of the rows of `diff`: values and events of both windows, new and silent values."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("values"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.count_if("new").alias("new"), F.count_if("silent").alias("silent")
+    )
+
+
+def diff_top(rows: DataFrame, n: int) -> DataFrame:
+    """New values first, then silent ones, then by the greater count."""
+    return rows.orderBy(F.col("new").desc(), F.col("silent").desc(), F.greatest("events", "before").desc(), "value").limit(n)
+
+
+def source_totals(episodes: DataFrame) -> DataFrame:
+    return episodes.agg(F.count_distinct("agent_id").alias("agents"), F.count(F.lit(1)).alias("n"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+
+
+def both_ends(rows: DataFrame, n: int) -> DataFrame:
+    """The first and the last n rows by lsn, each once; a sample for a report."""
+    return rows.orderBy("lsn").limit(n).union(rows.orderBy(F.col("lsn").desc()).limit(n)).distinct()
+
+
+def weighted_moments(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """Weighted mean and variance as sums, which merge; a weight of zero or less counts nothing."""
+    w, x = F.when(F.col(weight) > 0, F.col(weight)), F.col(value)
+    g = df.groupBy(by).agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"))
+    mean = F.col("wx") / F.col("w")
+    return g.select(by, "w", mean.alias("mean"), F.greatest(F.col("wxx") / F.col("w") - mean * mean, F.lit(0.0)).alias("variance"))
+
+
+def reservoir(df: DataFrame, by: str, value: str, n: int, seed: int = 1) -> DataFrame:
+    """Up to n values per group, every subset alike: those with the least hashes of the row. A sample that merges and that
+    the order of rows doesn't change."""
+    rank = F.struct(F.xxhash64(F.lit(seed), *df.columns).alias("h"), F.col(value).alias("v"))
+    kept = df.select(by, rank.alias("x")).withColumn("r", F.row_number().over(W.partitionBy(by).orderBy("x"))).where(F.col("r") <= n)
+    return kept.groupBy(by).agg(F.collect_list("x.v").alias("sample"))
+
+
+def approvals(events: DataFrame) -> DataFrame:
+    """(approval_id, lsn, at, kind, approver) to a row per approval: when it was asked for and decided, by whom and how; the
+    last decision counts."""
+    decided = F.col("kind").isin("granted", "denied")
+    last = lambda c: F.max_by(F.when(decided, c), F.when(decided, F.col("lsn")))
+    return events.groupBy("approval_id").agg(
+        F.max_by(F.when(F.col("kind") == "requested", F.col("at")), F.when(F.col("kind") == "requested", F.col("lsn"))).alias("requested_at"), last(F.col("at")).alias("decided_at"), last(F.col("approver")).alias("approver"), last(F.col("kind") == "granted").alias("granted"), F.count(F.lit(1)).alias("evidence"),
+    )
+
+
+def policy_decisions(events: DataFrame) -> DataFrame:
+    """Decisions by policy, rule and outcome, with how many were enforced."""
+    return events.where("policy_id is not null").groupBy("policy_id", "rule_id", "decision").agg(F.count(F.lit(1)).alias("n"), F.count_if("enforced").alias("enforced"), F.min("lsn").alias("first_lsn"))

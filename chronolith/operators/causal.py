@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.graph import cutter
+
 
 def links(episodes: DataFrame, bound: int | None = None) -> DataFrame:
     """(id, parent, pos) of parents that the snapshot holds."""
@@ -18,10 +20,9 @@ def provenance(episodes: DataFrame, ident: str) -> DataFrame:
 
 
 def why(episodes: DataFrame, ident: str, depth: int = 64, bound: int | None = None, stop_when_empty: bool = True) -> DataFrame:
-    """(id, depth, root) of ident and its ancestors at their least depth; a root has no cause within the snapshot. Levels
+    """(id, depth, root, causes) of ident and its ancestors at their least depth; a root has no cause within the snapshot. Levels
     are joined one by one; the loop ends where nothing new is found."""
-    up = links(episodes, bound).select("id", "parent").distinct().cache()
-    spark = episodes.sparkSession
+    up = cutter(episodes.sparkSession)(links(episodes, bound).select("id", "parent").distinct())
     here = episodes if bound is None else episodes.where(F.col("lsn") < bound)
     front = here.where(F.col("id") == ident).select("id", F.lit(0).alias("depth"))
     seen = front
@@ -31,13 +32,13 @@ def why(episodes: DataFrame, ident: str, depth: int = 64, bound: int | None = No
         if stop_when_empty and not front.take(1):
             break
         seen = seen.unionByName(front)
-    causes = up.groupBy("id").agg(F.count(F.lit(1)).alias("causes"))
-    return seen.join(causes, "id", "left").select("id", "depth", F.col("causes").isNull().alias("root"))
+    causes = up.groupBy("id").agg(F.array_sort(F.collect_list("parent")).alias("causes"))
+    return seen.join(causes, "id", "left").select("id", "depth", F.col("causes").isNull().alias("root"), F.coalesce("causes", F.expr("cast(array() as array<string>)")).alias("causes"))
 
 
 def why_until(episodes: DataFrame, ident: str, cause: str, depth: int = 64, bound: int | None = None) -> DataFrame:
     """The shortest chain from ident to the cause; of equals, the first by the order of parents. No row: not linked."""
-    up = links(episodes, bound).groupBy("id", "parent").agg(F.min("pos").alias("pos")).cache()
+    up = cutter(episodes.sparkSession)(links(episodes, bound).groupBy("id", "parent").agg(F.min("pos").alias("pos")))
     here = episodes if bound is None else episodes.where(F.col("lsn") < bound)
     front = here.where(F.col("id") == ident).select("id", F.array("id").alias("chain"), F.expr("cast(array() as array<int>)").alias("turns"))
     seen = front.select("id")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from chronolith.operators.graph import components
 
-SEED = 0x48524B4C
 SCHEMA = "node string, community string"
 
 
@@ -37,9 +36,7 @@ def louvain(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {n: n for n in level}
         weight = dict(degree)
         moved = True
-        for _ in range(20):
-            if not moved:
-                break
+        while moved:  # every move raises modularity by more than the margin, so moves end
             moved = False
             for n in sorted(level):
                 mine = part[n]

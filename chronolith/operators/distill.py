@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, LEAST, MOST = 0.8, 3, 64
-SCHEMA = "grp string, cluster int, n long, confidence double, first_lsn long, lsns array<long>"
+SCHEMA = "grp string, run int, cluster int, n long, confidence double, first_lsn long, lsns array<long>"
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -21,7 +21,7 @@ def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def greedy(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Each row, in order of lsn, joins the nearest cluster (by hyperbolic distance to its Einstein centroid) within the
-    threshold, or opens one; clusters of LEAST rows are facts with confidence n / (n + 2)."""
+    threshold, or opens one; clusters of LEAST rows are facts with confidence n / (n + 2), MOST of them a run."""
     num: list[np.ndarray] = []
     den: list[float] = []
     lsns: list[list[int]] = []
@@ -41,9 +41,9 @@ def greedy(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
             num[at] = num[at] + g * x
             den[at] += g
             lsns[at].append(int(lsn))
-    facts = [x for x in lsns if len(x) >= LEAST][:MOST]
+    facts = [x for x in lsns if len(x) >= LEAST]
     grp = pdf["grp"].iloc[0]
-    return pd.DataFrame([(grp, i, len(x), len(x) / (len(x) + 2), x[0], x) for i, x in enumerate(facts)], columns=["grp", "cluster", "n", "confidence", "first_lsn", "lsns"])
+    return pd.DataFrame([(grp, i // MOST, i, len(x), len(x) / (len(x) + 2), x[0], x) for i, x in enumerate(facts)], columns=["grp", "run", "cluster", "n", "confidence", "first_lsn", "lsns"])
 
 
 def distill(episodes: DataFrame, by: str = "agent_id", threshold: float = THRESHOLD) -> DataFrame:

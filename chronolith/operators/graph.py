@@ -2,7 +2,8 @@
 
 Two tables stand for the graph. `intervals` (edge_id, src, dst, etype, from_lsn, to_lsn) has a row per stretch in which an
 edge is open; `versions` (edge_id, hypothesis, confidence, polarity, lsn) has each hypothesis once, by its first assertion.
-A bound n sees what has lsn < n; a graph point is n - 1.
+A bound n sees what has lsn < n; a graph point is n - 1. Edge events may carry world_from and world_to, the time for which
+they say that the edge holds in the world; an interval has those of the assertion that opened it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chronolith.functions.scalars import edge_id, logit, sigmoid
+from chronolith.functions.scalars import edge_id, edge_type_key, logit, sigmoid
+from chronolith.sources.shared import shared_dir
 
 
 def keyed(edge_events: DataFrame) -> DataFrame:
@@ -19,12 +21,33 @@ def keyed(edge_events: DataFrame) -> DataFrame:
 
 
 def intervals(edge_events: DataFrame) -> DataFrame:
-    """Asserts and retracts collapse to their changes; an interval runs from an assert to the retract after it."""
+    """Asserts and retracts (or closes) collapse to their changes; an interval runs from an assert to the retract after it."""
     by = W.partitionBy("edge_id").orderBy("lsn")
-    e = keyed(edge_events).where(F.col("op").isin("assert", "retract"))
+    e = keyed(edge_events).withColumn("op", F.when(F.col("op") == "close", "retract").otherwise(F.col("op"))).where(F.col("op").isin("assert", "retract"))
     e = e.withColumn("before", F.lag("op").over(by)).where((F.col("op") != F.col("before")) | (F.col("before").isNull() & (F.col("op") == "assert")))
     e = e.withColumn("to_lsn", F.lead("lsn").over(by)).where("op = 'assert'")
-    return e.select("edge_id", "src", "dst", "etype", F.col("lsn").alias("from_lsn"), "to_lsn")
+    return e.select("edge_id", "src", "dst", "etype", F.col("lsn").alias("from_lsn"), "to_lsn", *(c for c in WORLD if c in e.columns))
+
+
+def derive(episodes: DataFrame) -> DataFrame:
+    """Edge events of a log: explicit ones by the attributes edge_from, edge_to, edge_type, edge_op, confidence, stance and
+    hypothesis (else rule), and otherwise one from each parent, typed provenance unless edge_type says more."""
+    a = lambda k: F.col("attrs")[k]
+    etype = edge_type_key(F.coalesce(a("edge_type"), F.lit("provenance")))
+    sure = F.coalesce(a("confidence").try_cast("double"), F.lit(1.0))
+    against = F.coalesce(F.lower(a("stance")).isin("refute", "against"), F.lit(False))
+    op = F.when(F.lower(F.coalesce(a("edge_op"), F.lit("assert"))).isin("retract", "close"), "retract").otherwise("assert")
+    named = a("edge_from").isNotNull() & a("edge_to").isNotNull()
+    world = [F.coalesce(F.col(f"valid_{x}"), F.trim(a(f"valid_{x}")).try_cast("long")).alias(f"world_{x}") for x in ("from", "to")]
+    said = episodes.where(F.coalesce(named, F.lit(False))).select("lsn", a("edge_from").alias("src"), a("edge_to").alias("dst"), etype.alias("etype"), op.alias("op"), sure.alias("confidence"), F.when(against, -1).otherwise(1).alias("polarity"), F.coalesce(a("hypothesis"), a("rule")).alias("hypothesis"), *world)
+    born = episodes.where(~F.coalesce(named, F.lit(False))).select("lsn", F.explode("parents").alias("src"), F.col("id").alias("dst"), etype.alias("etype"), F.lit("assert").alias("op"), sure.alias("confidence"), F.when(etype == "not_related", -1).otherwise(1).alias("polarity"), F.lit(None).cast("string").alias("hypothesis"), F.col("valid_from").alias("world_from"), F.col("valid_to").alias("world_to"))
+    out = said.unionByName(born)
+    return out.withColumn("hypothesis", F.coalesce("hypothesis", edge_id(F.col("src"), F.col("dst"), F.col("etype"))))
+
+
+def holds_at(t: int) -> Column:
+    """Of intervals, whether the world time of their assertion holds at t; what isn't said is open."""
+    return (F.col("world_from").isNull() | (F.col("world_from") <= t)) & (F.col("world_to").isNull() | (F.col("world_to") > t))
 
 
 def versions(edge_events: DataFrame) -> DataFrame:
@@ -34,6 +57,9 @@ def versions(edge_events: DataFrame) -> DataFrame:
     return e.groupBy("edge_id", "hypothesis").agg(first.alias("x")).select("edge_id", "hypothesis", "x.lsn", "x.confidence", "x.polarity")
 
 
+WORLD = ("world_from", "world_to")
+
+
 def alive(bound: int) -> Column:
     point = bound - 1
     return (F.col("from_lsn") <= point) & (F.col("to_lsn").isNull() | (F.col("to_lsn") > point))
@@ -58,9 +84,8 @@ def neighbors(edge_events: DataFrame, node: str, bound: int, etype: str | None =
 
 def traverse(edge_events: DataFrame, node: str, depth: int, bound: int) -> DataFrame:
     """(node, depth) by breadth first along open edges, without the start. One join per level, with nodes that are new."""
-    links = intervals(edge_events.where(F.col("lsn") < bound)).where(alive(bound)).select("src", "dst").distinct()
-    links = links.checkpoint() if links.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else links.cache()
-    spark = links.sparkSession
+    spark = edge_events.sparkSession
+    links = cutter(spark)(intervals(edge_events.where(F.col("lsn") < bound)).where(alive(bound)).select("src", "dst").distinct())
     seen = spark.createDataFrame([(node, 0)], "node string, depth int")
     front = seen
     for d in range(1, depth + 1):
@@ -80,33 +105,28 @@ def metrics(edges: DataFrame) -> DataFrame:
     return m.select("node", "degree", F.when(F.col("n") > 1, F.col("degree") / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(0.0).alias("centrality"), z.alias("anomaly"))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, community): the smallest node of the undirected component. Labels fall by a neighbour's and then by their own
-    label's label, so rounds grow with the logarithm of the diameter; lineage is cut every round by a checkpoint."""
+    label's label, so rounds grow with the logarithm of the diameter; lineage is cut every round by a checkpoint, and rounds
+    end when no label falls."""
     spark = edges.sparkSession
-    cut = _cutter(spark)
+    cut = cutter(spark)
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("a", "b"))
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("node"), "c"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         new = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         jump = new.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         new = cut(new.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
         if not new.where("was <> c").take(1):
-            break
+            return label.select("node", F.col("c").alias("community"))
         label = new.select("node", "c")
-    return label.select("node", F.col("c").alias("community"))
 
 
-def _cutter(spark):
-    """checkpoint() into the shared folder; where none is set, as in tests, one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def cutter(spark):
+    """checkpoint() into the folder that all executors share."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not root:
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="chronolith-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return lambda df: df.checkpoint()
 
 
@@ -138,8 +158,15 @@ def decay(lam: float, age: Column) -> Column:
 
 def state_hash(df: DataFrame) -> DataFrame:
     """An order-free digest of a view: equal after any replay."""
-    h = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("digest"))
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)))
+    h = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
+
+
+def entities_in_window(edge_events: DataFrame, start: int, end: int) -> DataFrame:
+    """(node, first_lsn, last_lsn, edges) of what edge events of [start, end) touch."""
+    e = edge_events.where((F.col("lsn") >= start) & (F.col("lsn") < end)).select("lsn", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    return e.groupBy("node").agg(F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"), F.count(F.lit(1)).alias("edges"))
 
 
 def spread(edges: DataFrame, context: DataFrame, fan_out: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chronolith.functions.scalars import domain_suffixes, jaccard
+from chronolith.functions.scalars import PARTICLES, cpf_fragment, domain_suffixes, jaccard, normal_name
 
 
 def string_equi(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
@@ -43,6 +43,19 @@ def asof(left: DataFrame, right: DataFrame, by: str, lt: str, rt: str, cols: lis
     return out.select("__l.*", *(F.col(f"__last.{c}").alias(f"{c}_asof") for c in cols))
 
 
+def cpf_candidates(left: DataFrame, right: DataFrame, least: float = 0.5, sure: float = 0.85) -> DataFrame:
+    """blocked_similarity on the visible digits of masked numbers and normal names. Sides: (id, masked, org, name). Rows without
+    a fragment to trust join nothing."""
+    words = lambda n: F.array_distinct(F.filter(F.split(normal_name(n), " "), lambda t: (t != "") & ~t.isin(*PARTICLES)))
+    side = lambda df: df.select("id", cpf_fragment(F.col("masked")).alias("block"), "org", words(F.col("name")).alias("tokens")).where("block is not null")
+    return blocked_similarity(side(left), side(right), least, sure)
+
+
+def current(indicators: DataFrame, now: int) -> DataFrame:
+    """Indicators that are valid at a time: (valid_from, valid_to) with null for open."""
+    return indicators.where((F.col("valid_from").isNull() | (F.col("valid_from") <= now)) & (F.col("valid_to").isNull() | (F.col("valid_to") > now)))
+
+
 def suffix_match(hosts: DataFrame, host: str, indicators: DataFrame, domain: str) -> DataFrame:
     """Hosts under an indicator's domain: a host's suffixes are exploded and joined by equality."""
     e = hosts.withColumn(domain, F.explode(domain_suffixes(F.col(host))))
@@ -50,10 +63,12 @@ def suffix_match(hosts: DataFrame, host: str, indicators: DataFrame, domain: str
 
 
 def prefix_match(ips: DataFrame, ip: str, nets: DataFrame) -> DataFrame:
-    """Addresses (as numbers) within nets (net, bits): one equality join on the address masked to each of the 33 lengths;
-    lengths that no net has are never exploded when given by the caller's filter on bits."""
-    mask = lambda c, b: F.shiftleft(F.shiftrightunsigned(c, 32 - b), 32 - b)
-    e = ips.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("net", F.expr(f"shiftleft(shiftrightunsigned({ip}, 32 - bits), 32 - bits)"))
+    """Addresses (as numbers) within nets (net, bits): one equality join on the address masked to each length that some net
+    has, of which there are 33 at most."""
+    lengths = sorted(r.bits for r in nets.select("bits").distinct().collect())
+    if not lengths:
+        return ips.join(nets.withColumn(ip, F.lit(None).cast("long")), ip).limit(0)
+    e = ips.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)))).withColumn("net", F.expr(f"shiftleft(shiftrightunsigned({ip}, 32 - bits), 32 - bits)"))
     return e.join(nets, ["net", "bits"])
 
 

@@ -64,3 +64,29 @@ def activation(access: DataFrame, now: int, d: float = 0.5, recent: int = 8) ->
     tail = (F.pow(high, F.lit(1 - d)) - F.pow(low, F.lit(1 - d))) / (1 - d) if abs(1 - d) > 1e-12 else F.ln(high) - F.ln(low)
     extra = F.when(F.col("n") > recent, F.greatest((F.col("n") - recent) * tail / (high - low), F.lit(0.0))).otherwise(0.0)
     return g.select("id", F.ln(F.col("mass") + extra).alias("score"))
+
+
+RECALL_N = 200
+
+
+def production_recall(bm25: DataFrame, substring: DataFrame, active: DataFrame, k: int, head: int, n: int = RECALL_N) -> DataFrame:
+    """(lsn, score) of the k best of three channels: bm25 (lsn, score), substring counts (lsn, tf), activation (lsn, score), each
+    cut to its n best. Ranks fuse to at most n candidates; a candidate that BM25 has not measured takes its count as a signal
+    below the weakest measured one: floor * tf / (most + 1). Sides are n rows at most, so nothing large is ever joined."""
+    text = ranked(bm25.orderBy(F.col("score").desc(), "lsn").limit(n), F.col("score").desc(), "lsn").select("lsn", "rank", F.col("score").alias("b"))
+    count = ranked(substring.orderBy(F.col("tf").desc(), "lsn").limit(n), F.col("tf").desc(), "lsn").select("lsn", "rank", "tf")
+    act = ranked(active.orderBy(F.col("score").desc(), "lsn").limit(n), F.col("score").desc(), "lsn").select("lsn", "rank", F.col("score").alias("a"))
+    fused = rrf([text.select("lsn", "rank"), count.select("lsn", "rank"), act.select("lsn", "rank")]).orderBy(F.col("score").desc(), "lsn").limit(n).select("lsn")
+    floor, most = text.agg(F.min("b").alias("floor")), count.agg(F.max("tf").alias("most"))
+    j = fused.join(text.select("lsn", "b"), "lsn", "left").join(count.select("lsn", "tf"), "lsn", "left").join(act.select("lsn", "a"), "lsn", "left").join(F.broadcast(floor)).join(F.broadcast(most))
+    calm = F.when(F.col("floor") > 0, F.col("floor") * F.col("tf") / (F.col("most") + 1)).otherwise(F.col("tf").cast("double"))
+    signals = j.select("lsn", F.lit(None).cast("double").alias("distance"), F.coalesce("b", calm).alias("bm25"), F.col("a").alias("activation"))
+    return rerank(signals, head).orderBy(F.col("score").desc(), "lsn").limit(k)
+
+
+def feedback(spark, query_id: str, chosen: str, outcome: float, lsn: int) -> DataFrame:
+    """An episode that records which answer of a query was taken; appended, it trains rerankers later."""
+    from chronolith.sources.adapters import episode
+
+    attrs = F.create_map(F.lit("query_id"), F.lit(query_id), F.lit("chosen"), F.lit(chosen), F.lit("outcome"), F.lit(str(outcome)))
+    return episode(spark.range(1), lsn=F.lit(lsn), id=F.lit(f"f{lsn}"), agent_id=F.lit("retrieval"), kind=F.lit("RetrievalFeedback"), attrs=attrs)

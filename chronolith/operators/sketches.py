@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +30,63 @@ def count_min(df: DataFrame, col: str, eps: float = 0.001, confidence: float = 0
 
 def quantiles(df: DataFrame, by: list[str], col: str, qs: list[float]) -> DataFrame:
     return df.groupBy(*by).agg(F.percentile_approx(col, qs, 10_000).alias("q"))
+
+
+# --- Bloom filters and Count-Min tables, as rows of native expressions that merge by union
+
+
+def _slots(key: Column, n: int, size: int) -> Column:
+    """n positions below size by double hashing."""
+    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.pmod(a, F.lit(size)) + i * F.pmod(b, F.lit(size)), F.lit(size)))
+
+
+def bloom_shape(expected: int, fpr: float) -> tuple[int, int]:
+    """(bits, hashes): bits a multiple of 64 and at most 2**26, eight megabytes when broadcast."""
+    n, p = max(1, expected), min(max(fpr, 1e-6), 0.5)
+    m = min(max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2)), 1 << 26)
+    m = -(-m // 64) * 64
+    return m, min(max(1, round(m / n * math.log(2))), 16)
+
+
+def bloom(df: DataFrame, key: str, shape: tuple[int, int]) -> DataFrame:
+    """(word, bits): the filter's words that have a bit; filters of one shape unite by merge_bloom."""
+    m, k = shape
+    at = df.where(F.col(key).isNotNull()).select(F.explode(_slots(F.col(key), k, m)).alias("p"))
+    return at.groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+
+
+def merge_bloom(*filters: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, filters).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def might_contain(df: DataFrame, key: str, words: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """The rows whose key the filter may hold: none that it holds is lost. The filter travels as one row, as large as its
+    shape says, whatever the input."""
+    m, k = shape
+    held = {r.word: r.bits for r in words.collect()}  # at most m / 64 rows, bounded by the shape
+    row = df.sparkSession.createDataFrame([([held.get(i, 0) for i in range(m // 64)],)], "__bits array<bigint>")
+    hit = lambda p: F.call_function("shiftrightunsigned", F.element_at("__bits", (p / 64).cast("int") + 1), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return df.join(F.broadcast(row)).where(F.col(key).isNotNull() & F.forall(_slots(F.col(key), k, m), hit)).drop("__bits")
+
+
+def bloom_semi_join(big: DataFrame, small: DataFrame, key: str, fpr: float = 0.01) -> DataFrame:
+    """Rows of `big` with a partner: what the filter of the small side rules out never reaches the shuffle."""
+    shape = bloom_shape(small.count(), fpr)
+    return might_contain(big, key, bloom(small, key, shape), shape).join(small.select(key).distinct(), key, "left_semi")
+
+
+def count_min_table(df: DataFrame, key: str, width: int, depth: int) -> DataFrame:
+    """(row, slot, n): the counters that aren't zero; tables merge by union and sum."""
+    at = df.where(F.col(key).isNotNull()).select(F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.pmod(F.xxhash64(F.col(key), i), F.lit(width)))).alias("row", "slot"))
+    return at.groupBy("row", "slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_min_merge(*tables: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("row", "slot").agg(F.sum("n").alias("n"))
+
+
+def count_min_estimate(keys: DataFrame, key: str, table: DataFrame, width: int, depth: int) -> DataFrame:
+    """(key, estimate): never below the true count; a counter that is missing is zero."""
+    at = keys.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.pmod(F.xxhash64(F.col(key), i), F.lit(width)))).alias("row", "slot"))
+    return at.join(table, ["row", "slot"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))

@@ -13,6 +13,7 @@ from chronolith.operators import analytics, causal, community, decide, distill,
 from chronolith.plans.gql import Log
 from chronolith.sources import adapters as A
 from chronolith.sources import sinks
+from chronolith.sources.shared import scratch
 from chronolith.streaming import detectors, rules, sigma
 
 QUERIES: dict[str, Callable] = {}
@@ -65,7 +66,7 @@ def gql(name: str, statement: str, sql: str, tables: str = "events", rounded: tu
         else:
             log = Log(A.turns(spark, sf), head=1_000_000_000)
         df = log.query(statement)
-        flat = df.select(*(F.round(f"`{c}`", 4).alias(c.replace(".", "_")) if c in rounded else F.col(f"`{c}`").alias(c.replace(".", "_")) for c in df.columns if c not in ("attrs", "parents")))
+        flat = df.select(*(F.round(f"`{c}`", 4).alias(c.replace(".", "_")) if c in rounded else F.col(f"`{c}`").alias(c.replace(".", "_")) for c in df.columns if c not in ("attrs", "parents", "causes") and (c != "community" or name != "metrics_node" and not name.startswith("metrics_node_"))))
         return flat
 
     QUERIES[name], SQL[name] = run, sql
@@ -369,7 +370,7 @@ def nearest_filtered(spark, sf):
 @q("einstein_centroid", "with e as (select label, list_transform(embedding, lambda x: x::double * 0.5) as v from embeddings), g as (select label, 1 / sqrt(greatest(1 - list_sum(list_transform(v, lambda x: x * x)), 1e-12)) as g, v from e), x as (select label, g, unnest(v) as x, (unnest(range(len(v))))::int as pos from g) select 'label-' || label as agent_id, pos, round(sum(g * x) / sum(g), 4) as value from x group by 1, 2")
 def einstein_centroid(spark, sf):
     e = A.vectors(spark, sf).select("agent_id", F.col("embedding.hyp").alias("v"))
-    return vector.einstein_centroid(e, "agent_id", "v").select("agent_id", "pos", F.round("value", 4).alias("value"))
+    return vector.einstein_centroid(e, "agent_id", "v").select("agent_id", "pos", (F.round("value", 4) + 0.0).alias("value"))
 
 
 @q("manifold_maps")
@@ -431,7 +432,7 @@ def activation_topk(spark, sf):
 
 @q("distill_clusters")
 def distill_clusters(spark, sf):
-    return distill.distill(A.vectors(spark, sf), threshold=1.7).drop("lsns")
+    return distill.distill(A.vectors(spark, sf), threshold=1.7).drop("lsns", "run")
 
 
 # --- reports
@@ -846,10 +847,7 @@ def session_windows(spark, sf):
 
 def _streamed(spark, sf, plan, mode: str = "append") -> DataFrame:
     """Runs a stream over the table's files to its end, into the shared folder, and reads the result."""
-    import tempfile
-    import uuid
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronolith-")) + f"/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     schema = A.table(spark, sf, "events").schema
     s = rules.stream(spark, f"{sf}/events.parquet*", schema)
     rules.run_to_table(plan(s), spark, f"{root}/out", f"{root}/state", mode)
@@ -859,7 +857,7 @@ def _streamed(spark, sf, plan, mode: str = "append") -> DataFrame:
 @q("rule_count_stream", SQL["rule_count"].replace("select lsn, user_id, n as matches", "select lsn, user_id::varchar as key, n as matches"))
 def rule_count_stream(spark, sf):
     def plan(s):
-        e = s.where("value > 50").select("user_id", F.col("event_id").alias("lsn"), F.unix_millis("ts").alias("at"))
+        e = s.where("value > 50").select("user_id", F.col("event_id").alias("lsn"), F.unix_millis("ts").alias("at"), "ts")
         return rules.count_stream(e, "user_id", "at", 24 * HOUR, 2)
 
     return _streamed(spark, sf, plan)

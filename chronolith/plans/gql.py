@@ -439,6 +439,8 @@ class Log:
                     elif left[1:] == (vb, "id"):
                         events = events.where(F.col("dst") == right[1])
         e = graph.edges_at(events, bound)
+        if a["valid"] is not None and "world_from" in e.columns:
+            e = e.where(graph.holds_at(a["valid"]))
 
         def value(o):
             if o[0] == "lit":
@@ -553,7 +555,8 @@ class Log:
             return c.join(F.broadcast(mine), "community").groupBy("community").agg(F.count(F.lit(1)).alias("members"))
         if k == "METRICS":
             e = self.edges(bound, events)
-            return graph.metrics(e).where(F.col("node") == a["node"])
+            mine = graph.metrics(e).where(F.col("node") == a["node"])
+            return mine.join(graph.components(e), "node", "left").select("node", "degree", "centrality", "anomaly", "community")
         if k in ("RESOLVE", "CLUSTER"):
             if self.entity_events is None:
                 raise GqlError("the log has no entities")

@@ -52,10 +52,56 @@ def append_once(spark: SparkSession, batch: DataFrame, path: str, key: str) -> N
     batch.dropDuplicates([key]).join(held, key, "left_anti").write.mode("append").parquet(path)
 
 
-def read_stix(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
-    """(id, type, pattern, confidence) of a STIX bundle's objects."""
+DATASETS = {"socios": "partner", "empresas": "company", "pagamentos": "payment", "contratos": "contract"}
+
+
+def ingest_csv(spark: SparkSession, path: str, names: dict[str, str] = DATASETS) -> DataFrame:
+    """All CSV files below a folder as rows (dataset, file, row): the dataset by the name of the file's folder, Latin-1 read,
+    blanks trimmed, each row as JSON text, as the files' columns differ."""
+    folder = F.lower(F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1))
+    kind = folder
+    for k, v in names.items():
+        kind = F.when(folder == k, v).otherwise(kind)
+    out = None
+    for sub in sorted({r.d for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("d")).distinct().collect()}):
+        rows = read_csv(spark, sub)
+        plain = rows.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in rows.columns))
+        one = plain.select(kind.alias("dataset"), F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"), F.to_json(F.struct("*")).alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "dataset string, file string, row string")
+
+
+class TooManyObjects(ValueError):
+    pass
+
+
+def read_stix(spark: SparkSession, path: str, most: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """(id, type, pattern, confidence) of STIX bundles' objects. A bundle of more objects or bytes than allowed is an error,
+    never a part of it; so is a document that is no bundle."""
+    files = spark.read.format("binaryFile").load(path)
+    if (big := files.where(F.col("length") > most_bytes).select("path", "length").first()) is not None:
+        raise TooManyObjects(f"{big.path}: {big.length} bytes, at most {most_bytes}")
     b = spark.read.option("multiLine", True).schema("type string, id string, objects array<struct<id:string,type:string,pattern:string,confidence:int>>").json(path)
-    return b.where("type = 'bundle'").select(F.explode(F.slice("objects", 1, most)).alias("o")).select("o.*")
+    if (big := b.where(F.size("objects") > most).select(F.size("objects").alias("n")).first()) is not None:
+        raise TooManyObjects(f"{big.n} objects, at most {most}")
+    if b.where("type is null or type <> 'bundle'").take(1):
+        raise ValueError("not a bundle")
+    return b.select(F.explode("objects").alias("o")).select("o.*")
+
+
+SECRET = r"(?i)\b(authorization|password|passwd|secret|token|api[_-]?key)\b([\"']?\s*[:=]\s*[\"']?)(?:bearer\s+)?[^\s\"',;&]+"
+
+
+def redacted(text):
+    """What follows the name of a credential is masked."""
+    return F.regexp_replace(text, SECRET, "$1$2[redacted]")
+
+
+def evidence(records: DataFrame) -> DataFrame:
+    """(key, hash, body) of records (key, body): bodies redacted, each key and content once; a key with two contents keeps
+    both, as conflicting evidence is none to drop."""
+    r = records.select("key", redacted(F.col("body")).alias("body"))
+    return r.withColumn("hash", F.sha2(F.col("body").cast("binary"), 256)).dropDuplicates(["key", "hash"]).select("key", "hash", "body")
 
 
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:

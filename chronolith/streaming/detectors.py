@@ -130,3 +130,36 @@ def security_edges(events: DataFrame) -> DataFrame:
     rules = [("principal", "host", "logged_on"), ("principal", "src", "came_from"), ("host", "dst", "connected_to"), ("process", "host", "ran_on"), ("principal", "process", "started"), ("src", "dst", "reached")]
     e = F.array(*(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("etype"))) for a, b, t in rules))
     return events.select("lsn", F.explode(F.array_compact(e)).alias("x")).select("lsn", "x.src", "x.dst", "x.etype")
+
+
+def health_at(windows: DataFrame, bound: int, now: int, horizon: int) -> DataFrame:
+    """sensor_health of the windows that begin before the bound, with freshness: how much of the horizon is left since the
+    sensor was last seen, in basis points. A stale sensor is silent, whatever it sent before; trust is the least of the three."""
+    h = sensor_health(windows.where(F.col("start") < bound))
+    age = F.greatest(F.lit(now) - F.col("seen"), F.lit(0))
+    fresh = F.greatest(F.floor((F.lit(horizon) - age) * 10000 / horizon), F.lit(0)).cast("long")
+    return h.withColumn("freshness", fresh).withColumns({"trust": F.least("trust", "freshness"), "status": F.when(F.col("freshness") == 0, "silent").otherwise(F.col("status"))})
+
+
+def correlate(signals: DataFrame, related: DataFrame | None = None, window: int = 100, cooldown: int = 1000) -> DataFrame:
+    """(signal_id, incident) of signals (signal_id, lsn, subject, evidence array): signals that share a subject or a piece of
+    evidence within the cooldown are one incident, and so are those of subjects that the graph relates (src, dst) within the
+    window. Links join each signal to the one before it under the same key, so no key's signals are paired."""
+    from chronolith.operators.graph import components
+
+    one = signals.select("signal_id", "lsn", F.concat(F.lit("s:"), "subject").alias("key")).where("key is not null")
+    proof = signals.select("signal_id", "lsn", F.explode("evidence").alias("key")).withColumn("key", F.concat(F.lit("e:"), "key"))
+
+    def chained(rows: DataFrame, gap: int) -> DataFrame:
+        w = W.partitionBy("key").orderBy("lsn", "signal_id")
+        x = rows.distinct().withColumn("src", F.lag("signal_id").over(w)).withColumn("was", F.lag("lsn").over(w))
+        return x.where((F.col("src") != F.col("signal_id")) & (F.col("lsn") - F.col("was") <= gap)).select("src", F.col("signal_id").alias("dst"))
+
+    links = chained(one.unionByName(proof), cooldown)
+    if related is not None:
+        # A relation is a key of its own; neighbours under it within the window are linked.
+        pair = related.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        ends = pair.select(F.concat_ws(">", "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("subject"))
+        links = links.unionByName(chained(signals.join(ends, "subject").select("signal_id", "lsn", F.concat(F.lit("g:"), "key").alias("key")), window))
+    c = components(links).withColumnRenamed("node", "signal_id")
+    return signals.select("signal_id").distinct().join(c, "signal_id", "left").select("signal_id", F.coalesce("community", "signal_id").alias("incident"))

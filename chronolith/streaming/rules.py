@@ -82,8 +82,11 @@ def signals(hits: DataFrame, rule: str, cols: list[str]) -> DataFrame:
 # --- streams
 
 
-def stream(spark, path: str, schema, at: str = "ts", lateness: str = "5 minutes", files_per_trigger: int = 64) -> DataFrame:
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream(spark, path: str, schema, at: str = "ts", lateness: str = "5 minutes", files_per_trigger: int = 64, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A stream of a folder's files; a batch takes so many files or bytes at most, and the rest waits in the folder, so a slow
+    consumer falls behind but loses nothing: its checkpoint is where it catches up from."""
+    r = spark.readStream.schema(schema)
+    s = (r.option("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else r.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
     return s.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
 
 
@@ -104,24 +107,31 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
 
 
 def count_stream(events: DataFrame, key: str, at: str, window_ms: int, threshold: int) -> DataFrame:
-    """The count rule over a stream: per key, the times within the window are the state, so it is bounded by the window;
-    what the watermark has passed is dropped with it. Emits (key, lsn, matches)."""
+    """The count rule over a stream: per key, the times within the window are the state, and a key that is idle for longer than
+    the window, by the watermark of column `ts` if there is one, is dropped. An event counts what has arrived by then, in
+    order of time within a batch. Emits (key, lsn, matches)."""
+    timed = "ts" in events.columns
 
     def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at", "lsn"])
         out = []
         for lsn, t in rows[["lsn", "at"]].itertuples(index=False):
-            times = [x for x in times if x >= t - window_ms]
             times.append(int(t))
-            n = sum(x <= t for x in times)
+            n = sum(t - window_ms <= x <= t for x in times)
             if n >= threshold:
                 out.append((k[0], int(lsn), n))
+        times = [x for x in times if x >= max(times) - window_ms]
         state.update((times,))
+        if timed:
+            state.setTimeoutTimestamp(max(times[-1] + window_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "lsn", "matches"])
 
-    e = events.select(F.col(key).cast("string").alias("key"), F.col("lsn"), F.col(at).alias("at"))
-    return e.groupBy("key").applyInPandasWithState(step, "key string, lsn long, matches long", "times array<long>", "append", "NoTimeout")
+    e = events.select(F.col(key).cast("string").alias("key"), F.col("lsn"), F.col(at).alias("at"), *["ts"] * timed)
+    return e.groupBy("key").applyInPandasWithState(step, "key string, lsn long, matches long", "times array<long>", "append", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 def run_to_table(df: DataFrame, spark, out: str, checkpoint: str, mode: str = "append") -> None:
