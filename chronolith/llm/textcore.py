@@ -49,6 +49,8 @@ def column(c: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null reads as empty."""
     if isinstance(c, pa.ChunkedArray):
         c = c.combine_chunks()
+    if pa.types.is_null(c.type):
+        c = c.cast(pa.string())
     if c.null_count:
         c = c.fill_null("" if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else b"")
     c = c.cast(pa.large_binary())
