@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TWO64, TWO63, TWO32 = 1 << 64, 1 << 63, 1 << 32
 
@@ -57,14 +58,16 @@ def radix(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
-@F.pandas_udf("string")
-def f64_key(x: pd.Series) -> pd.Series:
-    """Sixteen hexadecimal digits whose order as text is the order of the doubles; -0.0 and 0.0 are one, NaN comes last."""
-    v = x.to_numpy(np.float64, na_value=np.nan) + 0.0
-    v = np.where(np.isnan(v), np.nan, v)
-    bits = v.view(np.uint64)
+def _keys(x: pd.Series) -> pd.Series:
+    bits = (x.to_numpy(np.float64, na_value=np.nan) + 0.0).view(np.uint64)
+    nan = np.isnan(bits.view(np.float64))
     key = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
-    return pd.Series([None if m else f"{k:016x}" for k, m in zip(key.tolist(), x.isna(), strict=True)])
+    return pd.Series(["ffffffffffffffff" if n else f"{k:016x}" for k, n in zip(key.tolist(), nan.tolist(), strict=True)])
+
+
+def f64_key(x: Column) -> Column:
+    """Sixteen hexadecimal digits whose order as text is the order of the doubles; -0.0 and 0.0 are one, NaN comes last."""
+    return F.when(x.isNotNull(), F.pandas_udf(_keys, StringType())(x))
 
 
 # --- integer codecs: each with its inverse
