@@ -78,7 +78,8 @@ def rle(a: Column) -> Column:
     n = F.size(a)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | ~F.get(a, i - 1).eqNullSafe(F.get(a, i - 2))))
     ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(a, s - 1).alias("value"), (e - s).alias("count")))
+    runs = F.zip_with(starts, ends, lambda s, e: F.struct(F.get(a, s - 1).alias("value"), (e - s).alias("count")))
+    return F.filter(runs, lambda r: r["count"].isNotNull())  # an empty array has no run
 
 
 def unrle(runs: Column) -> Column:
