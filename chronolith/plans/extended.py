@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from chronolith.functions import codecs, manifold, scalars
 from chronolith.operators import analytics, causal, graph, joins, kernel, retrieval, sketches, text, vector
-from chronolith.plans.catalogue import CONV, EE, EUC, EV, SQL, VQ, WORDS, G_ALL, _log, _query, _terms, gql, q, with_
+from chronolith.plans.catalogue import CONV, EE, EUC, EV, QUERIES, SQL, VQ, WORDS, G_ALL, _log, _query, _terms, gql, q, with_
 from chronolith.plans.gql import Log
 from chronolith.sources import adapters as A
 from chronolith.sources import exchange, lake, sinks, tail
@@ -556,3 +556,15 @@ def incidents_linked(spark, sf):
     return detectors.correlate(s)
 
 
+
+
+# --- the signature of a space, over neighbouring vectors
+BALL = "list_transform({x}, lambda v: v * 0.5 * least(1.0, 0.99999 / sqrt(list_sum(list_transform({x}, lambda u: u * u * 0.25)))))"
+DOT = "list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i] * {y}[i]))"
+GAP = "list_sum(list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {y}[i]) * ({x}[i] - {y}[i])))"
+SIGNATURE = f"""w as (select vec_id as lsn, list_transform(embedding, lambda x: x::double) as e from embeddings), p as (select a.e, b.e as f, {BALL.format(x="a.e")} as eh, {BALL.format(x="b.e")} as fh from w a join w b on b.lsn - 1 = a.lsn),
+d as (select sqrt({GAP.format(x="e", y="f")}) as t, acosh(greatest(1 + 2 * {GAP.format(x="eh", y="fh")} / ((1 - {DOT.format(x="eh", y="eh")}) * (1 - {DOT.format(x="fh", y="fh")})), 1)) as dh, acos({DOT.format(x="e", y="f")} / sqrt({DOT.format(x="e", y="e")} * {DOT.format(x="f", y="f")})) as ds from p),
+g as (select a, b, c from (select unnest([0.0, 0.5, 1.0])::double as a) x, (select unnest([0.0, 0.5, 1.0])::double as b) y, (select unnest([0.25, 0.5, 0.75, 1.0])::double as c) z)"""
+SQL["signature_fit"] = with_(SIGNATURE, "select a, b, c, round(avg(abs(sqrt(a * dh * dh + b * ds * ds + c * t * t) - t) / t), 6) as distortion from d, g where t > 0 group by all order by distortion, a, b, c limit 1")
+_fit = QUERIES["signature_fit"]
+QUERIES["signature_fit"] = lambda spark, sf: _fit(spark, sf).withColumn("distortion", F.round("distortion", 6) + 0.0)
