@@ -17,6 +17,8 @@ from chronolith.sources.shared import shared_dir
 
 
 def keyed(edge_events: DataFrame) -> DataFrame:
+    if "edge_id" in edge_events.columns:
+        return edge_events
     return edge_events.withColumn("edge_id", edge_id(F.col("src"), F.col("dst"), F.col("etype")))
 
 
@@ -71,8 +73,9 @@ def beliefs(edge_events: DataFrame, bound: int) -> DataFrame:
 
 
 def edges_at(edge_events: DataFrame, bound: int) -> DataFrame:
-    """Open edges with their belief; both sides shuffle on edge_id once. Events at or after the bound can't matter."""
-    seen = edge_events.where(F.col("lsn") < bound)
+    """Open edges with their belief. Each side shuffles once, on edge_id, which serves its window or aggregates and the join.
+    Events at or after the bound can't matter."""
+    seen = keyed(edge_events.where(F.col("lsn") < bound)).repartition("edge_id")
     return intervals(seen).where(alive(bound)).join(beliefs(seen, bound), "edge_id", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
 
 

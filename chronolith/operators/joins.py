@@ -24,10 +24,14 @@ def edge_rule(episodes: DataFrame, from_kind: str, to_kind: str, from_attr: str,
 
 def blocked_similarity(left: DataFrame, right: DataFrame, least: float = 0.5, sure: float = 0.85) -> DataFrame:
     """(lid, rid, score, grade): pairs within a block whose name tokens overlap by 0.6; + 0.1 for the same organisation, times
-    0.7 if several candidates remain. Sides: (id, block, org, tokens)."""
-    l = left.select(F.col("id").alias("lid"), "block", F.col("org").alias("lorg"), F.col("tokens").alias("lt"))  # noqa: E741
-    r = right.select(F.col("id").alias("rid"), "block", F.col("org").alias("rorg"), F.col("tokens").alias("rt"))
-    p = l.join(r, "block").withColumn("j", jaccard(F.col("lt"), F.col("rt"))).where("j >= 0.6")
+    0.7 if several candidates remain. Sides: (id, block, org, tokens). Two sets that overlap by 0.6 share one of the first
+    n - ceil(0.6 n) + 1 of their n tokens in any one order, so a join on block and such a token finds all candidates
+    without pairing the rows of a block."""
+    words = lambda df: F.array_sort(F.array_distinct("tokens"))
+    first = lambda t: F.slice(t, F.lit(1), F.size(t) - ((F.size(t) * 3 + 4) / 5).cast("int") + 1)
+    side = lambda df, x: df.select(F.col("id").alias(f"{x}id"), "block", F.col("org").alias(f"{x}org"), words(df).alias(f"{x}t")).withColumn("word", F.explode(first(F.col(f"{x}t"))))
+    p = side(left, "l").join(side(right, "r"), ["block", "word"]).drop("word", "block").distinct()
+    p = p.withColumn("j", jaccard(F.col("lt"), F.col("rt"))).where("j >= 0.6")
     p = p.withColumn("s", F.least(F.col("j") + F.when(F.col("lorg") == F.col("rorg"), 0.1).otherwise(0.0), F.lit(1.0)))
     p = p.withColumn("s", F.col("s") * F.when(F.count(F.lit(1)).over(W.partitionBy("lid")) > 1, 0.7).otherwise(1.0))
     return p.where(F.col("s") >= least).select("lid", "rid", F.col("s").alias("score"), F.when(F.col("s") >= sure, "high").otherwise("medium").alias("grade"))
