@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from chronolith.sources.shared import through
+
 RRF = 60
 
 
@@ -36,7 +38,7 @@ def fuse(graph: DataFrame, vector: DataFrame, text: DataFrame, k: int, head: int
     mean decays with age. A union with one aggregate stands for the full outer join."""
     names = ("g", "v", "t")
     rows = reduce(DataFrame.unionByName, (c.select("id", "lsn", *(F.col("score").alias(n) if n == m else F.lit(None).cast("double").alias(n) for n in names)) for m, c in zip(names, (graph, vector, text), strict=True)))
-    one = rows.groupBy("id").agg(F.max("lsn").alias("lsn"), *(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in names))
+    one = through(rows.groupBy("id").agg(F.max("lsn").alias("lsn"), *(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in names)), "fused")  # read twice
     top = one.agg(*(F.max(n).alias(f"max_{n}") for n in names))
     part = lambda n: F.when(F.col(f"max_{n}") > 0, F.col(n) / F.when(F.col(f"max_{n}") > 0, F.col(f"max_{n}"))).otherwise(0.0)
     mean = sum(w * part(n) for w, n in zip(weights, names, strict=True)) / sum(weights)
@@ -71,11 +73,12 @@ RECALL_N = 200
 
 def production_recall(bm25: DataFrame, substring: DataFrame, active: DataFrame, k: int, head: int, n: int = RECALL_N) -> DataFrame:
     """(lsn, score) of the k best of three channels: bm25 (lsn, score), substring counts (lsn, tf), activation (lsn, score), each
-    cut to its n best. Ranks fuse to at most n candidates; a candidate that BM25 has not measured takes its count as a signal
-    below the weakest measured one: floor * tf / (most + 1). Sides are n rows at most, so nothing large is ever joined."""
-    text = ranked(bm25.orderBy(F.col("score").desc(), "lsn").limit(n), F.col("score").desc(), "lsn").select("lsn", "rank", F.col("score").alias("b"))
-    count = ranked(substring.orderBy(F.col("tf").desc(), "lsn").limit(n), F.col("tf").desc(), "lsn").select("lsn", "rank", "tf")
-    act = ranked(active.orderBy(F.col("score").desc(), "lsn").limit(n), F.col("score").desc(), "lsn").select("lsn", "rank", F.col("score").alias("a"))
+    cut to its n best and written once, as ranks and signals both ask for it. Ranks fuse to at most n candidates; one that BM25
+    has not measured takes its count as a signal below the weakest measured one: floor * tf / (most + 1). Sides are n rows at
+    most, so nothing large is ever joined."""
+    text = through(ranked(bm25.orderBy(F.col("score").desc(), "lsn").limit(n), F.col("score").desc(), "lsn").select("lsn", "rank", F.col("score").alias("b")), "recall")
+    count = through(ranked(substring.orderBy(F.col("tf").desc(), "lsn").limit(n), F.col("tf").desc(), "lsn").select("lsn", "rank", "tf"), "recall")
+    act = through(ranked(active.orderBy(F.col("score").desc(), "lsn").limit(n), F.col("score").desc(), "lsn").select("lsn", "rank", F.col("score").alias("a")), "recall")
     fused = rrf([text.select("lsn", "rank"), count.select("lsn", "rank"), act.select("lsn", "rank")]).orderBy(F.col("score").desc(), "lsn").limit(n).select("lsn")
     floor, most = text.agg(F.min("b").alias("floor")), count.agg(F.max("tf").alias("most"))
     j = fused.join(text.select("lsn", "b"), "lsn", "left").join(count.select("lsn", "tf"), "lsn", "left").join(act.select("lsn", "a"), "lsn", "left").join(F.broadcast(floor)).join(F.broadcast(most))

@@ -17,8 +17,8 @@ OUTCOMES = {"success": "success succeeded ok pass", "failure": "failure failed f
 
 
 def first_present(raw: Column, keys: list[str]) -> Column:
-    """The value of the first key that the object has, whatever it is; null if none."""
-    return F.coalesce(*(F.get_json_object(raw, f"$['{k}']") for k in keys))
+    """The value of the first key that the object (a map of texts) has, whatever it is; null if none."""
+    return F.coalesce(*(raw[k] for k in keys))
 
 
 def text(raw: Column, keys: list[str]) -> Column:
@@ -55,18 +55,19 @@ def normalize(episodes: DataFrame) -> DataFrame:
     """(lsn, source, category, activity, outcome, severity, observed_at, type_uid, principal, user, host, process, session,
     resource, src, dst, fidelity, parser_id, parser_version). Events that detection itself derived are no raw telemetry."""
     own = (F.col("agent_id") == "sentinel") & F.coalesce(F.col("attrs")["sentinel.generated"].isin("true", "derived", "1"), F.lit(False))
-    raw = F.col("content")
+    raw = F.col("__raw")
     source = F.coalesce(mapped(text(raw, ["source", "source_type"]), SOURCES), F.col("agent_id"))
     category = F.coalesce(mapped(text(raw, ["category", "security.category"]), CATEGORIES), F.lit("unmapped"))
     activity = F.coalesce(text(raw, ["activity", "event", "action", "security.activity"]), F.lit("unmapped"))
     outcome = F.coalesce(mapped(text(raw, ["outcome", "status", "result"]), OUTCOMES), F.lit("unknown"))
     some = lambda c: F.when(c != "", c)
-    out = episodes.where(~own).select(
+    parsed = episodes.where(~own).withColumn("__raw", F.from_json("content", "map<string,string>"))  # once a row
+    out = parsed.select(
         "lsn", source.alias("source"), category.alias("category"), activity.alias("activity"), outcome.alias("outcome"),
         F.least(number(raw, ["severity", "severity_id", "risk"]), F.lit(255)).alias("severity"), number(raw, ["observed_at", "timestamp", "time", "event_time"]).alias("observed_at"), number(raw, ["type_uid", "ocsf.type_uid"]).alias("type_uid"),
         entity(raw, ["principal", "principal_id"]).alias("principal"), entity(raw, ["user", "user_id", "username"]).alias("user"), entity(raw, ["host", "host_id", "hostname"]).alias("host"), entity(raw, ["process", "process_name"]).alias("process"),
         entity(raw, ["session", "session_id"]).alias("session"), F.coalesce(*(entity(raw, [k, f"{k}_id"]) for k in ("resource", "database", "file", "repository"))).alias("resource"),
-        some(endpoint(raw, ["src", "source_endpoint"])).alias("src"), some(endpoint(raw, ["dst", "destination_endpoint"])).alias("dst"), F.coalesce(F.ltrim(raw).startswith("{"), F.lit(False)).alias("object"),
+        some(endpoint(raw, ["src", "source_endpoint"])).alias("src"), some(endpoint(raw, ["dst", "destination_endpoint"])).alias("dst"), raw.isNotNull().alias("object"),
     )
     fidelity = F.when((F.col("type_uid") != 0) & F.col("object"), "exact").when(F.col("object") & ((F.col("activity") != "unmapped") | (F.col("category") != "unmapped")), "partial").otherwise("unmapped")
     return out.withColumns({"fidelity": fidelity, "parser_id": F.lit(PARSER), "parser_version": F.lit(VERSION)}).drop("object")
