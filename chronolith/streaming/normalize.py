@@ -51,10 +51,10 @@ def endpoint(raw: Column, keys: list[str]) -> Column:
     return F.concat_ws(":", host, F.when(v.startswith("{"), F.get_json_object(v, "$.port")))
 
 
-def normalize(episodes: DataFrame) -> DataFrame:
+def normalize(episodes: DataFrame, own_agent: str = "detector") -> DataFrame:
     """(lsn, source, category, activity, outcome, severity, observed_at, type_uid, principal, user, host, process, session,
     resource, src, dst, fidelity, parser_id, parser_version). Events that detection itself derived are no raw telemetry."""
-    own = (F.col("agent_id") == "sentinel") & F.coalesce(F.col("attrs")["sentinel.generated"].isin("true", "derived", "1"), F.lit(False))
+    own = (F.col("agent_id") == own_agent) & F.coalesce(F.col("attrs")[f"{own_agent}.generated"].isin("true", "derived", "1"), F.lit(False))
     raw = F.col("__raw")
     source = F.coalesce(mapped(text(raw, ["source", "source_type"]), SOURCES), F.col("agent_id"))
     category = F.coalesce(mapped(text(raw, ["category", "security.category"]), CATEGORIES), F.lit("unmapped"))

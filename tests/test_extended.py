@@ -136,6 +136,6 @@ def test_selections_of_nothing(spark):
 
 
 def test_own_events_are_no_telemetry(spark):
-    e = log(spark, 2).withColumns({"agent_id": F.lit("sentinel"), "attrs": F.create_map(F.lit("sentinel.generated"), F.when(F.col("lsn") == 0, "true").otherwise("no"))})
+    e = log(spark, 2).withColumns({"agent_id": F.lit("detector"), "attrs": F.create_map(F.lit("detector.generated"), F.when(F.col("lsn") == 0, "true").otherwise("no"))})
     got = normalize.normalize(e.withColumn("content", F.lit("not json"))).collect()
     assert [r.lsn for r in got] == [1] and got[0].fidelity == "unmapped" and got[0].category == "unmapped"
