@@ -262,3 +262,16 @@ def test_training_takes_whole_texts_within_its_bound(spark, monkeypatch):
     monkeypatch.setattr(quality, "PASSAGES", 60)
     scores = [[r.score for r in quality.score(df, "doc_id", "text", quality.train(df.repartition(n), labels, "doc_id", "text", "quality", Workspace(spark, "q"))).orderBy("doc_id", "score").collect()] for n in (1, 3)]
     assert scores[0] == scores[1]
+
+
+def test_features_of_a_text_are_its_own():
+    import numpy as np
+    import pyarrow as pa
+
+    from chronolith.llm import textcore
+
+    rng = random.Random(1)
+    rows = ["a", "", "bc", None, "x y", *(sentence(rng, n) for n in (1, 70, 200)), "é"]
+    x, first = quality.encode(*textcore.column(pa.array(rows)))
+    for i, t in enumerate(rows):
+        assert np.array_equal(x[first[i] : first[i + 1]], quality.encode(*textcore.column(pa.array([t], pa.string())))[0])
