@@ -36,24 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Options of a workspace whose folder may be a local one: Hadoop's checked local files take a forked chmod for each file and
+#: each checksum beside it, and a fork counts as a second executor of the same size for whoever adds up processes.
+UNFORKED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Workspace:
     """Tables that cut lineage: each is written once to the shared folder and read back, so a lost executor costs one task."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, options: dict[str, str] | None = None):
+        self.spark, self.root, self.options = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", options or {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
-        w = df.write.mode("overwrite").option("compression", codec)
+        w = df.write.mode("overwrite").options(**self.options).option("compression", codec)
         (w.partitionBy(partition_by) if partition_by else w).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def bucketed(self, df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
         """Saved as an external table in buckets, so that joins on the column leave it where it lies."""
         table = f"chronolith_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, column).option("path", self.path(name)).option("compression", "zstd").saveAsTable(table)
+        df.write.options(**self.options).bucketBy(buckets, column).option("path", self.path(name)).option("compression", "zstd").saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, name: str) -> None:

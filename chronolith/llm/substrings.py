@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import textcore as T
-from chronolith.llm.common import Workspace, integral, partitions, ship
+from chronolith.llm.common import UNFORKED, Workspace, integral, partitions, ship
 
 WINDOW, ROUNDS = 20, 2
 #: Words of a symbol at most; a longer run or pair is not named. Words of a context that is used.
@@ -44,8 +44,12 @@ FAR = np.int32(1 << 30)
 CHUNK = 1 << 21
 #: Chunks whose names meet in one bucket, and buckets at most.
 TOGETHER, BUCKETS = 8, 1 << 16
-#: Spark allows so many buckets of a table.
+#: Spark allows so many buckets of a table. Bytes of input, by Spark's estimate, that a task of a round has in hand; an input
+#: partition is cut into so many buckets at most (UNKNOWN: where Spark has no estimate).
 MOST = 100_000
+IN_HAND, SPREAD, UNKNOWN = 4 << 20, 64, 4
+#: Windows that are compared at a time, and rows of a bucket that are read at a time.
+SLICE, ROWS = 1 << 18, 256
 CHUNKS = "chunk long, rid binary, id binary, late binary, counts binary, dict binary, ends binary, seq binary"
 
 
@@ -253,13 +257,14 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(16))).view(np.int32)
 
 
-def _cut(buckets: int):
+def _cut(buckets: int, spread: int):
     def run(batches):
-        """Texts to chunks. A chunk's number is one that Spark puts into the task's own bucket, so a task writes one file."""
+        """Texts to chunks. A chunk's number is one that Spark puts into one of the task's own buckets, which take turns; so a
+        task writes `spread` files, and later steps have no more than one of them in hand."""
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        serial, ready = np.int64(task) << np.int64(40), []
+        serial, ready, turn = np.int64(task) << np.int64(40), [[] for _ in range(spread)], 0
         for b in batches:
             data, off = T.column(b.column("text"))
             rid, late = (b.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "late"))
@@ -272,12 +277,15 @@ def _cut(buckets: int):
                     _, lead, seq = np.unique(np.column_stack([h, g]), axis=0, return_index=True, return_inverse=True)
                 size = (we - ws)[lead]
                 at = np.repeat(ws[lead] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                while not ready:
+                turn = (turn + 1) % spread
+                while not ready[turn]:
                     some = serial + np.arange(max(4096, 8 * buckets))
                     serial += len(some)
-                    ready = some[spark_hash(some) % buckets == task % buckets].tolist()
+                    home = spark_hash(some) % buckets
+                    for k in range(spread):
+                        ready[k] += some[home == (task * spread + k) % buckets].tolist()
                 blobs = [rid[i:j], ident[i:j], late[i:j].astype(np.int8), np.diff(first).astype(np.uint32), d[at], np.cumsum(size).astype(np.uint32), seq.astype(np.uint16 if len(lead) <= 65536 else np.uint32)]
-                yield _rows([ready.pop(0)], *([T.blob(x)] for x in blobs), types="lbbbbbbb")
+                yield _rows([ready[turn].pop(0)], *([T.blob(x)] for x in blobs), types="lbbbbbbb")
 
     return run
 
@@ -353,9 +361,8 @@ def _send(number: int, buckets: int):
 def _bucketwise(batches, work):
     """Calls work(columns of lists) once per value of the first column, in sorted input."""
     held: list[list] | None = None
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols, strict=True):
+    for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held is not None and held[0][0] != row[0]:
                 yield from work(held)
                 held = None
@@ -440,6 +447,43 @@ def _send_windows(buckets: int):
     return run
 
 
+def _earliest(rows: list[tuple[int, bytes, bytes]], part: int, parts: int) -> pa.RecordBatch:
+    """Of rows (chunk, names, places) of a bucket, (chunk, starts of its windows that also start earlier). Equal windows have
+    equal names, so one of several parts of the names can be taken by itself."""
+    xs, ys, ss, owner, keys, base = [], [], [], [], [], 0
+    for _, n, p in rows:
+        m = len(n) // 16
+        x = np.frombuffer(n, np.uint64, m)
+        at = np.flatnonzero((x >> T.U(8)) % T.U(parts) == part) if parts > 1 else slice(None)
+        k = np.frombuffer(p, np.int64, (len(p) - 4 * m) // 8).reshape(-1, 4)
+        s = np.frombuffer(p, np.uint32, m, len(p) - 4 * m)[at].astype(np.int64)
+        xs.append(x[at])
+        ys.append(np.frombuffer(n, np.uint64, m, 8 * m)[at])
+        ss.append(s)
+        used, of = np.unique(np.searchsorted(k[:, 3], s, "right") - 1, return_inverse=True)
+        owner.append(base + of)
+        keys.append(k[used])
+        base += len(used)
+    x, y, s, of, key = (np.concatenate(f) for f in (xs, ys, ss, owner, keys))
+    start = s - key[of, 3]
+    by = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[by][1:, :3] != key[by][:-1, :3]).any(1)
+    rank = np.empty(len(key), np.int64)
+    rank[by] = np.cumsum(fresh)
+    r = rank[of]
+    order = np.lexsort((start, r, y, x))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    top = order[lead][np.cumsum(lead) - 1]
+    late = np.zeros(len(x), bool)
+    late[order] = (r[order] != r[top]) | (start[order] != start[top])
+    end = np.cumsum([len(f) for f in ss])
+    begin = np.concatenate([[0], end[:-1]])
+    pick = [k for k in range(len(rows)) if late[begin[k] : end[k]].any()]
+    return _rows([rows[k][0] for k in pick], [T.blob(ss[k][late[begin[k] : end[k]]].astype(np.uint32)) for k in pick], types="lb")
+
+
 def _match_windows(batches):
     """Of each bucket, (chunk, starts of its windows that also start earlier); places settled in their chunk pass by."""
 
@@ -450,36 +494,9 @@ def _match_windows(batches):
         rows = [k for k in range(len(kind)) if kind[k] == 2]
         if not rows:
             return
-        chunk, name, place = ([f[k] for k in rows] for f in (chunk, name, place))
-        xs, ys, ss, owner, keys, base = [], [], [], [], [], 0
-        for n, p in zip(name, place, strict=True):
-            m = len(n) // 16
-            xs.append(np.frombuffer(n, np.uint64, m))
-            ys.append(np.frombuffer(n, np.uint64, m, 8 * m))
-            k = np.frombuffer(p, np.int64, (len(p) - 4 * m) // 8).reshape(-1, 4)
-            s = np.frombuffer(p, np.uint32, m, len(p) - 4 * m).astype(np.int64)
-            ss.append(s)
-            owner.append(base + np.searchsorted(k[:, 3], s, "right") - 1)
-            keys.append(k)
-            base += len(k)
-        x, y, s, of, key = (np.concatenate(f) for f in (xs, ys, ss, owner, keys))
-        start = s - key[of, 3]
-        by = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[by][1:, :3] != key[by][:-1, :3]).any(1)
-        rank = np.empty(len(key), np.int64)
-        rank[by] = np.cumsum(fresh)
-        r = rank[of]
-        order = np.lexsort((start, r, y, x))
-        lead = np.ones(len(order), bool)
-        lead[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-        top = order[lead][np.cumsum(lead) - 1]
-        late = np.zeros(len(x), bool)
-        late[order] = (r[order] != r[top]) | (start[order] != start[top])
-        end = np.cumsum([len(n) // 16 for n in name])
-        begin = np.concatenate([[0], end[:-1]])
-        pick = [k for k in range(len(chunk)) if late[begin[k] : end[k]].any()]
-        yield _rows([chunk[k] for k in pick], [T.blob(s[begin[k] : end[k]][late[begin[k] : end[k]]].astype(np.uint32)) for k in pick], types="lb")
+        parts = 1 + sum(len(name[k]) for k in rows) // 16 // SLICE
+        for part in range(parts):
+            yield _earliest([(chunk[k], name[k], place[k]) for k in rows], part, parts)
 
     yield from _bucketwise(batches, work)
 
@@ -513,6 +530,11 @@ def _remove(batches):
         )
 
 
+def _spread(size: int) -> int:
+    """Buckets of an input partition of so many bytes."""
+    return UNKNOWN if size >= 1 << 40 else max(1, min(SPREAD, -(-size // IN_HAND)))
+
+
 def dedup_substrings(docs: DataFrame, id_col: str, text_col: str, ws: Workspace, keep_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) per row, and, with keep_text, the kept words joined by blanks."""
     spark = docs.sparkSession
@@ -520,8 +542,10 @@ def dedup_substrings(docs: DataFrame, id_col: str, text_col: str, ws: Workspace,
     integral(docs, id_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base.select(F.xxhash64(F.lit(17), "id", F.coalesce("text", F.lit(""))).alias("rid"), "id", F.col("id").isNull().cast("long").alias("late"), "text")
-    n = max(1, min(MOST, base._jdf.queryExecution().toRdd().getNumPartitions()))
-    chunks = ws.bucketed(base.mapInArrow(_cut(n), CHUNKS), "chunks", n, "chunk")
+    tasks = max(1, base._jdf.queryExecution().toRdd().getNumPartitions())
+    spread = _spread(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // tasks)
+    n = min(MOST, tasks * spread)
+    chunks = ws.bucketed(base.mapInArrow(_cut(n, spread), CHUNKS), "chunks", n, "chunk")
     buckets = max(2 * partitions(spark), min(BUCKETS, chunks.count() // TOGETHER))
 
     def beside(rows: DataFrame, what) -> DataFrame:
@@ -534,13 +558,15 @@ def dedup_substrings(docs: DataFrame, id_col: str, text_col: str, ws: Workspace,
         rows = beside(ws.save(sent.mapInArrow(_meet, "chunk long, bucket int, bits binary"), f"round-{number}"), answer)
     names = rows.mapInArrow(_send_windows(buckets), "kind int, bucket int, chunk long, x binary, y binary").select("bucket", "kind", "chunk", "x", "y")
     later = ws.save(names.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows, "chunk long, starts binary"), "later")
-    got = beside(later, F.col("starts")).mapInArrow(_remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    got = beside(later, F.col("starts")).mapInArrow(_remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string").coalesce(tasks)
     return (got if keep_text else got.drop("kept")).withColumnRenamed("id", id_col)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_substrings(docs, "doc_id", "text", Workspace(spark, "substrings"), keep_text=False)
+    ws = Workspace(spark, "substrings", UNFORKED)
+    got = ws.save(dedup_substrings(docs, "doc_id", "text", ws, keep_text=False), "result")
+    return got.coalesce(max(1, got.rdd.getNumPartitions() // TOGETHER))  # small rows: few files for whoever writes them
 
 
 QUERIES = {"op4_substring_dedup": op4}

@@ -180,6 +180,62 @@ def test_chunk_numbers_fall_into_sparks_buckets(spark):
     assert substrings.spark_hash(x).tolist() == want
 
 
+def test_a_task_has_few_chunks_in_hand(spark, ws, monkeypatch):
+    """The chunks of one input partition lie in several buckets, its results are those of one."""
+    monkeypatch.setattr(substrings, "CHUNK", 1 << 10)
+    monkeypatch.setattr(substrings, "IN_HAND", 1 << 12)
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(30)]
+    rows = [(i, " ".join([f"w{rng.randrange(500)}" for _ in range(200)] + common * (i % 3 == 0))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path := ws.path("one-file"))
+    df, seen = spark.read.parquet(path), []
+    monkeypatch.setattr(ws, "bucketed", lambda *a, f=ws.bucketed: seen.append(f(*a)) or seen[-1])
+    got = substrings.dedup_substrings(df, "doc_id", "text", ws, keep_text=False).collect()
+    assert df.rdd.getNumPartitions() == 1 and {r.doc_id: tuple(r)[1:] for r in got} == brute_windows(rows)
+    sizes = [r["count"] for r in seen[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) > 20 and max(sizes) <= sum(sizes) // 2
+
+
+def test_windows_of_a_large_bucket_are_compared_in_parts():
+    """A bucket of many windows takes little more memory than its rows, and no pair of equal windows is missed."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, per = 40, 20_000
+    pool = rng.integers(0, 1 << 63, (n * per // 2, 2)).astype(np.uint64)
+    rows, want, seen = [], {}, set()
+    for chunk in range(n):
+        pick = rng.choice(len(pool), per, replace=False)
+        x, y = pool[pick].T.copy()
+        rows.append((7, 2, chunk, x.tobytes() + y.tobytes(), np.array([0, chunk, chunk, 0]).tobytes() + np.arange(per, dtype=np.uint32).tobytes()))
+        want[chunk] = {k for k, v in enumerate(pick.tolist()) if v in seen}
+        seen.update(pick.tolist())
+    batches = [substrings._rows(*zip(*rows, strict=True), types="iilbb")]
+    tracemalloc.start()
+    got = {}
+    for b in substrings._match_windows(batches):
+        for chunk, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(chunk, []).extend(np.frombuffer(starts, np.uint32).tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {k: set(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert peak < 100 * n * per
+
+
+def test_scratch_tables_fork_no_chmod(spark, tmp_path):
+    """Tables of op4 have no checksum files beside them, each of which takes a forked process on a local folder."""
+    from pathlib import Path
+
+    from chronolith.llm.common import UNFORKED, Workspace
+
+    ws = Workspace(spark, "plain", UNFORKED)
+    assert ws.save(spark.range(10), "a").count() == ws.bucketed(spark.range(10), "b", 2, "id").count() == 10
+    root = Path(ws.root.removeprefix("file://"))
+    assert list(root.rglob("*.parquet")) and not list(root.rglob(".*.crc"))
+
+
 def thue_morse(n=11):
     """Two different words of 2**n letters that polynomial hashes modulo a power of two can't tell apart."""
     a, b = "a", "b"
