@@ -24,6 +24,11 @@ def heavy_hitters(df: DataFrame, col: str, k: int) -> DataFrame:
     return top.select(F.explode("x").alias("x")).select(F.col("x.item").alias("item"), F.col("x.count").alias("count"))
 
 
+def frequencies(df: DataFrame, col: str) -> DataFrame:
+    """Every value's exact count, whatever their number; what the sketch of bounded size can't promise."""
+    return df.groupBy(F.col(col).alias("item")).agg(F.count(F.lit(1)).alias("count"))
+
+
 def count_min(df: DataFrame, col: str, eps: float = 0.001, confidence: float = 0.99, seed: int = 42) -> DataFrame:
     return df.agg(F.count_min_sketch(F.col(col), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
