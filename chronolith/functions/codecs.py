@@ -86,38 +86,57 @@ def unrle(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["value"], r["count"])))
 
 
+def _let(v: Column, f) -> Column:
+    """f(v) with v computed once: what stands in a lambda is computed again for each element."""
+    return F.element_at(F.transform(F.array(v), f), 1)
+
+
 def delta(a: Column) -> Column:
     """The first value, then differences."""
-    return F.transform(a, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(a, i - 1)))
+    return _let(a, lambda v: F.transform(v, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(v, i - 1))))
 
 
 def undelta(d: Column) -> Column:
-    empty = F.expr("cast(array() as array<bigint>)")
-    return F.aggregate(d, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    """Running sums by doubling: round k adds what stands 2**k places before, so n values take n log n steps."""
+
+    def add(step: int):
+        return lambda v: F.when(F.size(v) > step, F.transform(v, lambda x, i: x + F.coalesce(F.get(v, i - step), F.lit(0)))).otherwise(v)
+
+    for k in range(31):  # no array is longer
+        d = _let(d, add(1 << k))
+    return d
 
 
 def frame(a: Column) -> Column:
     """Frame of reference: (base, width, offsets) with offsets of `width` bits above the least value."""
-    low = F.array_min(a)
-    width = F.length(F.bin(F.array_max(a) - low))
-    return F.struct(low.alias("base"), F.when(F.array_max(a) == low, 0).otherwise(width).alias("width"), F.transform(a, lambda x: x - low).alias("offsets"))
+
+    def of(v: Column, low: Column, high: Column) -> Column:
+        width = F.when(high == low, 0).otherwise(F.length(F.bin(high - low)))
+        return F.struct(low.alias("base"), width.alias("width"), F.transform(v, lambda x: x - low).alias("offsets"))
+
+    return _let(a, lambda v: _let(F.array_min(v), lambda low: of(v, low, F.array_max(v))))
 
 
 def unframe(f: Column) -> Column:
-    return F.transform(f["offsets"], lambda x: x + f["base"])
+    return _let(f, lambda v: F.transform(v["offsets"], lambda x: x + v["base"]))
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """Pieces of `size` digits, in one pass; a shorter rest is left out."""
+    return F.regexp_extract_all(text, F.concat(F.lit("[01]{"), size, F.lit("}")), F.lit(0))
 
 
 def bit_pack(offsets: Column, width: Column) -> Column:
     """Offsets of `width` bits (0 to 63) as text of bits, padded to whole bytes, as binary."""
-    bits = F.array_join(F.transform(offsets, lambda x: F.lpad(F.bin(x), width, "0")), "")
-    whole = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), "0")
-    part = lambda i: F.lpad(F.conv(F.substring(whole, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")
-    n = (F.length(whole) / 8).cast("int")
-    return F.unhex(F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n), part), ""))
+    bits = _let(width, lambda w: F.array_join(F.transform(offsets, lambda x: F.lpad(F.bin(x), w, "0")), ""))
+    whole = _let(bits, lambda b: F.rpad(b, (F.ceil(F.length(b) / 8) * 8).cast("int"), "0"))
+    return F.unhex(F.array_join(F.transform(_pieces(whole, F.lit("8")), lambda byte: F.lpad(F.conv(byte, 2, 16), 2, "0")), ""))
 
 
 def bit_unpack(packed: Column, width: Column, count: Column) -> Column:
-    digits = F.hex(packed)
-    bits = F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), lambda i: i <= F.length(digits)), lambda i: F.lpad(F.conv(F.substring(digits, i, F.lit(1)), 16, 2), 4, "0")), "")
-    one = lambda i: F.when(width == 0, F.lit(0)).otherwise(F.conv(F.substring(bits, i * width + 1, width), 2, 10).cast("long"))
-    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i < count), one)
+    bits = F.translate(F.hex(packed), "01", "gh")  # so that no digit of the result is taken for one of the input
+    for i, digit in enumerate("gh23456789ABCDEF"):
+        bits = F.replace(bits, F.lit(digit), F.lit(f"{i:04b}"))
+    none = F.array_repeat(F.lit(0).cast("long"), count)
+    some = lambda w: F.transform(F.slice(_pieces(bits, w.cast("string")), F.lit(1), count), lambda x: F.conv(x, 2, 10).cast("long"))
+    return _let(width, lambda w: F.when(w == 0, none).otherwise(some(w)))

@@ -47,3 +47,12 @@ def test_causes_in_a_short_conversation(spark, tmp_path, turns):
 def test_trace_in_a_short_conversation(spark, tmp_path, turns):
     sf = save(tmp_path, conversations=[{"conv_id": 3, "turn": t, "role": "user", "text": "x"} for t in range(turns)])
     same(spark, sf, "why_trace", "conversations")
+
+
+def test_codecs_of_long_arrays(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda i: i.cast("long") * i * 5 - 7).alias("a")).withColumn("f", codecs.frame(F.col("a")))
+    began = time.time()
+    back = codecs.bit_unpack(codecs.bit_pack(F.col("f.offsets"), F.col("f.width")), F.col("f.width"), F.size("a"))
+    r = df.select("a", codecs.undelta(codecs.delta(F.col("a"))).alias("d"), codecs.unframe(F.col("f")).alias("u"), back.alias("p"), "f.offsets").first()
+    assert r.d == r.u == r.a and r.p == r.offsets and len(r.p) == 3000
+    assert time.time() - began < 30
