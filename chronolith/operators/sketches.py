@@ -39,26 +39,36 @@ def quantiles(df: DataFrame, by: list[str], col: str, qs: list[float]) -> DataFr
 
 # --- Bloom filters and Count-Min tables, as rows of native expressions that merge by union
 
+#: A Bloom filter is cut into blocks of so many words; all bits of a key lie in one of them.
+BLOCK = 128
+#: A filter of more bits than this isn't broadcast.
+SENT = 1 << 28
 
-def _slots(key: Column, n: int, size: int) -> Column:
-    """n positions below size by double hashing."""
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.pmod(a, F.lit(size)) + i * F.pmod(b, F.lit(size)), F.lit(size)))
+
+def _block(key: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(size // (BLOCK * 64)).cast("long"))
+
+
+def _slots(key: Column, n: int) -> Column:
+    """n different positions within the key's block by double hashing."""
+    h, size = F.xxhash64(key, F.lit(1)), BLOCK * 64
+    at = F.array(*((F.pmod(h, F.lit(size)) + i * (F.pmod(F.shiftright(h, 20), F.lit(size // 2)) * 2 + 1)) % size for i in range(n)))
+    return F.transform(at, lambda p: p.cast("int"))
 
 
 def bloom_shape(expected: int, fpr: float) -> tuple[int, int]:
-    """(bits, hashes): bits a multiple of 64 and at most 2**26, eight megabytes when broadcast."""
+    """(bits, hashes): bits as the rate asks for, in whole blocks."""
     n, p = max(1, expected), min(max(fpr, 1e-6), 0.5)
-    m = min(max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2)), 1 << 26)
-    m = -(-m // 64) * 64
+    m, block = math.ceil(-n * math.log(p) / math.log(2) ** 2), BLOCK * 64
+    m = -(-m // block) * block
     return m, min(max(1, round(m / n * math.log(2))), 16)
 
 
 def bloom(df: DataFrame, key: str, shape: tuple[int, int]) -> DataFrame:
     """(word, bits): the filter's words that have a bit; filters of one shape unite by merge_bloom."""
     m, k = shape
-    at = df.where(F.col(key).isNotNull()).select(F.explode(_slots(F.col(key), k, m)).alias("p"))
-    return at.groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    at = df.where(F.col(key).isNotNull()).select((_block(F.col(key), m) * BLOCK).alias("at"), F.explode(_slots(F.col(key), k)).alias("p"))
+    return at.groupBy((F.col("at") + F.floor(F.col("p") / 64)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
 
 
 def merge_bloom(*filters: DataFrame) -> DataFrame:
@@ -66,13 +76,15 @@ def merge_bloom(*filters: DataFrame) -> DataFrame:
 
 
 def might_contain(df: DataFrame, key: str, words: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """The rows whose key the filter may hold: none that it holds is lost. The filter travels as one row, as large as its
-    shape says, whatever the input."""
+    """The rows whose key the filter may hold: none that it holds is lost. Each key meets its own block alone, in a semi-join
+    that never copies it; a small filter is broadcast and a large one joined by shuffle, so neither the driver nor one
+    executor has to hold it."""
     m, k = shape
-    held = {r.word: r.bits for r in words.collect()}  # at most m / 64 rows, bounded by the shape
-    row = df.sparkSession.createDataFrame([([held.get(i, 0) for i in range(m // 64)],)], "__bits array<bigint>")
-    hit = lambda p: F.call_function("shiftrightunsigned", F.element_at("__bits", (p / 64).cast("int") + 1), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return df.join(F.broadcast(row)).where(F.col(key).isNotNull() & F.forall(_slots(F.col(key), k, m), hit)).drop("__bits")
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("word") % BLOCK).cast("int").alias("i"), "bits")))
+    blocks = words.groupBy(F.floor(F.col("word") / BLOCK).alias("__of")).agg(held.alias("held")).select("__of", F.transform(F.array("held"), lambda h: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.coalesce(F.try_element_at(h, i), F.lit(0).cast("long"))))[0].alias("__bits"))
+    hit = lambda p: F.call_function("shiftrightunsigned", F.get("__bits", F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(F.lit(1).cast("long")) == 1
+    rows = df.where(F.col(key).isNotNull()).withColumn("__block", _block(F.col(key), m))
+    return rows.join(F.broadcast(blocks) if m <= SENT else blocks, (F.col("__block") == F.col("__of")) & F.forall(_slots(F.col(key), k), hit), "left_semi").drop("__block")
 
 
 def bloom_semi_join(big: DataFrame, small: DataFrame, key: str, fpr: float = 0.01) -> DataFrame:

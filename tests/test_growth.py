@@ -56,3 +56,12 @@ def test_codecs_of_long_arrays(spark):
     r = df.select("a", codecs.undelta(codecs.delta(F.col("a"))).alias("d"), codecs.unframe(F.col("f")).alias("u"), back.alias("p"), "f.offsets").first()
     assert r.d == r.u == r.a and r.p == r.offsets and len(r.p) == 3000
     assert time.time() - began < 30
+
+
+def test_a_filter_keeps_its_rate_and_is_never_copied(spark):
+    assert sketches.bloom_shape(54_000_000, 0.02)[0] > 8 * 54_000_000
+    keys, shape = spark.range(20_000).toDF("k"), sketches.bloom_shape(20_000, 0.02)
+    words = sketches.bloom(keys, "k", shape)
+    got = sketches.might_contain(keys.select((-F.col("k") - 1).alias("k")), "k", words, shape)
+    assert sketches.might_contain(keys, "k", words, shape).count() == 20_000 and 100 < got.count() < 800
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
