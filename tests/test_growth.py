@@ -4,13 +4,18 @@ import re
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import codecs
-from chronolith.operators import joins, sketches
+from chronolith.operators import entity, graph, joins, sketches
 from chronolith.plans import catalogue, extended  # noqa: F401
+from chronolith.sources import lake
+from chronolith.sources.adapters import EPISODE
+from chronolith.streaming import detectors, rules
 from tests.test_catalogue import rows as table
 from tests.test_whole import save
 
@@ -74,3 +79,14 @@ def test_pairs_of_many_equal_names(spark, tmp_path):
     plan = catalogue.QUERIES["join_blocking_jaccard"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[: re.search(r"Join", plan).start()]  # what pairs go through
     assert not re.search("Exchange|Aggregate|Window", above)
+
+
+def test_pairs_of_one_value_are_spread(spark):
+    kind = F.when(F.col("id") % 2 == 0, "a").otherwise("b")
+    e = spark.range(200).select(F.concat(F.lit("e"), "id").alias("id"), kind.alias("kind"), F.create_map(F.lit("k"), F.floor(F.col("id") / 1000).cast("string")).alias("attrs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.edge_rule(e, "a", "b", "k", "k", "t").withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len({(r.src, r.dst) for r in got}) == len(got) == 10_000 and len({r.at for r in got}) > 1
