@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chronolith.operators.graph import metrics
+from chronolith.sources.shared import through
 
 ANOMALY, FRAUD, DEFAULT, STRIPS = 1.5, 0.7, 1.5, 1024
 
@@ -18,8 +19,8 @@ def propose(edges: DataFrame, anomaly: float = ANOMALY, fraud: float = FRAUD, fr
 
 
 def decide(edges: DataFrame, done: DataFrame, **limits) -> DataFrame:
-    """Proposals whose action_id the whole log doesn't hold yet. done: (action_id)."""
-    return propose(edges, **limits).join(done.select("action_id"), "action_id", "left_anti")
+    """Proposals whose action_id the whole log doesn't hold yet. done: (action_id). The edges are worked out once, for both rules."""
+    return propose(through(edges.select("src", "dst", "etype", "belief"), "edges"), **limits).join(done.select("action_id"), "action_id", "left_anti")
 
 
 def adapt(feedback: DataFrame) -> DataFrame:

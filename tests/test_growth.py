@@ -90,3 +90,13 @@ def test_pairs_of_one_value_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len({(r.src, r.dst) for r in got}) == len(got) == 10_000 and len({r.at for r in got}) > 1
+
+
+def test_open_edges_without_their_times(spark):
+    rows = [(i, f"n{i % 3}", f"n{i % 5}", "t", ("assert", "retract", "close", "assert")[i * 7 % 11 % 4], i % 10 / 10, 1 if i % 4 else -1, f"h{i % 2}") for i in range(200)]
+    e = spark.createDataFrame(rows, "lsn long, src string, dst string, etype string, op string, confidence double, polarity int, hypothesis string")
+    for n in (0, 30, 77, 1000):
+        ends = lambda df: sorted((r.src, r.dst, r.etype, round(r.belief, 9)) for r in df.collect())
+        assert ends(graph.open_edges(e, n)) == ends(graph.edges_at(e, n))
+    plan = graph.open_edges(e, 77)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not re.search("Window|Join", plan)
