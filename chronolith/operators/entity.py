@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INTERVALS = "key string, entity string, from_lsn long, to_lsn long"
 
 
-def fold(events: pd.DataFrame) -> pd.DataFrame:
+def history(rows: Iterable[tuple]) -> list[tuple]:
     """(lsn, op, a, b) in order of lsn: mention a, merge a b, split a -> intervals of keys. One entity's history at a time."""
     of: dict[str, str] = {}
     members: dict[str, set[str]] = {}
@@ -26,22 +28,41 @@ def fold(events: pd.DataFrame) -> pd.DataFrame:
         of[key], since[key] = entity, lsn
         members.setdefault(entity, set()).add(key)
 
-    for r in events.sort_values("lsn").itertuples():
-        if r.op == "mention":
-            if r.a not in of:
-                move(r.a, r.a, r.lsn)
-        elif r.op == "merge":
-            for k in (r.a, r.b):
+    for lsn, op, a, b in rows:
+        if op == "mention":
+            if a not in of:
+                move(a, a, lsn)
+        elif op == "merge":
+            for k in (a, b):
                 if k not in of:
-                    move(k, k, r.lsn)
-            keep, lose = sorted((of[r.a], of[r.b]))
+                    move(k, k, lsn)
+            keep, lose = sorted((of[a], of[b]))
             if keep != lose:
                 for k in sorted(members[lose]):
-                    move(k, keep, r.lsn)
-        elif r.op == "split" and r.a in of:
-            move(r.a, f"{r.a}@{r.lsn}", r.lsn)
+                    move(k, keep, lsn)
+        elif op == "split" and a in of:
+            move(a, f"{a}@{lsn}", lsn)
     out += [(k, e, since[k], None) for k, e in of.items()]
-    return pd.DataFrame(out, columns=["key", "entity", "from_lsn", "to_lsn"])
+    return out
+
+
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of batches (grp, lsn, op, a, b) that are sorted by group and lsn: groups are many and small, so a batch holds
+    many of them, and only the rows of the one that is open are kept from batch to batch."""
+    group, rows = None, []
+    schema = pa.schema([("key", pa.string()), ("entity", pa.string()), ("from_lsn", pa.int64()), ("to_lsn", pa.int64())])
+    pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    for batch in batches:
+        out: list[tuple] = []
+        for grp, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "lsn", "op", "a", "b")), strict=True):
+            if grp != group:
+                out += history(rows)
+                group, rows = grp, []
+            rows.append(row)
+        if out:
+            yield pack(out)
+    if rows:
+        yield pack(history(rows))
 
 
 def resolver(events: DataFrame, groups: DataFrame) -> DataFrame:
@@ -49,8 +70,8 @@ def resolver(events: DataFrame, groups: DataFrame) -> DataFrame:
     order. Keys that are only mentioned need no fold and never reach Python."""
     e = events.join(groups.withColumnRenamed("key", "a"), "a", "left")
     alone = e.where("grp is null and op = 'mention'").groupBy(F.col("a").alias("key")).agg(F.min("lsn").alias("from_lsn")).select("key", F.col("key").alias("entity"), "from_lsn", F.lit(None).cast("long").alias("to_lsn"))
-    run = lambda pdf: fold(pdf)
-    joined = e.where("grp is not null").groupBy("grp").applyInPandas(run, INTERVALS)
+    run = lambda batches: fold(batches)
+    joined = e.where("grp is not null").select("grp", F.col("lsn").cast("long").alias("lsn"), "op", "a", "b").repartition("grp").sortWithinPartitions("grp", "lsn").mapInArrow(run, INTERVALS)
     return alone.unionByName(joined)
 
 

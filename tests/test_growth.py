@@ -108,3 +108,11 @@ def test_metrics_of_a_node_without_its_community(spark, tmp_path, monkeypatch):
     sf = save(tmp_path, lineitem=li, nation=one(n_nationkey=5, n_regionkey=0), supplier=one(s_suppkey=1, s_nationkey=5), customer=one(c_custkey=1, c_nationkey=5), events=[event(0, 0, 1.0)])
     monkeypatch.setattr(graph, "components", None)
     same(spark, sf, "metrics_node_all", "lineitem", "nation", "supplier", "customer")
+
+
+def test_histories_that_cross_batches():
+    rows = [(g, n, op, f"{g}{a}", b and f"{g}{b}") for g in "pqr" for n, (op, a, b) in enumerate([("mention", "a", None), ("merge", "b", "c"), ("merge", "a", "b"), ("split", "c", None)])]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("grp", "lsn", "op", "a", "b"), r, strict=True)) for r in rows])
+    for size in (1, 3, 5, 12):
+        got = [tuple(r.values()) for b in entity.fold(batch.slice(i, size) for i in range(0, 12, size)) for r in b.to_pylist()]
+        assert got == [x for i in range(0, 12, 4) for x in entity.history(r[1:] for r in rows[i : i + 4])] and len(got) == 21
