@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,31 +32,48 @@ class Baseline:
     shadow_only: bool = False
 
 
+def quartiles(values: list[float]) -> tuple[float, float, float]:
+    """np.quantile(values, (0.25, 0.5, 0.75)) of sorted values, in its own arithmetic."""
+    out = []
+    for p in (0.25, 0.5, 0.75):
+        at = (len(values) - 1) * p
+        i = int(at)
+        a, b, t = values[i], values[min(i + 1, len(values) - 1)], at - i
+        out.append(b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t)
+    return tuple(out)
+
+
 def _score(n: int, w: float, mean: float, m2: float, last: list[float], x: float, policy: Baseline) -> float | None:
     """The greater of the z-score and the distance from the median in robust deviations; nothing below the support."""
     if n < policy.support:
         return None
     sd = math.sqrt(m2 / w) if w > 0 else 0.0
     z = abs(x - mean) / sd if sd > 0 else (0.0 if x == mean else policy.outlier + 1)
-    q1, med, q3 = np.quantile(last, (0.25, 0.5, 0.75))
+    q1, med, q3 = quartiles(last) if last[-1] == last[-1] else (math.nan,) * 3  # NaN stands last
     if q3 - q1 > 1e-12:
         return float(max(z, abs(x - med) / ((q3 - q1) / 1.349)))
     return float(max(z, 0.0 if abs(x - med) <= 1e-12 else policy.outlier + 1))
 
 
 def fold_baseline(pdf: pd.DataFrame, policy: Baseline = Baseline()) -> pd.DataFrame:
-    """Values of one entity in order of lsn: (entity, lsn, score, state). A shadow profile learns until it has support and
+    """judged() of one entity's values, whatever their order: (entity, lsn, score, state)."""
+    pdf = pdf.sort_values("lsn", kind="stable")
+    flags = [pdf[c].fillna(False).astype(bool) if c in pdf else [False] * len(pdf) for c in ("suspicious", "feedback")]
+    out = judged(zip(pdf["lsn"], pdf["x"], *flags, strict=True), policy)
+    return pd.DataFrame([(pdf["entity"].iloc[0], *r) for r in out], columns=["entity", "lsn", "score", "state"])
+
+
+def judged(rows: Iterable[tuple], policy: Baseline = Baseline()) -> Iterator[tuple]:
+    """(lsn, x, suspicious, feedback) of one entity in order of lsn: (lsn, score, state). A shadow profile learns until it has support and
     delay observations and is then promoted; a trusted one scores what comes, learns from what isn't an outlier, and after
     an outlier or a suspicious event sits out the quarantine. Trusted feedback learns with less weight and ends quarantine;
     a rate limits what is learned per stretch of the log. Optional columns: suspicious, feedback."""
     n, w, mean, m2 = 0, 0.0, 0.0, 0.0
-    last: list[float] = []
+    ages: deque[float] = deque()
+    last: list[float] = []  # the same in order of value
     trusted, wait, seen = False, 0, None
     window, used = None, 0
-    out = []
-    pdf = pdf.sort_values("lsn", kind="stable")
-    flags = [pdf[c].fillna(False).astype(bool) if c in pdf else [False] * len(pdf) for c in ("suspicious", "feedback")]
-    for lsn, x, suspicious, feedback in zip(pdf["lsn"], pdf["x"], *flags, strict=True):
+    for lsn, x, suspicious, feedback in rows:
         score = _score(n, w, mean, m2, last, x, policy) if trusted else None
         learn = False
         if seen == lsn:
@@ -82,18 +102,44 @@ def fold_baseline(pdf: pd.DataFrame, policy: Baseline = Baseline()) -> pd.DataFr
             d = x - mean
             mean += add * d / w
             m2 += add * d * (x - mean)
-            last = [*last, x][-policy.kept :]
+            ages.append(x)
+            insort(last, x, key=_place)
+            if len(ages) > policy.kept:
+                last.pop(bisect_left(last, _place(ages.popleft()), key=_place))
             if not trusted and not policy.shadow_only and n >= policy.support + policy.delay:
                 trusted, state = True, "promoted"
-        out.append((int(lsn), score, state))
-    return pd.DataFrame([(pdf["entity"].iloc[0], *r) for r in out], columns=["entity", "lsn", "score", "state"])
+        yield int(lsn), score, state
+
+
+def _place(x: float) -> tuple[bool, float]:
+    """Of a value in order, NaN last."""
+    return (False, x) if x == x else (True, 0.0)
+
+
+def fold_baselines(batches: Iterator[pa.RecordBatch], policy: Baseline) -> Iterator[pa.RecordBatch]:
+    """judged() of batches (entity, lsn, x, suspicious, feedback) that are sorted by entity and lsn; only the profile of the
+    entity that is open outlives a batch."""
+    schema = pa.schema([("entity", pa.string()), ("lsn", pa.int64()), ("score", pa.float64()), ("state", pa.string())])
+    entity, feed, got = object(), deque(), iter(())
+    for batch in batches:
+        names = batch.column("entity").to_pylist()
+        out = []
+        for name, *row in zip(names, *(batch.column(c).to_pylist() for c in ("lsn", "x", "suspicious", "feedback")), strict=True):
+            if name != entity:
+                entity, feed = name, deque()
+                got = judged(iter(feed.popleft, None), policy)
+            feed.append(row)
+            out.append(next(got))
+        lsn, score, state = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((names, lsn, score, state), schema, strict=True)], schema=schema)
 
 
 def baselines(events: DataFrame, entity: str, value: str, policy: Baseline = Baseline(), suspicious: Column | None = None, feedback: Column | None = None) -> DataFrame:
-    run = lambda pdf: fold_baseline(pdf, policy)
+    run = lambda batches: fold_baselines(batches, policy)
     no = F.lit(False)
-    e = events.select(F.col(entity).cast("string").alias("entity"), "lsn", F.col(value).alias("x"), (no if suspicious is None else suspicious).alias("suspicious"), (no if feedback is None else feedback).alias("feedback")).where("x is not null")
-    return e.groupBy("entity").applyInPandas(run, "entity string, lsn long, score double, state string")
+    flag = lambda c: no if c is None else F.coalesce(c, no)
+    e = events.select(F.col(entity).cast("string").alias("entity"), F.col("lsn").cast("long").alias("lsn"), F.col(value).cast("double").alias("x"), flag(suspicious).alias("suspicious"), flag(feedback).alias("feedback")).where("x is not null")
+    return e.repartition("entity").sortWithinPartitions("entity", "lsn").mapInArrow(run, "entity string, lsn long, score double, state string")
 
 
 def incidents(signals: DataFrame, subject: str, cooldown: int = 1000) -> DataFrame:

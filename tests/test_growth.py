@@ -116,3 +116,16 @@ def test_histories_that_cross_batches():
     for size in (1, 3, 5, 12):
         got = [tuple(r.values()) for b in entity.fold(batch.slice(i, size) for i in range(0, 12, size)) for r in b.to_pylist()]
         assert got == [x for i in range(0, 12, 4) for x in entity.history(r[1:] for r in rows[i : i + 4])] and len(got) == 21
+
+
+def test_profiles_that_cross_batches():
+    xs = [float(i * 37 % 61 + (300 if i % 50 == 49 else 0)) for i in range(400)]
+    rows = [(name, i, x, i % 90 == 7, i % 70 == 9) for name in (None, "u", "v") for i, x in enumerate(xs)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("entity", "lsn", "x", "suspicious", "feedback"), r, strict=True)) for r in rows])
+    alone = list(detectors.judged(r[1:] for r in rows[:400]))
+    assert {s for _, _, s in alone} >= {"promoted", "outlier", "quarantined", "suspicious", "feedback"}
+    for size in (1, 250, 1200):
+        got = [tuple(r.values()) for b in detectors.fold_baselines((batch.slice(i, size) for i in range(0, 1200, size)), detectors.Baseline()) for r in b.to_pylist()]
+        assert got == [(name, *r) for name in (None, "u", "v") for r in alone]
+    for n in range(1, 129):
+        assert detectors.quartiles(sorted(xs[:n])) == tuple(np.quantile(xs[:n], (0.25, 0.5, 0.75)))
