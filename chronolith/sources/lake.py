@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.sources.shared import UNFORKED, listing
+
 #: Columns of the table, with whether they may be null.
 COLUMNS = (
     ("lsn", "long", False), ("id", "string", False), ("agent_id", "string", False), ("session_id", "string", False), ("ts_hlc", "long", False), ("kind", "string", False), ("content", "binary", False), ("attrs_json", "string", False),
@@ -79,8 +81,7 @@ class CommitLog:
         top = self.version() if as_of is None else as_of
         live: dict[str, dict] = {}
         for v in range(top + 1):
-            text = "\n".join(r.value for r in self.spark.read.text(self._file(v).toString()).collect())  # one small file
-            for line in filter(None, text.split("\n")):
+            for (line,) in self.spark.read.text(self._file(v).toString()).where("value <> ''").collect():  # one line a file of data
                 action = json.loads(line)
                 if "add" in action:
                     live[action["add"]["path"]] = action["add"]
@@ -90,7 +91,8 @@ class CommitLog:
 
     def read(self, as_of: int | None = None, schema: str = READ) -> DataFrame:
         paths = [f"{self.path}/{p}" for p in sorted(self.files(as_of))]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        with listing(self.spark):
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
 
 def export(episodes: DataFrame, path: str, segment_rows: int, generation: int = 0, at_ms: int = 0) -> dict[int, str]:
@@ -112,13 +114,15 @@ def export(episodes: DataFrame, path: str, segment_rows: int, generation: int =
     fresh = [s for s in segments if said[s] != "current"]
     if fresh:
         name = f"data/gen-{generation:04d}-{uuid.uuid4().hex}"
-        part = rows.where(F.col("segment_id").isin(fresh)).withColumn("segment", F.col("segment_id"))
-        part.repartition("segment").sortWithinPartitions("segment", "lsn").write.partitionBy("segment").option("parquet.block.row.count.limit", 8192).parquet(f"{log.path}/{name}")
-        added = []
-        for s in fresh:
-            for f in log.fs.listStatus(log._path(f"{log.path}/{name}/segment={s}")):
-                if f.getPath().getName().endswith(".parquet"):
-                    added.append({"path": f"{name}/segment={s}/{f.getPath().getName()}", "size": f.getLen(), "tags": {"segment": str(s), "generation": str(generation)}})
+        if len(fresh) < len(segments):
+            rows = rows.join(F.broadcast(spark.createDataFrame([(s,) for s in fresh], "segment_id long")), "segment_id", "left_semi")
+        part = rows.withColumn("segment", F.col("segment_id"))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        part.repartition(n, "segment").sortWithinPartitions("segment", "lsn").write.options(**UNFORKED).partitionBy("segment").option("parquet.block.row.count.limit", 8192).parquet(f"{log.path}/{name}")
+        # The files are listed by Spark, as there is a folder for each segment.
+        with listing(spark):
+            files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(f"{log.path}/{name}").select(F.regexp_extract("path", "segment=(-?[0-9]+)/", 1).alias("segment"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+        added = [{"path": f"{name}/segment={f.segment}/{f.file}", "size": f.length, "tags": {"segment": f.segment, "generation": str(generation)}} for f in sorted(files.collect())]
         log.append(added, [p for s in fresh for p in old.get(s, [])], at_ms)
     return said
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Options of a writer whose folder may be a local one: Hadoop's checked local files take a forked chmod for each file, for each
+#: folder and for each checksum, which is most of the time where files are many and small.
+UNFORKED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+@contextmanager
+def listing(spark: SparkSession):
+    """Spark lists many paths by a task each; within this, by a few tasks a core."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -129,3 +129,13 @@ def test_profiles_that_cross_batches():
         assert got == [(name, *r) for name in (None, "u", "v") for r in alone]
     for n in range(1, 129):
         assert detectors.quartiles(sorted(xs[:n])) == tuple(np.quantile(xs[:n], (0.25, 0.5, 0.75)))
+
+
+def test_an_export_forks_nothing(spark, tmp_path):
+    """Checked local files take a forked chmod each and leave a checksum behind; a second generation replaces some segments."""
+    e, path = spark.createDataFrame([(i, f"e{i}", i << 16, "a", "s", "Note", "x", {}, [], None, None, None) for i in range(40)], EPISODE), f"file://{tmp_path}/lake"
+    lake.export(e, path, 10)
+    lake.export(e.where("lsn < 20"), path, 10, generation=1)
+    assert lake.export(e, path, 10, generation=1) == {0: "current", 1: "current", 2: "superseded", 3: "superseded"}
+    assert sorted((r.lsn, r.generation) for r in lake.CommitLog(spark, path).read().collect()) == [(i, 1) for i in range(40)]
+    assert not list((tmp_path / "lake" / "data").rglob("*.crc"))
