@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,6 +107,19 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
     return l.join(r, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"r.{rt}") >= F.col(f"l.{lt}")) & (F.col(f"r.{rt}") <= F.col(f"l.{lt}") + F.expr(f"interval {within}")))
 
 
+def counted(times: list[int], rows: list[tuple[int, int]], window_ms: int, threshold: int) -> tuple[list[int], list[int], list[int]]:
+    """Takes (at, lsn) in order into the sorted times of their key: the times that are still within the window, and the lsn and
+    count of each row that reaches the threshold."""
+    hits, counts = [], []
+    for t, lsn in rows:
+        insort(times, t)
+        n = bisect_right(times, t) - bisect_left(times, t - window_ms)
+        if n >= threshold:
+            hits.append(lsn)
+            counts.append(n)
+    return times[bisect_left(times, times[-1] - window_ms) :], hits, counts
+
+
 def count_stream(events: DataFrame, key: str, at: str, window_ms: int, threshold: int) -> DataFrame:
     """The count rule over a stream: per key, the times within the window are the state, and a key that is idle for longer than
     the window, by the watermark of column `ts` if there is one, is dropped. An event counts what has arrived by then, in
@@ -116,19 +130,14 @@ def count_stream(events: DataFrame, key: str, at: str, window_ms: int, threshold
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["at", "lsn"])
-        out = []
-        for lsn, t in rows[["lsn", "at"]].itertuples(index=False):
-            times.append(int(t))
-            n = sum(t - window_ms <= x <= t for x in times)
-            if n >= threshold:
-                out.append((k[0], int(lsn), n))
-        times = [x for x in times if x >= max(times) - window_ms]
+        times = sorted(state.get[0]) if state.exists else []
+        rows = sorted(row for f in frames for row in zip(f["at"].tolist(), f["lsn"].tolist(), strict=True))
+        times, hits, counts = counted(times, rows, window_ms, threshold)
         state.update((times,))
         if timed:
             state.setTimeoutTimestamp(max(times[-1] + window_ms, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["key", "lsn", "matches"])
+        if hits:
+            yield pd.DataFrame({"key": [k[0]] * len(hits), "lsn": hits, "matches": counts})
 
     e = events.select(F.col(key).cast("string").alias("key"), F.col("lsn"), F.col(at).alias("at"), *["ts"] * timed)
     return e.groupBy("key").applyInPandasWithState(step, "key string, lsn long, matches long", "times array<long>", "append", "EventTimeTimeout" if timed else "NoTimeout")

@@ -139,3 +139,9 @@ def test_an_export_forks_nothing(spark, tmp_path):
     assert lake.export(e, path, 10, generation=1) == {0: "current", 1: "current", 2: "superseded", 3: "superseded"}
     assert sorted((r.lsn, r.generation) for r in lake.CommitLog(spark, path).read().collect()) == [(i, 1) for i in range(40)]
     assert not list((tmp_path / "lake" / "data").rglob("*.crc"))
+
+
+def test_counts_of_a_busy_key():
+    began, n = time.time(), 40_000
+    times, hits, counts = rules.counted([5, 7], [(10 + i, i) for i in range(n)], 1000, 3)
+    assert hits == list(range(n)) and counts[:2] == [3, 4] and counts[-1] == 1001 == len(times) and time.time() - began < 10
