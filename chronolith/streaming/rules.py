@@ -120,27 +120,38 @@ def counted(times: list[int], rows: list[tuple[int, int]], window_ms: int, thres
     return times[bisect_left(times, times[-1] - window_ms) :], hits, counts
 
 
-def count_stream(events: DataFrame, key: str, at: str, window_ms: int, threshold: int) -> DataFrame:
+def count_stream(events: DataFrame, key: str, at: str, window_ms: int, threshold: int, buckets: int = 512) -> DataFrame:
     """The count rule over a stream: per key, the times within the window are the state, and a key that is idle for longer than
-    the window, by the watermark of column `ts` if there is one, is dropped. An event counts what has arrived by then, in
+    the window, by the watermark of column `ts` if there is one, is dropped. Keys share a state by buckets, as each state is a
+    call of its own. An event counts what has arrived by then, in
     order of time within a batch. Emits (key, lsn, matches)."""
     timed = "ts" in events.columns
 
-    def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = sorted(state.get[0]) if state.exists else []
-        rows = sorted(row for f in frames for row in zip(f["at"].tolist(), f["lsn"].tolist(), strict=True))
-        times, hits, counts = counted(times, rows, window_ms, threshold)
-        state.update((times,))
+    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*map(list, state.get), strict=True)) if state.exists else {}
+        mark = state.getCurrentWatermarkMs() if timed else None
+        rows: dict[str, list] = {}
+        for f in () if state.hasTimedOut else frames:
+            for k, *row in zip(f["key"].tolist(), f["at"].tolist(), f["lsn"].tolist(), strict=True):
+                rows.setdefault(k, []).append(tuple(row))
+        out = []
+        for k, new in rows.items():
+            held[k], hits, counts = counted(sorted(held.get(k, ())), sorted(new), window_ms, threshold)
+            out += zip([k] * len(hits), hits, counts, strict=True)
         if timed:
-            state.setTimeoutTimestamp(max(times[-1] + window_ms, state.getCurrentWatermarkMs()) + 1)
-        if hits:
-            yield pd.DataFrame({"key": [k[0]] * len(hits), "lsn": hits, "matches": counts})
+            held = {k: times for k, times in held.items() if times[-1] + window_ms >= mark}
+        if held:
+            state.update((list(held), [list(t) for t in held.values()]))
+            if timed:
+                state.setTimeoutTimestamp(max(min(t[-1] for t in held.values()) + window_ms, mark) + 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "lsn", "matches"])
 
     e = events.select(F.col(key).cast("string").alias("key"), F.col("lsn"), F.col(at).alias("at"), *["ts"] * timed)
-    return e.groupBy("key").applyInPandasWithState(step, "key string, lsn long, matches long", "times array<long>", "append", "EventTimeTimeout" if timed else "NoTimeout")
+    e = e.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return e.groupBy("bucket").applyInPandasWithState(step, "key string, lsn long, matches long", "keys array<string>, times array<array<long>>", "append", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 def run_to_table(df: DataFrame, spark, out: str, checkpoint: str, mode: str = "append") -> None:

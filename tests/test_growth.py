@@ -145,3 +145,18 @@ def test_counts_of_a_busy_key():
     began, n = time.time(), 40_000
     times, hits, counts = rules.counted([5, 7], [(10 + i, i) for i in range(n)], 1000, 3)
     assert hits == list(range(n)) and counts[:2] == [3, 4] and counts[-1] == 1001 == len(times) and time.time() - began < 10
+
+
+def test_keys_share_calls_and_states(spark):
+    """Far fewer calls than keys, over two batches, with keys apart."""
+    import tempfile
+
+    root = tempfile.mkdtemp(prefix="chronolith-")
+    rows = [(f"k{i % 700}", i, i * 1000, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i)).to_pydatetime()) for i in range(2800)]
+    df = spark.createDataFrame(rows, "key string, lsn long, at long, ts timestamp")
+    for n, part in enumerate((df.where("lsn < 1400"), df.where("lsn >= 1400"))):
+        part.coalesce(1).write.parquet(f"{root}/in/{n}")
+    s = rules.stream(spark, f"{root}/in/*", df.schema, files_per_trigger=1)
+    rules.run_to_table(rules.count_stream(s, "key", "at", 1_500_000, 2, buckets=3), spark, f"{root}/out", f"{root}/state")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").select("lsn", "key", "matches").collect())
+    assert got == [(i, f"k{i % 700}", min(i // 700, 2) + 1) for i in range(700, 2800)]
